@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dna import canonical_code, unpack
 from ..runtime import table
 from . import components as cc
-from . import frequency, heavy, seen, spans
+from . import frequency, heavy, leakage, packing, pii, quantiles, seen, spans, splitting
 
 K = 31
 
@@ -20,6 +20,71 @@ def micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+# --- problem 1 -----------------------------------------------------------------
+
+
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    """grp ("measure|key|day") and value. An observation delivered again counts once, as last loaded."""
+    mini = (
+        table(spark, d, "mini_connections")
+        .select("mini_id", "library", "distance", "observed_at", "loaded_at")
+        .groupBy("mini_id")
+        .agg(F.max_by(F.struct("library", "distance", "observed_at"), F.struct("loaded_at", "distance")).alias("x"))
+        .select(
+            F.concat_ws("|", F.lit("distance"), F.coalesce(F.col("x.library").cast("string"), F.lit("none")), F.to_date("x.observed_at").cast("string")).alias("grp"),
+            F.col("x.distance").cast("double").alias("value"),
+        )
+    )
+    stats = table(spark, d, "node_stats").select("node_id", "assembly", "run_day", "short1_cov", "lgth").distinct()
+    key = F.concat_ws("|", F.coalesce("assembly", F.lit("none")), F.coalesce(F.col("run_day").cast("string"), F.lit("none")))
+    pair = F.array(
+        F.struct(F.concat_ws("|", F.lit("short1_cov"), key).alias("grp"), F.col("short1_cov").alias("value")),
+        F.struct(F.concat_ws("|", F.lit("lgth"), key).alias("grp"), F.col("lgth").cast("double").alias("value")),
+    )
+    return mini.unionByName(stats.select(F.explode(pair).alias("x")).select("x.*"))
+
+
+def _split_group(df: DataFrame) -> DataFrame:
+    part = F.split("grp", r"\|")
+    return df.select(
+        part[0].alias("measure"), part[1].alias("group_key"), part[2].alias("period"), "q", "value", "n", "rank_error"
+    )
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each measure, group and day."""
+    return _split_group(quantiles.percentiles(quantiles.digests(p1_values(spark, d))))
+
+
+def p1_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The digests of days combined into months and into the whole time."""
+    days = quantiles.digests(p1_values(spark, d))
+    part = F.split("grp", r"\|")
+    longer = days.withColumn("grp", F.explode(F.array(
+        F.concat_ws("|", part[0], part[1], F.substring(part[2], 1, 7)), F.concat_ws("|", part[0], part[1], F.lit("all")),
+    ))).withColumn("salt", F.pmod(F.xxhash64(part[2]), F.lit(quantiles.SALTS)).cast("int"))
+    return _split_group(quantiles.percentiles(quantiles.combined(longer)))
+
+
+# --- problem 2 -----------------------------------------------------------------
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = splitting.split_items(table(spark, d, "contigs"), "node_id", "seq", over_only=True)
+    starts = F.when(F.size("gaps") > 0, F.col("gaps")).otherwise(F.array(F.lit(-1).cast("bigint")))
+    return cut.select(F.col("id").alias("node_id"), F.explode(starts).alias("gap_start")).distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every contig in pieces of at most 5,000 bases that overlap by 100."""
+    rows = table(spark, d, "contigs").select("node_id", "seq").distinct()
+    cut = splitting.split_items(rows, "node_id", "seq", with_body=True)
+    return cut.select("id", "body", F.explode("pieces").alias("p")).select(
+        F.col("id").alias("node_id"), "p.piece", "p.start", "p.stop", "p.cut",
+        F.expr("substring(body, cast(p.start + 1 as int), cast(p.stop - p.start as int))").alias("seq"),
+    )
+
+
 # --- problem 3 -----------------------------------------------------------------
 
 
@@ -118,9 +183,67 @@ def p7_intervals(spark: SparkSession, d: str) -> DataFrame:
     return p7_top(spark, d).select("place", unpack(F.col("value"), K).alias("kmer"), "count_low", "count_high")
 
 
+# --- problem 8 -----------------------------------------------------------------
+
+CAPACITY = 4096
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = packing.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, CAPACITY).select(
+        F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), "container"
+    )
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    each = p8_containers(spark, d).filter("container is not null").groupBy("container").agg(F.sum("tokens").alias("t"))
+    return each.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"),
+        F.ceil(F.sum("t") / CAPACITY).alias("least_containers"), (F.sum("t") / (F.count(F.lit(1)) * CAPACITY)).alias("filled"),
+    )
+
+
+# --- problem 9 -----------------------------------------------------------------
+
+
+def p9_matches(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.matches(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "words", "doc_word", "item_word")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_matches(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold no passage of an evaluation item."""
+    docs = table(spark, d, "documents")
+    found = leakage.matches(docs, "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return leakage.removed(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id", found)
+
+
+# --- problem 10 ----------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.entities(table(spark, d, "documents"), "doc_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), "kind", F.col("value").alias("pii_text")).distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    clean = pii.redacted(docs, "doc_id", "text", pii.entities(docs, "doc_id", "text"))
+    return clean.select(F.col("doc").alias("doc_id"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p3_found, p3_counts, p3_prefix_counts, p4_found, p5_found, p6_found, p6_rates, p7_found, p7_intervals)
+    for f in (
+        p1_percentiles, p1_periods, p2_found, p2_pieces, p3_found, p3_counts, p3_prefix_counts, p4_found, p5_found,
+        p6_found, p6_rates, p7_found, p7_intervals, p8_containers, p8_fill, p9_found, p9_matches, p9_clean, p10_found,
+        p10_redacted,
+    )
 }
 
 ORACLE: dict[str, str] = {}
