@@ -41,7 +41,7 @@ NUMBER_SHARE, STREET_SHARE, GIVEN_SHARE, CUE_SHARE = 0.2, 0.2, 0.1, 0.5
 PHONE_LABELS = ("tel", "telefon", "telephone", "telefax", "teléfono", "téléphone", "phone", "fax", "mobile", "mobil", "call", "ring", "under")
 ID_LABELS = ("id", "ssn", "passport", "identity", "number", "ausweisnummer", "ausweis", "identidad", "identité", "d'identité", "code", "personalausweis", "nif", "dni")
 ADDRESS_LABELS = ("address", "affiliation", "anschrift", "adresse", "postal", "postale", "dirección", "to", "from")
-PARTICLES = "van|von|de|der|den|del|della|di|da|la|le|ter|zu"
+PARTICLES = "[Vv]an|VAN|[Vv]on|VON|[Dd]e|DE|der|DER|den|del|della|di|da|la|le|ter|zu"
 
 _LETTERS = r"(?:[^\s,.;:{}()<>~\\%$&|\[\]\"!?/\d=+*@#_^]|\\[\"'`^~=.][A-Za-z])"
 _FAMILY = rf"[A-ZÀ-Þ]{_LETTERS}{{2,}}"
@@ -66,15 +66,18 @@ EMAIL = re.compile(
     re.IGNORECASE,
 )
 EMAIL_HINT = re.compile(r"@|[(\[]\s*at\s*[)\]]|\sat\s+[A-Za-z0-9-]+\s+dot\s", re.IGNORECASE)
+_GAP = r"[\s~]{1,3}"
 NUMBER = re.compile(
-    r"(?<![\w.,/^_+\-])(?:[A-Z]{2}-(?:\d+-)*\d+|[A-Z]{2}\d{2}(?:[\s~]\d{4}){2,7}(?:[\s~]\d{1,3})?|[A-Z]{1,3}\d{6,9}|\d{2}(?:[\s~]\d{3}){2}[\s~][A-Z]"
-    r"|\+\d{1,3}(?:[\s~.\-/(]{1,2}\d{1,6}\)?){1,6}|\(\d{2,5}\)[\s~]*\d{2,5}(?:[\s~.-]\d{2,6})*|\d{1,6}(?:[\s~.\-/]\d{1,6}){1,7})(?!\w|[\-/.~]\d)"
+    rf"(?<![\w.,/^_+\-])(?:[A-Z]{{2}}-(?:\d+-)*\d+|[A-Z]{{2}}\d{{2}}(?:{_GAP}\d{{4}}){{2,7}}(?:{_GAP}\d{{1,3}})?|[A-Z]{{1,3}}\d{{6,9}}"
+    rf"|\d{{2}}(?:{_GAP}\d{{3}}){{2}}{_GAP}[A-Z]"
+    rf"|\+\d{{1,3}}(?:(?:{_GAP}|[.\-/])\d{{1,6}}|[\s~]*\(\d{{1,5}}\)[\s~]*\d{{1,6}}){{1,6}}|\(\d{{2,5}}\)[\s~]*\d{{2,5}}(?:(?:{_GAP}|[.-])\d{{2,6}})*"
+    rf"|\d{{1,6}}(?:(?:{_GAP}|[.\-/])\d{{1,6}}){{1,7}})(?!\w|[\-/.~]\d)"
 )
 _PLACE = r"[A-ZÀ-Þ][^\s,.;:\d{}()<>\\]+"
 _TOWN = rf"{_PLACE}"
 ADDRESS = re.compile(
     rf"(?P<box>\bP\.?\s?O\.?\s+Box\s+\d+,\s+(?:\d{{5}}\s+)?{_TOWN}(?:\s+\d{{5}}\b)?)"
-    rf"|(?P<en>(?:\b[A-Z][a-z]+\.?\s+\d+,\s+)?\b\d{{1,4}}\s+{_PLACE}\s+(?P<type>{_PLACE}),\s+{_TOWN}(?:\s+\d{{5}}\b)?)"
+    rf"|(?P<en>(?:\b[A-Z][a-z]+\.?\s+\d+,\s+)?\b\d{{1,4}}\s+{_PLACE}\s+(?P<type>{_PLACE}\.?),\s+{_TOWN}(?:\s+\d{{5}}\b)?)"
     rf"|(?P<fr>\b\d{{1,4}},?\s+(?P<voie>[a-z]+)\s+{_PLACE},\s+\d{{5}}\s+{_TOWN})"
     rf"|(?P<de>(?:\b{_PLACE}\s+)?(?<![\w\\]){_PLACE}\s+\d{{1,4}},\s+\d{{5}}\s+{_TOWN})"
 )
@@ -86,7 +89,7 @@ SCHEMA = "doc bigint, kind string, value string, start int, stop int, term strin
 
 
 def _shape(value: str) -> str:
-    return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value.replace("~", " ")))
+    return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", _SPACE.sub(" ", value.replace("~", " "))))
 
 
 def _before(text: str, at: int) -> list[str]:
@@ -120,7 +123,7 @@ def candidates(text: str) -> list[tuple]:
             left = _before(text, m.start())
             near = left[-1] if left and re.search(r"[^\W\d_][^\w\d]{0,8}$", text[max(0, m.start() - 12) : m.start()]) else ""
             kind = "phone" if near in PHONE_LABELS else "id_number" if near in ID_LABELS else ""
-            add("number", m.start(), m.end(), _shape(_SPACE.sub(" ", m.group())), bool(kind))
+            add("number", m.start(), m.end(), _shape(m.group()), bool(kind))
             out[-1] = (*out[-1][:6], kind, *out[-1][7:])
     if ADDRESS_HINT.search(text):
         for m in ADDRESS.finditer(text):
