@@ -51,15 +51,26 @@ def canonical_code(text: Column, k: int = 31) -> Column:
     return F.when(is_kmer(up, k), pack(F.least(up, F.translate(F.reverse(up), "ACGT", "TGCA"))))
 
 
+#: Bases cut out at once: taking a substring walks the text from its start, so long texts are cut in two steps.
+BLOCK = 2048
+
+
 def kmer_positions(seq: Column, k: int) -> Column:
     """Array of structs (pos, word) of all k-mers of `seq`, 0-based; empty if shorter than k."""
-    return F.when(
-        F.length(seq) >= k,
-        F.transform(
-            F.sequence(F.lit(0), F.length(seq) - k),
-            lambda p: F.struct(p.alias("pos"), F.substring(seq, p + 1, F.lit(k)).alias("word")),
-        ),
-    ).otherwise(F.array().cast(f"array<struct<pos:int,word:string>>"))
+
+    def words(text: Column, first: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.length(text) - k),
+            lambda p: F.struct((first + p).alias("pos"), F.substring(text, p + 1, F.lit(k)).alias("word")),
+        )
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.length(seq) - k, F.lit(BLOCK)),
+        lambda at: F.struct(at.alias("at"), F.substring(seq, at + 1, F.lit(BLOCK + k - 1)).alias("text")),
+    )
+    long_ = F.flatten(F.transform(blocks, lambda b: words(b["text"], b["at"])))
+    empty = F.array().cast("array<struct<pos:int,word:string>>")
+    return F.when(F.length(seq) < k, empty).when(F.length(seq) <= BLOCK, words(seq, F.lit(0))).otherwise(long_)
 
 
 def kmer_length(seq: Column, k: int) -> Column:

@@ -1,62 +1,8 @@
-"""Registered queries of the core and their DuckDB twins."""
+"""All registered queries of the core and their DuckDB twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_graph, q_kmers, q_stats  # noqa: F401
+from .registry import ORACLE, QUERIES, query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import dna
-from ..runtime import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL twin if it has one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-#: Reads of the given table as the graph sees them: one row a read, upper case, other letters A.
-SQL_READS = """r AS (SELECT DISTINCT read_id, category, regexp_replace(upper(seq), '[^ACGT]', 'A', 'g') AS s
-  FROM read_set WHERE seq IS NOT NULL AND read_id IS NOT NULL)"""
-K = 21
-
-
-def sql_kmers(k: int = K) -> str:
-    return f"""{SQL_READS},
-w AS (SELECT read_id, category, p AS pos, substr(s, p + 1, {k}) AS word FROM r, unnest(range(0, length(s) - {k} + 1)) t(p)),
-km AS (SELECT read_id, category, pos, least(word, translate(reverse(word), 'ACGT', 'TGCA')) AS kmer FROM w)"""
-
-
-def reads(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        table(spark, d, "read_set")
-        .filter("seq is not null and read_id is not null")
-        .select("read_id", "category", dna.bases(F.col("seq")).alias("s"))
-        .distinct()
-    )
-
-
-def kmers(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    """read_id, category, pos, word, kmer (canonical)."""
-    return (
-        reads(spark, d)
-        .select("read_id", "category", F.explode(dna.kmer_positions(F.col("s"), k)).alias("x"))
-        .select("read_id", "category", "x.pos", "x.word", dna.canonical(F.col("x.word")).alias("kmer"))
-    )
-
-
-@query(f"WITH {sql_kmers()} , c AS (SELECT kmer, count(*) AS n FROM km GROUP BY 1) SELECT n AS multiplicity, count(*) AS kmers FROM c GROUP BY 1")
-def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
-    counts = kmers(spark, d).groupBy("kmer").agg(F.count(F.lit(1)).alias("multiplicity"))
-    return counts.groupBy("multiplicity").agg(F.count(F.lit(1)).alias("kmers"))
+__all__ = ["ORACLE", "QUERIES", "query"]
