@@ -204,13 +204,21 @@ def break_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "contigs").filter("seq is not null and node_id is not null").select(F.col("node_id").alias("ref_id"), F.regexp_replace("seq", r"\s", "").alias("seq")).distinct()
+    """The long reads, taken as reference sequences for the short ones."""
+    rows = table(spark, d, "read_set").filter("seq is not null and read_id is not null and category >= 4")
+    return rows.select(F.col("read_id").alias("ref_id"), "seq").distinct()
 
 
-@query()
+_REF = f"""{sql_kmers(31)}, s AS (SELECT DISTINCT read_id AS ref_id, regexp_replace(upper(seq), '[^ACGT]', 'N', 'g') AS u FROM read_set WHERE seq IS NOT NULL AND read_id IS NOT NULL AND category >= 4),
+rw AS (SELECT ref_id, p AS coord, substr(u, p + 1, 31) AS word FROM (SELECT * FROM s WHERE length(u) >= 31) q, unnest(range(0, length(u) - 30)) t(p)),
+rk AS (SELECT least(word, translate(reverse(word), 'ACGT', 'TGCA')) AS kmer, ref_id * (CASE WHEN word <= translate(reverse(word), 'ACGT', 'TGCA') THEN 1 ELSE -1 END) AS ref, coord FROM rw WHERE word NOT LIKE '%N%'),
+hi AS (SELECT km.read_id, km.pos, ref * (CASE WHEN fwd THEN 1 ELSE -1 END) AS ref, coord FROM km JOIN rk USING (kmer) WHERE category < 4)"""
+
+
+@query(f"WITH {_REF}, u AS (SELECT *, count(*) OVER (PARTITION BY read_id, pos) AS n FROM hi) SELECT ref, count(*) AS hits, count(CASE WHEN n = 1 THEN 1 END) AS single_hits FROM u GROUP BY 1")
 def reference_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of reads on the unmasked k-mers of the contigs, and those without a rival."""
-    found = hashing.reference_hits(hashing.kmer_rows(reads(spark, d), 31), hashing.reference_index(_references(spark, d), 31))
+    """Hits of short reads on the unmasked k-mers of the long ones, and those without a rival."""
+    found = hashing.reference_hits(hashing.kmer_rows(reads(spark, d).filter("category < 4"), 31), hashing.reference_index(_references(spark, d), 31))
     n = F.count(F.lit(1)).over(W.partitionBy("read_id", "pos"))
     return found.withColumn("n", n).groupBy("ref").agg(F.count(F.lit(1)).alias("hits"), F.count(F.when(F.col("n") == 1, 1)).alias("single_hits"))
 
@@ -218,7 +226,7 @@ def reference_hits(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def anchored_reference_hits(spark: SparkSession, d: str) -> DataFrame:
     """Unambiguous hits kept by the anchored scan of each read."""
-    found = hashing.resolved_hits(hashing.reference_hits(hashing.kmer_rows(reads(spark, d), 31), hashing.reference_index(_references(spark, d), 31)))
+    found = hashing.resolved_hits(hashing.reference_hits(hashing.kmer_rows(reads(spark, d).filter("category < 4"), 31), hashing.reference_index(_references(spark, d), 31)))
     kept = hashing.anchored_hits(found, 31)
     return kept.groupBy("ref").agg(F.count(F.lit(1)).alias("hits"), F.min("coord").alias("first_coord"), F.max("coord").alias("last_coord"))
 
