@@ -61,24 +61,28 @@ def graph(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
     return n.unionByName(a)
 
 
+def _painter(change):
+    """A step of F.aggregate: the text with `change` applied to one span."""
+
+    def paint(acc, x):
+        size = F.greatest(x["stop"] - x["start"], F.lit(0))
+        return F.concat(F.substring(acc, F.lit(1), x["start"]), change(F.substring(acc, x["start"] + 1, size)), F.substring(acc, x["start"] + size + 1, F.length(acc)))
+
+    return paint
+
+
 def contigs(nodes: DataFrame, least: int, k: int, gaps: DataFrame | None = None, low: DataFrame | None = None) -> DataFrame:
     """node_id, name, seq of nodes of at least `least` k-mers; gaps become N, low coverage lower case beyond the first k bases.
 
     gaps and low have node_id, start, stop (in bases, stop exclusive)."""
     rows = nodes.filter(F.col("length") >= least).withColumn("seq", F.upper("seq"))
-    for spans, kind in ((low, "low"), (gaps, "gap")):
+    for spans, change in ((low, F.lower), (gaps, lambda t: F.translate(t, "ACGTacgt", "NNNNNNNN"))):
         if spans is None:
             continue
         s = spans.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-        piece = (lambda t: F.lower(t)) if kind == "low" else (lambda t: F.translate(t, "ACGTacgt", "NNNNNNNN"))
-
-        def paint(acc, x, piece=piece):
-            size = F.greatest(x["stop"] - x["start"], F.lit(0))
-            return F.concat(F.substring(acc, F.lit(1), x["start"]), piece(F.substring(acc, x["start"] + 1, size)), F.substring(acc, x["start"] + size + 1, F.length(acc)))
-
-        clipped = F.transform("spans", lambda x: F.struct(F.greatest(x["start"], F.lit(k)).cast("int").alias("start"), F.least(x["stop"], F.length("seq")).cast("int").alias("stop")))
         rows = rows.join(s, "node_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
-        rows = rows.withColumn("spans", clipped).withColumn("seq", F.aggregate("spans", F.col("seq"), paint)).drop("spans")
+        clipped = F.transform("spans", lambda x: F.struct(F.greatest(x["start"], F.lit(k)).cast("int").alias("start"), F.least(x["stop"], F.length("seq")).cast("int").alias("stop")))
+        rows = rows.withColumn("spans", clipped).withColumn("seq", F.aggregate("spans", F.col("seq"), _painter(change))).drop("spans")
     name = F.format_string("NODE_%d_length_%d_cov_%f", F.col("node_id"), F.col("length"), F.col("cov") / F.col("length"))
     return rows.select("node_id", name.alias("name"), "seq")
 
