@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import canonical_code, unpack
 from ..runtime import table
+from . import chains, splitting
 from . import components as cc
-from . import frequency, heavy, leakage, packing, pii, quantiles, seen, spans, splitting
+from . import frequency, heavy, leakage, packing, pii, quantiles, seen, spans
 
 K = 31
 
@@ -140,6 +141,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rec").alias("read_id"), F.col("start").alias("span_start"), F.col("stop").alias("span_end"))
 
 
+def p5_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each read stands verbatim in others."""
+    reads = table(spark, d, "read_set").filter("read_id is not null").groupBy("read_id").agg(F.max(F.length("seq")).alias("bases"))
+    runs = p5_found(spark, d).groupBy("read_id").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
+    out = reads.join(runs, "read_id", "left").na.fill(0, ["spans", "shared"])
+    return out.withColumn("share", F.when(F.col("bases") > 0, F.col("shared") / F.col("bases")))
+
+
+def p5_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Fuzzy passages of every fiftieth read in all reads, by collinear chaining."""
+    return chains.passages(table(spark, d, "read_set"), "read_id", "seq", "read_id % 50 = 0")
+
+
 # --- problem 6 -----------------------------------------------------------------
 
 
@@ -240,10 +254,39 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_percentiles, p1_periods, p2_found, p2_pieces, p3_found, p3_counts, p3_prefix_counts, p4_found, p5_found,
+        p1_percentiles, p1_periods, p2_found, p2_pieces, p3_found, p3_counts, p3_prefix_counts, p4_found, p5_found, p5_shared,
+        p5_passages,
         p6_found, p6_rates, p7_found, p7_intervals, p8_containers, p8_fill, p9_found, p9_matches, p9_clean, p10_found,
         p10_redacted,
     )
 }
 
-ORACLE: dict[str, str] = {}
+_CANON = "CASE WHEN length(kmer) = 31 AND translate(upper(kmer), 'ACGT', '') = '' THEN least(upper(kmer), translate(reverse(upper(kmer)), 'ACGT', 'TGCA')) END"
+_COUNTS = f"""o AS (SELECT 'kmer_index' AS origin, {_CANON} AS kmer, abs(node_id) AS r FROM kmer_index UNION ALL SELECT 'kmer_first', {_CANON}, seq_id FROM kmer_first),
+c AS (SELECT origin, kmer, count(*) AS occurrences, count(DISTINCT r) AS records FROM o WHERE kmer IS NOT NULL GROUP BY 1, 2)"""
+_SHARED = "SELECT DISTINCT read_id, upper(seq) AS s FROM read_set WHERE seq IS NOT NULL AND read_id IS NOT NULL AND length(seq) >= 60"
+
+ORACLE: dict[str, str] = {
+    "p2_found": """WITH c AS (SELECT DISTINCT node_id, regexp_replace(seq, '\\s', '', 'g') AS s FROM contigs WHERE seq IS NOT NULL), l AS (SELECT * FROM c WHERE length(s) > 5000),
+p AS (SELECT node_id, md5(s) AS tie, list_filter(string_split(regexp_replace(s, '([Nn]{10,})', '|\\1|', 'g'), '|'), lambda x: x <> '') AS parts FROM l),
+e AS (SELECT node_id, tie, i, length(parts[i]) AS n, regexp_full_match(parts[i], '[Nn]{10,}') AS gap FROM p, unnest(range(1, len(parts) + 1)) t(i)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY node_id, tie ORDER BY i) AS stop FROM e), g AS (SELECT DISTINCT node_id, CAST(stop - n AS BIGINT) AS gap_start FROM r WHERE gap)
+SELECT node_id, gap_start FROM g UNION ALL SELECT DISTINCT node_id, CAST(-1 AS BIGINT) FROM l WHERE NOT regexp_matches(s, '[Nn]{10}')""",
+    "p3_found": f"WITH {_COUNTS} SELECT origin, kmer, CASE WHEN records < 2 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE records < 2 OR records >= 25",
+    "p3_counts": f"WITH {_COUNTS} SELECT origin, kmer, occurrences, records, CASE WHEN records < 2 THEN 'rare' WHEN records >= 25 THEN 'common' ELSE 'kept' END AS mark FROM c",
+    "p3_prefix_counts": f"""WITH {_COUNTS}, x AS (SELECT origin, l AS level, substr(kmer, 1, l) AS p, r FROM o, (SELECT unnest([6, 12, 31]) AS l) q WHERE kmer IS NOT NULL),
+y AS (SELECT origin, level, p, count(*) AS n, count(DISTINCT r) AS records FROM x GROUP BY 1, 2, 3)
+SELECT origin, CAST(level AS INTEGER) AS level, count(*) AS prefixes, CAST(sum(n) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records, max(records) AS most_records FROM y GROUP BY 1, 2""",
+    "p4_found": """WITH RECURSIVE l AS (SELECT abs(pre_node_left) AS a, abs(pre_node_right) AS b FROM prearcs WHERE pre_node_left <> 0 AND pre_node_right <> 0 UNION SELECT abs(src), abs(dst) FROM connections WHERE src <> 0 AND dst <> 0),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT a, a FROM l UNION SELECT b, b FROM l),
+c(node_id, g) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, c.g FROM c JOIN e ON e.a = c.node_id WHERE e.b > c.g)
+SELECT node_id, min(g) AS group_id FROM c GROUP BY 1""",
+    "p5_found": f"""WITH s AS ({_SHARED}), w AS (SELECT read_id, p, hash(substr(s, p + 1, 60)) AS h, md5(substr(s, p + 1, 60)) AS m FROM s, unnest(range(0, length(s) - 59)) t(p) WHERE regexp_full_match(substr(s, p + 1, 60), '[ACGT]{{60}}')),
+k AS (SELECT h, m FROM w GROUP BY 1, 2 HAVING min(read_id) < max(read_id)), x AS (SELECT DISTINCT read_id, p FROM w SEMI JOIN k USING (h, m)),
+g AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY read_id ORDER BY p) + 60 THEN 0 ELSE 1 END AS head FROM x), r AS (SELECT *, sum(head) OVER (PARTITION BY read_id ORDER BY p) AS run FROM g)
+SELECT read_id, min(p) AS span_start, max(p) + 60 AS span_end FROM r GROUP BY read_id, run""",
+    "p6_found": f"""WITH o AS (SELECT entry_id, seq_id, arrived_at, {_CANON} AS k FROM kmer_first),
+a AS (SELECT entry_id, seq_id, row_number() OVER (PARTITION BY k ORDER BY arrived_at, entry_id) AS x, row_number() OVER (PARTITION BY k, seq_id ORDER BY arrived_at, entry_id) AS y FROM o WHERE k IS NOT NULL)
+SELECT entry_id, 'kmer' AS key_kind FROM a WHERE x > 1 UNION ALL SELECT entry_id, 'kmer_seq' FROM a WHERE y > 1 AND seq_id IS NOT NULL""",
+    "p7_found": f"WITH c AS (SELECT {_CANON} AS kmer, count(*) AS n FROM kmer_index GROUP BY 1) SELECT kmer FROM c WHERE kmer IS NOT NULL ORDER BY n DESC, kmer LIMIT 10",
+}
