@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 _SUMMARY = "value bigint, n bigint, miss bigint, bucket bigint"
 
 
@@ -113,7 +115,8 @@ def top(values: DataFrame, k: int = 10, epsilon: float = 1e-4) -> DataFrame:
     """The k most frequent values: value, count_low, count_high, place (1 = most)."""
     spark = values.sparkSession
     schema = "value bigint, count_low bigint, count_high bigint, place int"
-    found = intervals(values, epsilon)
+    # bounded by the summaries; written once, since it is read several times
+    found, _ = materialize(intervals(values, epsilon), "intervals")
     # a top-k report and its rivals: bounded by the summary, not by the data
     best = found.orderBy(F.desc("count_low"), "value").limit(k).collect()
     if not best:
