@@ -26,17 +26,19 @@ from ..runtime import discard, materialize
 HOT = 200_000
 
 
-def _with_minimum(rows: DataFrame) -> DataFrame:
-    """Each row (v, u) with m, the smallest member that v holds."""
-    mins = rows.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / HOT)).cast("int")
-    salted = mins.withColumn("parts", parts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # only hot holders have more than one part: first the part count (tiny table), then the salted join
-    hot = mins.filter(F.col("n") > HOT).select("v", parts.alias("hot_parts"))
-    tagged = rows.join(hot, "v", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("u"), F.coalesce("hot_parts", F.lit(1))).cast("int")
-    )
-    return tagged.join(salted.select("v", "salt", "m"), ["v", "salt"]).select("v", "u", "m")
+def _with_minimum(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Each row (v, u) with m, the smallest member that v holds; and the path of the minima's table."""
+    mins, path = materialize(rows.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")), "minima")
+    hot = mins.filter(F.col("n") > HOT)
+    if not hot.limit(1).count():
+        return rows.join(mins.select("v", "m"), "v"), path
+    # the rows of hot holders are spread over as many salts as they have HOT rows
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    salted = hot.select("v", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    tagged = rows.join(hot.select("v", parts.alias("parts")), "v").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    hot_rows = tagged.join(salted, ["v", "salt"]).select("v", "u", "m")
+    rest = rows.join(mins.filter(F.col("n") <= HOT).select("v", "m"), "v")
+    return rest.select("v", "u", "m").unionByName(hot_rows), path
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -50,11 +52,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     rows, path = materialize(first, "links")
     sign = None
     for _ in range(most_rounds):
-        sent = _with_minimum(rows).select(F.explode(F.array(
+        held, minima = _with_minimum(rows)
+        sent = held.select(F.explode(F.array(
             F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")),
         )).alias("x")).select("x.*").distinct()
         after, new = materialize(sent, "round")
         discard(spark, path)
+        discard(spark, minima)
         rows, path = after, new
         now = tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == sign:
