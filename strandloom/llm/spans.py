@@ -11,7 +11,9 @@ letters standing verbatim in another record.
 2. Inside a seed's partition equal windows are found by their 64-bit hashes; a
    window held by two different records is shared by both. No pairs are formed, so
    a seed held by a third of all records costs its own pieces and nothing more.
-   Pieces that are equal inside a map batch are settled there and travel once.
+   Pieces that are equal inside a map batch are settled there and travel once. Seeds
+   with far more pieces than others are found first, by lossy counting; their windows
+   travel one by one to the place of their own hash, so no task holds a hot seed.
 3. The shared windows of a record are chained in order: windows that touch or
    overlap join into one maximal run.
 
@@ -31,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import mix64, text_bytes
-from ..runtime import shuffle_partitions
+from ..runtime import materialize, shuffle_partitions
+from .heavy import intervals
 
 SEED = 16
 _CODE = np.full(256, 4, np.uint8)
@@ -39,6 +42,8 @@ for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
 #: Letters handled at once: bounds the memory of a task, whatever the batch size.
 BLOCK = 1 << 21
+#: A seed with fewer pieces is never treated as hot.
+LEAST_HOT = 20_000
 
 _PIECE = "seed bigint, rec bigint, start bigint, size int, again boolean, bases binary"
 _RUN = "rec bigint, start bigint, stop bigint"
@@ -113,24 +118,48 @@ def _packed(code: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.
     return data, off
 
 
-def _cut(span: int):
+def _blocks(batches: Iterator[pa.RecordBatch], span: int):
+    """Pieces of each block of records: see `_pieces_of`."""
+    for batch in batches:
+        batch = batch.filter(batch.column(0).is_valid()) if batch.column(0).null_count else batch
+        if not batch.num_rows:
+            continue
+        rec = batch.column(0).to_numpy(zero_copy_only=False)
+        raw, off = text_bytes(batch.column(1).fill_null("") if batch.column(1).null_count else batch.column(1))
+        lo = 0
+        while lo < len(rec):
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, "right")) - 1)
+            got = _pieces_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], rec[lo:hi], span)
+            lo = hi
+            if got is not None:
+                yield got
+
+
+def _seeds(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid()) if batch.column(0).null_count else batch
-            if not batch.num_rows:
-                continue
-            rec = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, off = text_bytes(batch.column(1).fill_null("") if batch.column(1).null_count else batch.column(1))
-            lo = 0
-            while lo < len(rec):
-                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, "right")) - 1)
-                got = _pieces_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], rec[lo:hi], span)
-                lo = hi
-                if got is None:
-                    continue
-                seed, owner, start, size, at, code = got
-                data, boff = _packed(code, at, size)
-                yield from _settled_in_batch(seed, owner, start, size, data, boff)
+        for got in _blocks(batches, span):
+            yield pa.RecordBatch.from_arrays([pa.array(got[0])], names=["value"])
+
+    return run
+
+
+def _cut(span: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seed, owner, start, size, at, code in _blocks(batches, span):
+            many = np.isin(seed, hot) if len(hot) else None
+            if many is not None and many.any():
+                # each window of a hot seed's piece travels alone, to the place of its own hash
+                count = size[many].astype(np.int64) - span + 1
+                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                places = np.repeat(at[many], count) + step
+                own = _hash_at(code, places, span).view(np.int64) | np.int64(-(2**63))
+                seed = np.concatenate([seed[~many], own])
+                start = np.concatenate([start[~many], np.repeat(start[many], count) + step])
+                size = np.concatenate([size[~many], np.full(len(step), span, np.int32)])
+                at = np.concatenate([at[~many], places])
+                owner = np.concatenate([owner[~many], np.repeat(owner[many], count)])
+            data, boff = _packed(code, at, size)
+            yield from _settled_in_batch(seed, owner, start, size, data, boff)
 
     return run
 
@@ -174,29 +203,29 @@ def _piece_batch(seed, owner, start, size, again, data, boff, at) -> pa.RecordBa
     return full if len(at) == len(size) else full.take(pa.array(at))
 
 
+def _hash_at(code: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """64-bit hash of the `span` letters from each position of `at`."""
+    h = np.zeros(len(at), np.uint64)
+    step = min(31, span)
+    words = _rolling(code, step, np.uint64)
+    for done in range(0, span, step):
+        h ^= words[at + min(done, span - step)]
+        mix64(h)
+        h += np.uint64(0x9E3779B97F4A7C15)
+    return h
+
+
 def _window_hashes(data: np.ndarray, boff: np.ndarray, size: np.ndarray, span: int):
     """64-bit hash of every window of packed pieces, the piece of each, and its offset there."""
     letters = np.empty((len(data), 4), np.uint8)
     for j, shift in enumerate((6, 4, 2, 0)):
         letters[:, j] = (data >> shift) & 3
-    flat = letters.reshape(-1)
     count = size.astype(np.int64) - span + 1
     base = boff[:-1].astype(np.int64) * 4
     first = np.concatenate([[0], np.cumsum(count)])
     piece = np.repeat(np.arange(len(size), dtype=np.int32), count)
     at = np.arange(first[-1]) + np.repeat(base - first[:-1], count)
-    h = np.zeros(len(at), np.uint64)
-    done = 0
-    width = 31
-    words = _rolling(flat, min(width, span), np.uint64)
-    while done < span:
-        step = min(width, span)
-        pos = at + min(done, span - step)
-        h ^= words[pos]
-        mix64(h)
-        h += np.uint64(0x9E3779B97F4A7C15)
-        done += step
-    return h, piece, at - base[piece]
+    return _hash_at(letters.reshape(-1), at, span), piece, at - base[piece]
 
 
 def _shared_runs(seed, rec, start, size, again, data, boff, span: int) -> pa.RecordBatch:
@@ -284,11 +313,24 @@ def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in left], names=["rec", "start", "stop"])
 
 
-def shared_spans(records: DataFrame, rec: str, text: str, span: int = 60) -> DataFrame:
+def hot_seeds(rows: DataFrame, span: int, parts: int, above: int | None = None) -> np.ndarray:
+    """Seeds with more pieces than `above`; by default a quarter of a partition's fair share, and LEAST_HOT at least.
+
+    Found by lossy counting, so the summaries are bounded, and at most 4 * parts seeds are reported."""
+    found = intervals(rows.mapInArrow(_seeds(span), "value bigint"), 1 / (32 * parts) if above is None else 1e-4)
+    found, _ = materialize(found, "seeds")
+    total = found.agg(F.coalesce(F.sum("count_low"), F.lit(0))).first()[0]
+    most = max(LEAST_HOT, total // (4 * parts)) if above is None else above
+    return np.array([r["value"] for r in found.filter(F.col("count_high") > most).select("value").collect()], np.int64)
+
+
+def shared_spans(records: DataFrame, rec: str, text: str, span: int = 60, hot_above: int | None = None) -> DataFrame:
     """rec, start, stop: maximal runs of letters that lie in `span` letters shared with another record."""
     if span < SEED:
         raise ValueError(f"span must be at least {SEED}")
     parts = shuffle_partitions(records.sparkSession, 2)
-    pieces = records.select(F.col(rec).cast("bigint").alias("rec"), F.col(text).alias("seq")).mapInArrow(_cut(span), _PIECE)
+    rows = records.select(F.col(rec).cast("bigint").alias("rec"), F.col(text).alias("seq"))
+    hot = hot_seeds(rows, span, parts, hot_above)
+    pieces = rows.mapInArrow(_cut(span, hot), _PIECE)
     runs = pieces.repartition(parts, F.coalesce("seed", F.col("rec"))).mapInArrow(_verify(span), _RUN)
     return runs.repartition(parts, "rec").sortWithinPartitions("rec", "start").mapInArrow(_join_runs, _RUN)

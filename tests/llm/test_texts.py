@@ -81,6 +81,9 @@ def test_shared_spans_equal_brute_force(spark, span):
     df = spark.createDataFrame([*rows, (700, None), (None, g[:200])], "i bigint, s string").repartition(6)
     got = {(x.rec, x.start, x.stop) for x in spans.shared_spans(df, "i", "s", span).collect()}
     assert got == brute_spans(rows, span)
+    # the same with every seed of some pieces treated as hot
+    assert len(spans.hot_seeds(df.selectExpr("i as rec", "s as seq"), span, 2, 5)) > 0
+    assert {(x.rec, x.start, x.stop) for x in spans.shared_spans(df, "i", "s", span, hot_above=5).collect()} == got
 
 
 def test_no_records_no_spans(spark):
