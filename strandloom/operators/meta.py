@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .ordered import numbered
 from .stats import both_strands, canonical_arcs, histogram, peaks
 
@@ -112,3 +113,27 @@ def split_repeats(nodes: DataFrame, arcs: DataFrame, decided: DataFrame) -> tupl
     change = moves.unionByName(twins).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("src").alias("s2"), F.col("dst").alias("d2")).distinct()
     renamed = arcs.join(change, ["src", "dst"], "left")
     return out, canonical_arcs(renamed.select(F.coalesce("s2", "src").alias("src"), F.coalesce("d2", "dst").alias("dst"), "mult"))
+
+
+def peeled(nodes: DataFrame, levels: list[float]) -> DataFrame:
+    """Nodes with the coverage level each belongs to (nearest, highest first): node_id, level, place. Levels are a short list."""
+    d = F.col("cov") / F.col("length")
+    rows = nodes.filter("length > 0").withColumn("level", nearest_peak(d, levels))
+    place = F.array_position(F.array(*[F.lit(float(v)) for v in sorted(levels, reverse=True)]), F.col("level"))
+    return rows.select("node_id", "level", place.cast("int").alias("place"))
+
+
+def level_parts(nodes: DataFrame, arcs: DataFrame, levels: list[float]) -> DataFrame:
+    """level, place, part, nodes, length, cov: the connected parts of each level's own subgraph, from the highest level down.
+
+    Each level is resolved as if it were a single genome, as the multi-level run does."""
+    from .traverse import parts, subgraph
+
+    at, _ = materialize(peeled(nodes, levels), "levels")
+    out = None
+    for place, level in enumerate(sorted(levels, reverse=True), 1):
+        own, inner = subgraph(nodes, arcs, at.filter(F.col("place") == place))
+        found = parts(inner, own).join(own, "node_id").groupBy("part").agg(F.count(F.lit(1)).alias("nodes"), F.sum("length").alias("length"), F.sum("cov").alias("cov"))
+        one = found.select(F.lit(float(level)).alias("level"), F.lit(place).alias("place"), "part", "nodes", "length", "cov")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import graph, longreads, meta, ordered, pairs, stats, tools
+from ..operators import graph, hashing, longreads, meta, ordered, pairs, stats, tools, traverse
 from ..runtime import new_path, table
 from ..sources import seqreads, sinks
 from .common import SQL_ARCS, SQL_BOTH, SQL_NODES, SQL_PLACES, arcs, nodes, places, reads, threads
@@ -351,3 +351,100 @@ def graph_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_lines(sinks.graph(seqs, a, 31), path, ["part", "a", "b"])
     _, back = seqreads.graph_file(spark, path)
     return back.agg(F.count(F.lit(1)).alias("arcs"), F.sum("mult").alias("mult"), F.countDistinct("src").alias("sources"))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT abs(pre_node_left) AS a, abs(pre_node_right) AS b FROM prearcs WHERE pre_node_left <> 0 AND pre_node_right <> 0),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT a, a FROM l UNION SELECT b, b FROM l),
+c(node_id, g) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, c.g FROM c JOIN e ON e.a = c.node_id WHERE e.b > c.g)
+SELECT node_id, min(g) AS part FROM c GROUP BY 1"""
+)
+def graph_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Connected parts of the pre-graph."""
+    return traverse.parts(arcs(spark, d))
+
+
+@query()
+def level_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Connected parts of each coverage level, highest first."""
+    return meta.level_parts(_one(spark, d), arcs(spark, d), [40.0, 12.0])
+
+
+@query(
+    f"""WITH RECURSIVE {_ONE}, {SQL_ARCS}, {SQL_BOTH}, s AS (SELECT node_id AS n FROM n1 WHERE length < 30), lg AS (SELECT node_id FROM n1 WHERE length >= 500),
+st AS (SELECT 3 AS side, n FROM s UNION ALL SELECT 5, -n FROM s),
+w AS (SELECT side, n AS start, n AS cur, [abs(n)] AS p, false AS e, 0 AS i FROM st UNION ALL
+ SELECT w.side, w.start, bo.dst, list_append(w.p, abs(bo.dst)), abs(bo.dst) IN (SELECT node_id FROM lg), w.i + 1 FROM w JOIN bo ON bo.src = w.cur WHERE NOT w.e AND w.i < 3 AND NOT list_contains(w.p, abs(bo.dst)))
+SELECT DISTINCT abs(start) AS node_id, side, abs(cur) AS flank FROM w WHERE e"""
+)
+def insertion_flanks(spark: SparkSession, d: str) -> DataFrame:
+    """Long nodes within three steps on either side of every short node."""
+    one = _one(spark, d)
+    return traverse.flanks(one, arcs(spark, d), one.filter("length < 30").select("node_id"), 500, 3)
+
+
+@query()
+def walk_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest loop-free walk from each unique node to another one, where there is a single nearest."""
+    u = _unique(spark, d)
+    starts = u.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("node"))
+    return traverse.best_paths(traverse.paths(arcs(spark, d), starts, u, 3)).select("start", "stop", F.size("path").alias("nodes"))
+
+
+@query(f"WITH {SQL_ARCS}, n AS (SELECT DISTINCT node_id FROM contigs WHERE node_id IS NOT NULL) SELECT src, dst, mult FROM ar WHERE abs(src) IN (SELECT node_id FROM n) AND abs(dst) IN (SELECT node_id FROM n)")
+def projected_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    """Arcs between the nodes that have a contig."""
+    return traverse.subgraph(_one(spark, d), arcs(spark, d), table(spark, d, "contigs").select("node_id"))[1]
+
+
+@query()
+def bypassed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs merged along simple links of the pre-graph."""
+    seqs = table(spark, d, "contigs").filter("seq is not null and node_id is not null").groupBy("node_id").agg(F.min(F.upper(F.regexp_replace("seq", r"\s", ""))).alias("seq"))
+    rows = seqs.select("node_id", (F.length("seq") - 30).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("cov"), "seq").filter("length > 0")
+    both = rows.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("n"))
+    links = graph.simple_links(arcs(spark, d)).join(both.select(F.col("n").alias("u")), "u", "left_semi").join(both.select(F.col("n").alias("v")), "v", "left_semi")
+    return traverse.bypass(rows, links, 31).select("node_id", "length", "cov", F.md5("seq").alias("digest"))
+
+
+@query(
+    f"""WITH r AS (SELECT DISTINCT read_id, length(seq) AS n, md5(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g')) AS digest FROM read_set WHERE read_id IS NOT NULL AND seq IS NOT NULL AND length(seq) >= 31)
+SELECT read_id AS node_id, CAST(n - 30 AS BIGINT) AS length, digest FROM r"""
+)
+def pregraph_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pre-nodes written in their text form and read back."""
+    rows = reads(spark, d).filter("length(seq) >= 31").select(F.col("read_id").alias("node_id"), (F.length("seq") - 30).cast("bigint").alias("length"), "seq").distinct()
+    path = new_path(spark, "pregraph")
+    sinks.write_lines(sinks.pregraph(rows), path, ["node_id"])
+    return seqreads.pregraph_file(spark, path).select("node_id", "length", F.md5("seq").alias("digest"))
+
+
+@query()
+def roadmaps_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Roadmaps written in their text form and read back: rows that differ (none)."""
+    rows = reads(spark, d)
+    made = hashing.roadmaps(hashing.kmer_rows(rows, 21, packed=True)).select("read_id", F.col("ord").cast("bigint").alias("ord"), "target", "position", "start", F.col("finish").cast("bigint").alias("finish"))
+    path = new_path(spark, "roadmaps")
+    sinks.write_lines(sinks.roadmaps(made, rows.select("read_id").distinct()), path, ["read_id", "ord"])
+    back = seqreads.roadmaps_file(spark, path).withColumn("ord", F.col("ord").cast("bigint"))
+    return made.exceptAll(back).unionByName(back.exceptAll(made))
+
+
+@query()
+def amos_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of the AMOS export by kind, and their letters."""
+    seqs = table(spark, d, "contigs").filter("seq is not null and node_id is not null").groupBy("node_id").agg(F.min(F.upper(F.regexp_replace("seq", r"\s", ""))).alias("seq"))
+    p = places(spark, d)
+    tiles = p.select(F.abs("node").alias("node_id"), "read_id", F.col("position").alias("off"), F.lit(0).alias("clear_start"), F.lit(100).alias("clear_stop"))
+    libs = pairs.insert_estimates(_sizes(spark, d))
+    lines = sinks.amos(seqs, tiles, reads(spark, d), libs)
+    return lines.groupBy("part").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("line")).alias("letters"))
+
+
+@query()
+def contig_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates of reference segments on long nodes in the four strand cases."""
+    marks = longreads.passage_markers(threads(spark, d).withColumn("category", F.lit(6)), (6,))
+    heads = table(spark, d, "read_set").filter("read_id is not null").select(F.col("read_id").alias("ref_id"), F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name")).distinct()
+    areas = heads.select("ref_id", "name", (F.col("ref_id") % 2 == 0).alias("positive"), F.lit(1).cast("bigint").alias("region_start"), F.lit(10000).cast("bigint").alias("region_finish"))
+    return sinks.alignments(marks, areas, _one(spark, d), 1, 31)

@@ -327,10 +327,11 @@ def roadmaps_file(spark: SparkSession, path: str) -> DataFrame:
     """read_id, ord, target, position, start, finish of a Roadmaps file."""
     rows = _sections(spark, path, "ROADMAP ").filter("section > 0")
     w = W.partitionBy("section").orderBy("o")
-    named = rows.withColumn("ord", F.row_number().over(w) - 1).withColumn("read_id", F.first(F.split("line", " ")[1].cast("bigint")).over(w))
+    named = rows.withColumn("ord", F.row_number().over(w) - 1).withColumn("read_id", F.first(F.get(F.split("line", " "), F.lit(1)).cast("bigint")).over(w))
     p = F.split("line", "\t")
+    column = lambda i: F.get(p, F.lit(i)).cast("bigint")
     return named.filter("ord > 0").select(
-        "read_id", "ord", p[0].cast("bigint").alias("target"), p[1].cast("bigint").alias("position"), p[2].cast("bigint").alias("start"), p[3].cast("bigint").alias("finish")
+        "read_id", "ord", column(0).alias("target"), column(1).alias("position"), column(2).alias("start"), column(3).alias("finish")
     )
 
 
@@ -344,5 +345,24 @@ def graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     h = F.split("head", "\t")
     cov = F.aggregate(F.filter(F.slice(h, 4, 1000), lambda x, i: i % 2 == 0), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
     nodes = tops.select(h[1].cast("bigint").alias("node_id"), h[2].cast("bigint").alias("length"), cov.alias("cov"), "tail", "twin_tail")
-    arcs = lines.filter("line like 'ARC\\t%'").select(p[1].cast("bigint").alias("src"), p[2].cast("bigint").alias("dst"), p[3].cast("bigint").alias("mult"))
+    arcs = lines.filter("line like 'ARC\\t%'").select(*(F.get(p, F.lit(i)).cast("bigint").alias(c) for i, c in ((1, "src"), (2, "dst"), (3, "mult"))))
     return nodes, arcs
+
+
+def pregraph_file(spark: SparkSession, path: str) -> DataFrame:
+    """node_id, length, seq of a pre-graph file (`NODE<TAB>id<TAB>length`, bases on the next lines)."""
+    rows = _sections(spark, path, "NODE\t").filter("section > 0")
+    both = rows.groupBy("section").agg(
+        F.max(F.when(F.col("line").startswith("NODE\t"), F.col("line"))).alias("head"),
+        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(~F.col("line").startswith("NODE\t"), F.struct("o", "line")))), lambda x: x["line"])).alias("seq"),
+    )
+    h = F.split("head", "\t")
+    return both.select(h[1].cast("bigint").alias("node_id"), h[2].cast("bigint").alias("length"), "seq")
+
+
+def connected_graph(nodes: DataFrame, arcs: DataFrame, reads: DataFrame, k: int):
+    """A graph built elsewhere: nodes and arcs as given, read starts computed anew: (nodes, arcs, read starts)."""
+    from ..operators import graph
+    from ..operators.stats import canonical_arcs
+
+    return nodes, canonical_arcs(arcs), graph.read_starts(graph.thread(reads, nodes, k))
