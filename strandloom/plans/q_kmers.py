@@ -82,7 +82,7 @@ def sequences_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows = _named(spark, d).withColumn("seq", dna.normalise(F.col("seq")))
     sinks.write_lines(sinks.sequences(rows), path, ["read_id"])
     back = seqreads.sequences_file(spark, path)
-    return back.select("read_id", "category", F.length("seq").alias("letters"), F.md5("seq").alias("digest"))
+    return back.select("read_id", "category", F.length("seq").cast("bigint").alias("letters"), F.md5("seq").alias("digest"))
 
 
 _SAM_SQL = """SELECT read_id, m.ref_id AS ref_id, m.pos AS pos FROM (SELECT read_id, unnest(mappings) AS m FROM (
