@@ -35,7 +35,7 @@ def _first_reaching(df: DataFrame, weight: str, order: Sequence, result: str, by
     else:
         run = run.crossJoin(totals)  # one row
     hit = run.filter(F.expr("__r >= __t div 2"))
-    return hit.groupBy(*by).agg(F.min_by(result, "__r").alias(result))
+    return hit.groupBy(*by).agg(F.min_by(result, "__r").alias(result)).filter(F.col(result).isNotNull())
 
 
 def weighted_median_coverage(nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
