@@ -174,11 +174,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     """Exact rates of wrong answers for fingerprints of 8, 12, 16 and 32 bits."""
-    out = None
-    for bits in (8, 12, 16, 32):
-        one = seen.audit(seen.answers(p6_keys(spark, d), bits)).withColumn("fingerprint_bits", F.lit(bits))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return seen.rates(p6_keys(spark, d), (8, 12, 16, 32))
 
 
 # --- problem 7 -----------------------------------------------------------------

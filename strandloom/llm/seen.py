@@ -12,7 +12,7 @@ earlier row with the same key in its own Arrow batch needs no table; such rows
 (the bulk of a hot key) are settled before the shuffle and spread over all
 partitions, so a key that holds a third of all rows sends one row a batch.
 
-A wrong answer can only be a false `seen`. `audit` counts them exactly.
+A wrong answer can only be a false `seen`. `rates` counts them exactly.
 Rows with a null key get no answer. Ties in the order are broken by row id; equal
 rows count as later occurrences.
 """
@@ -167,47 +167,62 @@ def _settle_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(settled)], names=["kind", "h", "ord", "id", "settled"])
 
 
-def _tables(bits: int):
+def _tables(bits: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains: dict[str, CuckooChain] = {}
+        chains: dict[tuple[str, int], CuckooChain] = {}
         for batch in batches:
-            seen = np.asarray(batch.column(4)).astype(bool)
+            settled = np.asarray(batch.column(4)).astype(bool)
             h = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             kinds = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            for kind in set(kinds):
-                at = np.flatnonzero((kinds == kind) & ~seen)
-                if len(at):
-                    seen[at] = chains.setdefault(kind, CuckooChain(bits)).seen_then_insert(h[at])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(seen)], names=["kind", "h", "ord", "id", "seen"])
+            open_ = {kind: np.flatnonzero((kinds == kind) & ~settled) for kind in set(kinds)}
+            out = []
+            for b in bits:
+                seen = settled.copy()
+                for kind, at in open_.items():
+                    if len(at):
+                        seen[at] = chains.setdefault((kind, b), CuckooChain(b)).seen_then_insert(h[at])
+                out.append(pa.array(seen))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *out], names=["kind", "h", "ord", "id", *(f"seen_{b}" for b in bits)])
 
     return run
 
 
-def answers(rows: DataFrame, bits: int = 32) -> DataFrame:
-    """kind, h, ord, id, seen for each row with a key.
-
-    `rows` has kind STRING (keys of different kinds are kept apart), h BIGINT (64-bit
-    hash of the key, null: no key), ord BIGINT (arrival) and id BIGINT (breaks ties).
-    """
-    spark = rows.sparkSession
+def _answered(rows: DataFrame, bits: tuple[int, ...]) -> DataFrame:
     routed = rows.filter("h is not null").select("kind", "h", "ord", "id").mapInArrow(_settle_in_batch, _ROUTED)
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(rows.sparkSession)
+    schema = "kind string, h bigint, ord bigint, id bigint, " + ", ".join(f"seen_{b} boolean" for b in bits)
     return (
         routed.repartition(parts, F.when(F.col("settled"), F.xxhash64("id", "kind")).otherwise(F.col("h")))
         .sortWithinPartitions("ord", "id")
-        .mapInArrow(_tables(bits), "kind string, h bigint, ord bigint, id bigint, seen boolean")
+        .mapInArrow(_tables(bits), schema)
     )
 
 
-def audit(answered: DataFrame) -> DataFrame:
-    """Exact rates by kind: rows, answered_seen, truly_seen, false_seen, false_unseen, wrong_rate."""
-    first = answered.groupBy("kind", "h").agg(F.min(F.struct("ord", "id")).alias("first"))
-    truth = answered.join(first, ["kind", "h"]).withColumn("truly", F.struct("ord", "id") > F.col("first"))
-    return truth.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("seen").cast("bigint")).alias("answered_seen"),
-        F.sum(F.col("truly").cast("bigint")).alias("truly_seen"),
-        F.sum((F.col("seen") & ~F.col("truly")).cast("bigint")).alias("false_seen"),
-        F.sum((~F.col("seen") & F.col("truly")).cast("bigint")).alias("false_unseen"),
-        F.avg((F.col("seen") != F.col("truly")).cast("double")).alias("wrong_rate"),
+def answers(rows: DataFrame, bits: int = 32) -> DataFrame:
+    """kind, h, ord, id, seen for each row with a key.
+
+    `rows` has kind STRING (keys of different kinds are kept apart), h BIGINT (64-bit
+    hash of the key, null: no key), ord BIGINT (arrival) and id BIGINT (breaks ties).
+    """
+    return _answered(rows, (bits,)).withColumnRenamed(f"seen_{bits}", "seen")
+
+
+def rates(rows: DataFrame, bits: tuple[int, ...] = (32,)) -> DataFrame:
+    """Exact rates by kind and fingerprint size, from one pass: kind, fingerprint_bits, rows, answered_seen,
+    truly_seen, false_seen, false_unseen, wrong_rate. Each size has its own tables over the same rows."""
+    first = rows.filter("h is not null").groupBy("kind", "h").agg(F.min(F.struct("ord", "id")).alias("first"))
+    truth = _answered(rows, bits).join(first, ["kind", "h"]).withColumn("truly", F.struct("ord", "id") > F.col("first"))
+    n = lambda c: F.sum(c.cast("bigint"))
+    one = truth.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("rows"), n(F.col("truly")).alias("truly_seen"),
+        F.array(*[
+            F.struct(
+                F.lit(b).alias("fingerprint_bits"), n(F.col(f"seen_{b}")).alias("answered_seen"), n(F.col(f"seen_{b}") & ~F.col("truly")).alias("false_seen"),
+                n(~F.col(f"seen_{b}") & F.col("truly")).alias("false_unseen"), F.avg((F.col(f"seen_{b}") != F.col("truly")).cast("double")).alias("wrong_rate"),
+            )
+            for b in bits
+        ]).alias("by_bits"),
+    )
+    return one.select("kind", "rows", "truly_seen", F.explode("by_bits").alias("x")).select(
+        "kind", "x.fingerprint_bits", "rows", "x.answered_seen", "truly_seen", "x.false_seen", "x.false_unseen", "x.wrong_rate"
     )
