@@ -103,8 +103,8 @@ def test_short_fingerprints_err_at_their_rate():
 
 def test_seen_rows_equal_brute_force(spark):
     r = random.Random(5)
-    keys = [r.randrange(-(2**63), 2**63) for _ in range(400)]
-    rows = [("k", r.choice([keys[7]] * 5 + keys), r.randrange(100), i) for i in range(3000)] + [("k", None, 1, 9999)]
+    keys = [r.randrange(-(2**63), 2**63) for _ in range(2500)]
+    rows = [("k", r.choice([keys[7]] * 500 + keys), r.randrange(100), i) for i in range(3000)] + [("k", None, 1, 9999)]
     df = spark.createDataFrame(rows, "kind string, h bigint, ord bigint, id bigint").repartition(5)
     got = seen.answers(df)
     first: dict = {}
