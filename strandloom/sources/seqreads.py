@@ -15,9 +15,11 @@ from __future__ import annotations
 import bz2
 import gzip
 import struct
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -193,7 +195,12 @@ class SeqReads(DataSource):
 
 
 def scan(spark: SparkSession, paths: list[str] | str, layout: str = "auto") -> DataFrame:
-    spark.dataSource.register(SeqReads)
+    # the planner's Python process need not find this package: the source travels whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        spark.dataSource.register(SeqReads)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
     files = [paths] if isinstance(paths, str) else list(paths)
     return spark.read.format("seqreads").option("paths", ",".join(files)).option("layout", layout).load()
 
