@@ -84,3 +84,15 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     a = spark.sql("select sum(n), count(*) from kc").first()
     b = running.kmer_counts(src, 21).agg(F.sum("n"), F.count("*")).first()
     assert tuple(a) == tuple(b)
+
+
+def test_packed_kmers_equal_the_texts(spark):
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("ACGTNacgt") for _ in range(r.choice([0, 5, 20, 21, 22, 300]))), i % 2 == 0) for i in range(40)]
+    df = spark.createDataFrame([*rows, (99, None, None), (None, "ACGT" * 20, None)], "read_id bigint, seq string, second_in_pair boolean")
+    for k in (1, 5, 21, 31):
+        for stranded in (False, True):
+            a = hashing.kmer_rows(df.filter("read_id is not null"), k, stranded).withColumn("kmer", dna.pack(F.col("kmer")))
+            b = hashing.kmer_rows(df, k, stranded, packed=True)
+            key = lambda x: sorted((y.read_id, y.pos, y.kmer, y.fwd) for y in x.select("read_id", "pos", "kmer", "fwd").collect())
+            assert key(a) == key(b)
