@@ -9,12 +9,15 @@ resets the optimizer's size estimates between rounds of an iteration.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,11 +34,31 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once an application; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):
+        path = os.path.join(tempfile.mkdtemp(prefix="strandloom-"), "strandloom.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(package):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.join("strandloom", os.path.relpath(full, package)))
+        context.addPyFile(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables, a file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
