@@ -252,9 +252,8 @@ def walk_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def unitigs(spark: SparkSession, d: str) -> DataFrame:
-    """Unitigs of the paired short reads of library 0 at k = 21: length, coverage, sequence."""
-    rows = reads(spark, d).filter("category in (0, 1)")
-    nodes, _ = graph.unitigs(rows, K)
+    """Unitigs of all reads at k = 21: length, coverage, sequence."""
+    nodes, _ = graph.unitigs(reads(spark, d), K)
     return nodes.select("node_id", "length", "cov", F.md5("seq").alias("digest"))
 
 
