@@ -93,6 +93,11 @@ def contig_reads(places: DataFrame, node: int) -> DataFrame:
     return places.filter(F.abs("node") == abs(node)).select("read_id").distinct()
 
 
+def reads_of_nodes(places: DataFrame) -> DataFrame:
+    """node_id, reads: distinct reads with a place on each node, on either strand."""
+    return places.groupBy(F.abs("node").alias("node_id")).agg(F.countDistinct("read_id").alias("reads"))
+
+
 def paired_by_name(reads: DataFrame) -> DataFrame:
     """base name, first, second: reads whose names differ in /1 and /2 only; one side null for singletons."""
     base, end = F.regexp_replace("read_name", "/[12]$", ""), F.regexp_extract("read_name", "/([12])$", 1)

@@ -1,5 +1,6 @@
 """Queries that cover their whole table, on tables made by hand."""
 
+from strandloom.operators import tools
 from strandloom.plans import queries as core
 
 from tests.test_graph import bases
@@ -11,3 +12,9 @@ def test_unitigs_of_every_category(spark, tmp_path):
     rows = [(c + 1, c, False, c // 2, None, bases(50 + 10 * c, 40 + c)) for c in range(5)]
     spark.createDataFrame(rows, READ_SET).write.parquet(f"{tmp_path}/read_set.parquet")
     assert sorted(r.length for r in core.QUERIES["unitigs"](spark, str(tmp_path)).collect()) == [30, 40, 50, 60, 70]
+
+
+def test_reads_of_every_node(spark, small):
+    places = spark.createDataFrame([(1, 4), (1, -4), (2, -4), (3, 30)], "read_id bigint, node bigint")
+    assert sorted(map(tuple, tools.reads_of_nodes(places).collect())) == [(4, 2), (30, 1)]
+    assert {r.node_id for r in core.QUERIES["contig_reads_all"](spark, small).collect()} - {1, 2, 3, 5, 8, 13, 21}
