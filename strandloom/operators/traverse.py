@@ -63,6 +63,26 @@ def paths(arcs: DataFrame, starts: DataFrame, stops: DataFrame, steps: int = 6,
     return done
 
 
+def nearest_paths(arcs: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
+    """start, stop, path: as `paths` without a limit of steps, each start only as far as the first round in which it meets a stop.
+
+    Of a start's walks over the same nodes to the same end the first in order is kept."""
+    both, _ = materialize(both_strands(arcs).select(F.col("src").alias("s"), F.col("dst").alias("d")).distinct(), "steps")
+    ends = stops.select(F.col("node_id").alias("e")).distinct().withColumn("is_end", F.lit(True))
+    walk = starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
+    done = None
+    while True:
+        step = walk.join(both, F.col("at") == F.col("s")).filter(~F.array_contains(F.transform("path", F.abs), F.abs("d")))
+        step = step.select("start", F.col("d").alias("at"), F.array_append("path", F.col("d")).alias("path"))
+        step = step.groupBy("start", "at", F.array_sort(F.transform("path", F.abs)).alias("seen")).agg(F.min("path").alias("path"))
+        step, _ = materialize(step.join(ends, F.abs("at") == F.col("e"), "left").select("start", "at", "path", "is_end"), "walks")
+        found = step.filter("is_end").select("start", F.col("at").alias("stop"), "path")
+        done = found if done is None else done.unionByName(found)
+        walk = step.filter("is_end is null").join(found.select("start").distinct(), "start", "left_anti").select("start", "at", "path")
+        if not walk.limit(1).count():
+            return done
+
+
 def best_paths(found: DataFrame) -> DataFrame:
     """One walk for each start: to the stop with the fewest nodes between, ties to the smaller ids; walks between which
     that rule cannot choose a single stop are left out."""
@@ -94,16 +114,30 @@ def bypass(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
     return nodes.join(kept.select(F.abs("u").alias("node_id")).distinct(), "node_id", "left_anti").select("node_id", "length", "cov", "seq").unionByName(merged)
 
 
-def flanks(nodes: DataFrame, arcs: DataFrame, insertions: DataFrame, reliable: int = 500, steps: int = 6) -> DataFrame:
-    """node_id, side (5 or 3), flank: reliable nodes (at least `reliable` long) first met on loop-free walks from insertion nodes."""
-    long_ = nodes.filter(F.col("length") >= reliable).select("node_id")
-    ahead = insertions.select(F.col("node_id").alias("node"))
-    out = None
-    for side, starts in ((3, ahead), (5, ahead.select((-F.col("node")).alias("node")))):
-        found = paths(arcs, starts, long_, steps)
-        one = found.select(F.abs("start").alias("node_id"), F.lit(side).alias("side"), F.abs("stop").alias("flank")).distinct()
-        out = one if out is None else out.unionByName(one)
-    return out
+def flanks(nodes: DataFrame, arcs: DataFrame, insertions: DataFrame, reliable: int = 500, steps: int | None = None) -> DataFrame:
+    """node_id, side (5 or 3), flank: reliable nodes (at least `reliable` long) first met on loop-free walks from insertion nodes.
+
+    Without `steps` the search ends when no walk goes on. Reached nodes alone do not decide: over a hairpin a walk comes
+    back through its start to the other side. Walks of one start over the same nodes to the same end are one."""
+    spark = arcs.sparkSession
+    both, _ = materialize(both_strands(arcs).select(F.col("src").alias("s"), F.col("dst").alias("d")).distinct(), "steps")
+    ends = nodes.filter(F.col("length") >= reliable).select(F.col("node_id").alias("e"), F.lit(True).alias("is_end")).distinct()
+    walk = insertions.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("start")).select("start", F.col("start").alias("at"), F.array(F.abs("start")).alias("seen"))
+    done, path, i = None, None, 0
+    while steps is None or i < steps:
+        i += 1
+        step = walk.join(both, F.col("at") == F.col("s")).filter(~F.array_contains("seen", F.abs("d")))
+        step = step.select("start", F.col("d").alias("at"), F.array_sort(F.array_append("seen", F.abs("d"))).alias("seen")).distinct()
+        step, new = materialize(step.join(ends, F.abs("at") == F.col("e"), "left"), "walks")
+        found = step.filter("is_end").select(F.abs("start").alias("node_id"), F.when(F.col("start") > 0, 3).otherwise(5).alias("side"), F.abs("at").alias("flank"))
+        found, _ = materialize(found.distinct(), "flanks")
+        done = found if done is None else done.unionByName(found)
+        if path:
+            discard(spark, path)
+        walk, path = step.filter("is_end is null").select("start", "at", "seen"), new
+        if not walk.limit(1).count():
+            break
+    return done.distinct()
 
 
 def subgraph(nodes: DataFrame, arcs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -380,17 +380,30 @@ w AS (SELECT side, n AS start, n AS cur, [abs(n)] AS p, false AS e, 0 AS i FROM
 SELECT DISTINCT abs(start) AS node_id, side, abs(cur) AS flank FROM w WHERE e"""
 )
 def insertion_flanks(spark: SparkSession, d: str) -> DataFrame:
-    """Long nodes within three steps on either side of every short node."""
+    """Long nodes within three steps, as in the SQL twin, on either side of every short node; insertion_flanks_all has no limit of steps."""
     one = _one(spark, d)
     return traverse.flanks(one, arcs(spark, d), one.filter("length < 30").select("node_id"), 500, 3)
 
 
+@query(
+    f"""WITH RECURSIVE {_ONE}, {SQL_ARCS}, {SQL_BOTH}, s AS (SELECT node_id AS n FROM n1 WHERE length < 30), lg AS (SELECT node_id FROM n1 WHERE length >= 500),
+st AS (SELECT 3 AS side, n FROM s UNION ALL SELECT 5, -n FROM s),
+w AS (SELECT side, n AS start, n AS cur, [abs(n)] AS p, false AS e FROM st UNION ALL
+ SELECT w.side, w.start, bo.dst, list_append(w.p, abs(bo.dst)), abs(bo.dst) IN (SELECT node_id FROM lg) FROM w JOIN bo ON bo.src = w.cur WHERE NOT w.e AND NOT list_contains(w.p, abs(bo.dst)))
+SELECT DISTINCT abs(start) AS node_id, side, abs(cur) AS flank FROM w WHERE e"""
+)
+def insertion_flanks_all(spark: SparkSession, d: str) -> DataFrame:
+    """Long nodes first met on loop-free walks on either side of every short node."""
+    one = _one(spark, d)
+    return traverse.flanks(one, arcs(spark, d), one.filter("length < 30").select("node_id"), 500)
+
+
 @query()
 def walk_choice(spark: SparkSession, d: str) -> DataFrame:
     """The shortest loop-free walk from each unique node to another one, where there is a single nearest."""
     u = _unique(spark, d)
     starts = u.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("node"))
-    return traverse.best_paths(traverse.paths(arcs(spark, d), starts, u, 3)).select("start", "stop", F.size("path").alias("nodes"))
+    return traverse.best_paths(traverse.nearest_paths(arcs(spark, d), starts, u)).select("start", "stop", F.size("path").alias("nodes"))
 
 
 @query(f"WITH {SQL_ARCS}, n AS (SELECT DISTINCT node_id FROM contigs WHERE node_id IS NOT NULL) SELECT src, dst, mult FROM ar WHERE abs(src) IN (SELECT node_id FROM n) AND abs(dst) IN (SELECT node_id FROM n)")
