@@ -129,10 +129,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], span: int):
         lo = 0
         while lo < len(rec):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, "right")) - 1)
-            got = _pieces_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], rec[lo:hi], span)
+            if hi == lo + 1:
+                # a record longer than a block is cut so that every window lies in one cut
+                for at in range(int(off[lo]), max(int(off[hi]) - span, int(off[lo])) + 1, BLOCK):
+                    stop = min(int(off[hi]), at + BLOCK + span - 1)
+                    got = _pieces_of(raw[at:stop], np.array([0, stop - at]), rec[lo:hi], span)
+                    if got is not None:
+                        yield (*got[:2], got[2] + (at - int(off[lo])), *got[3:])
+            else:
+                got = _pieces_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], rec[lo:hi], span)
+                if got is not None:
+                    yield got
             lo = hi
-            if got is not None:
-                yield got
 
 
 def _seeds(span: int):
@@ -248,9 +256,43 @@ def _shared_runs(seed, rec, start, size, again, data, boff, span: int) -> pa.Rec
     )
 
 
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Seed, record, start, letters, held again, bytes and byte counts of a batch of pieces, without Arrow's 2 GiB limit."""
+    column = batch.column(5)
+    boff = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[boff[0] : boff[-1]]
+    seed, rec, start, size, again = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+    return seed, rec, start, size, again.astype(bool), data, np.diff(boff).astype(np.int64)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _sliced(rows: tuple[np.ndarray, ...], lo: int, hi: int) -> tuple[np.ndarray, ...]:
+    """Pieces lo to hi of `rows`."""
+    before, inside = int(rows[6][:lo].sum()), int(rows[6][lo:hi].sum())
+    return (*(x[lo:hi] for x in rows[:5]), rows[5][before : before + inside], rows[6][lo:hi])
+
+
+def _of_seeds(rows: tuple[np.ndarray, ...], span: int) -> Iterator[pa.RecordBatch]:
+    """Shared runs of pieces sorted by seed, whole seeds up to BLOCK / 2 windows at once."""
+    seed = rows[0]
+    bounds = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1], True])
+    windows = np.concatenate([[0], np.cumsum(rows[3].astype(np.int64) - span + 1)])[bounds]
+    lo = 0
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(windows, windows[lo] + BLOCK // 2, "right")) - 1)
+        part = _sliced(rows, int(bounds[lo]), int(bounds[hi]))
+        lo = hi
+        yield _shared_runs(*part[:6], np.concatenate([[0], np.cumsum(part[6])]), span)
+
+
 def _verify(span: int):
+    """Pieces arrive sorted by seed (settled ones, without a seed, first): only the last seed of a batch waits for the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             settled = batch.column(0).is_null()
             if settled.true_count:
@@ -261,31 +303,17 @@ def _verify(span: int):
                     names=["rec", "start", "stop"],
                 )
                 batch = batch.filter(batch.column(0).is_valid())
-            if batch.num_rows:
-                held.append(batch)
-        if not held:
-            return
-        every = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)
-        every = every[0] if len(every) == 1 else pa.Table.from_batches(every).combine_chunks().to_batches()[0]
-        seed = every.column(0).to_numpy(zero_copy_only=False)
-        order = np.argsort(seed, kind="stable")
-        bounds = np.flatnonzero(np.r_[True, seed[order][1:] != seed[order][:-1]])
-        windows = np.cumsum(every.column(3).to_numpy(zero_copy_only=False)[order].astype(np.int64) - span + 1)
-        lo = 0
-        while lo < len(order):
-            # whole seeds up to BLOCK windows at once
-            limit = (windows[lo - 1] if lo else 0) + BLOCK // 2
-            hi = int(np.searchsorted(windows, limit, "right"))
-            if hi < len(order):
-                cut = int(np.searchsorted(bounds, hi, "right")) - 1
-                hi = int(bounds[cut]) if bounds[cut] > lo else (int(bounds[cut + 1]) if cut + 1 < len(bounds) else len(order))
-            part = every.take(pa.array(order[lo:hi]))
-            lo = hi
-            column = part.column(5)
-            boff = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-            data = np.frombuffer(column.buffers()[2], np.uint8)[boff[0] : boff[-1]]
-            values = [part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4)]
-            yield _shared_runs(*values[:4], values[4].astype(bool), data, boff - boff[0], span)
+            if not batch.num_rows:
+                continue
+            rows = _arrays(batch)
+            # the last seed may go on in the next batch
+            at = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            if at or (held and held[-1][0][-1] != rows[0][0]):
+                yield from _of_seeds(_joined([*held, _sliced(rows, 0, at)]), span)
+                held = []
+            held.append(_sliced(rows, at, len(rows[0])))
+        if held:
+            yield from _of_seeds(_joined(held), span)
 
     return run
 
@@ -332,5 +360,7 @@ def shared_spans(records: DataFrame, rec: str, text: str, span: int = 60, hot_ab
     rows = records.select(F.col(rec).cast("bigint").alias("rec"), F.col(text).alias("seq"))
     hot = hot_seeds(rows, span, parts, hot_above)
     pieces = rows.mapInArrow(_cut(span, hot), _PIECE)
-    runs = pieces.repartition(parts, F.coalesce("seed", F.col("rec"))).mapInArrow(_verify(span), _RUN)
+    # sorted by the engine, which spills: a task's Python holds one batch and one seed, never the partition
+    routed = pieces.repartition(parts, F.coalesce("seed", F.col("rec"))).sortWithinPartitions("seed")
+    runs = routed.mapInArrow(_verify(span), _RUN)
     return runs.repartition(parts, "rec").sortWithinPartitions("rec", "start").mapInArrow(_join_runs, _RUN)
