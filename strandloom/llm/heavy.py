@@ -10,8 +10,9 @@ without the value adds its own largest possible miss. So for each value
     count_low <= true count <= count_high,   count_high - count_low <= epsilon * rows.
 
 `top` settles the order: every value whose interval reaches the k-th largest lower
-bound is a candidate (no true top-k value can be outside), and where intervals
-overlap the candidates alone are counted exactly in a second scan. Summaries have
+bound is a candidate (no true top-k value can be outside once the k-th lower bound
+exceeds all that the summaries can have missed), and where intervals overlap the
+candidates alone are counted exactly in a second scan. Summaries have
 at most (1/epsilon) * log(epsilon * rows) entries, whatever the number of
 distinct values. Null values are not counted; ties at the border go to the
 smaller value.
@@ -95,10 +96,12 @@ def _summaries(epsilon: float):
     return run
 
 
-def intervals(values: DataFrame, epsilon: float = 1e-4) -> DataFrame:
-    """value, count_low, count_high of every value that may occur more than
-    epsilon * rows times. `values` has one BIGINT column."""
-    parts = values.mapInArrow(_summaries(epsilon), _SUMMARY)
+def _summarised(values: DataFrame, epsilon: float) -> DataFrame:
+    """The partitions' summaries, written once: they are bounded, the column is not, and it is read once only."""
+    return materialize(values.mapInArrow(_summaries(epsilon), _SUMMARY), "summaries")[0]
+
+
+def _merged(parts: DataFrame) -> DataFrame:
     merged = parts.groupBy("value").agg(
         F.sum("n").alias("count_low"), F.sum("miss").alias("miss"), F.sum("bucket").alias("covered")
     )
@@ -111,28 +114,47 @@ def intervals(values: DataFrame, epsilon: float = 1e-4) -> DataFrame:
     )
 
 
+def intervals(values: DataFrame, epsilon: float = 1e-4) -> DataFrame:
+    """value, count_low, count_high of every value that may occur more than
+    epsilon * rows times. `values` has one BIGINT column."""
+    return _merged(_summarised(values, epsilon))
+
+
+#: Summaries of at most about this many entries; beyond it `top` counts exactly.
+FINEST = 4e-7
+
+
 def top(values: DataFrame, k: int = 10, epsilon: float = 1e-4) -> DataFrame:
-    """The k most frequent values: value, count_low, count_high, place (1 = most)."""
+    """The k most frequent values: value, count_low, count_high (guaranteed), n (exact, where the intervals alone did
+    not settle the order), place (1 = most).
+
+    A value that every summary pruned may occur as often as the summaries can have missed; while the k-th lower bound
+    does not exceed that, the pass is repeated with a finer epsilon, and at last with an exact aggregation."""
     spark = values.sparkSession
-    schema = "value bigint, count_low bigint, count_high bigint, place int"
-    # bounded by the summaries; written once, since it is read several times
-    found, _ = materialize(intervals(values, epsilon), "intervals")
-    # a top-k report and its rivals: bounded by the summary, not by the data
-    best = found.orderBy(F.desc("count_low"), "value").limit(k).collect()
+    schema = "value bigint, count_low bigint, count_high bigint, n bigint, place int"
+    name = values.columns[0]
+    best, missed = [], 0
+    while epsilon >= FINEST:
+        parts = _summarised(values, epsilon)
+        missed = parts.filter("value is null").agg(F.coalesce(F.sum("miss"), F.lit(0))).first()[0]
+        found, _ = materialize(_merged(parts), "intervals")
+        # a top-k report and its rivals: bounded by the summary, not by the data
+        best = found.orderBy(F.desc("count_low"), "value").limit(k).collect()
+        if not missed or (len(best) == k and best[-1]["count_low"] > missed):
+            break
+        epsilon /= 16
+    else:
+        counts = values.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        rows = [(r[name], r["n"], r["n"], r["n"]) for r in counts.orderBy(F.desc("n"), name).limit(k).collect()]
+        return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], schema)
     if not best:
         return spark.createDataFrame([], schema)
     least = best[-1]["count_low"] if len(best) == k else 0
     near = found.filter(F.col("count_high") >= least)
-    rows = [(r["value"], r["count_low"], r["count_high"]) for r in best]
+    rows = [(r["value"], r["count_low"], r["count_high"], None) for r in best]
     if near.limit(k + 1).count() > k or any(a[1] <= b[2] for a, b in zip(rows, rows[1:], strict=False)):
-        name = values.columns[0]
-        exact = (
-            values.join(near.select(F.col("value").alias(name)), name, "left_semi")
-            .groupBy(name)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), name)
-            .limit(k)
-            .collect()
-        )
-        rows = [(r[name], r["n"], r["n"]) for r in exact]
+        own = values.select(F.col(name).alias("value"))
+        exact = own.join(near.select("value"), "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        both = exact.join(near, "value").orderBy(F.desc("n"), "value").limit(k)
+        rows = [(r["value"], r["count_low"], r["count_high"], r["n"]) for r in both.collect()]
     return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], schema)
