@@ -10,8 +10,9 @@ and any rank read from the digest is off by at most (32/k) * n. Digests merge by
 adding the counts of equal nodes, after which the same bound holds for the sum.
 
 Each input partition makes one digest a group (bounded by about 3k nodes); digests
-are merged in two steps, salted, so neither the group nor the merge is ever
-gathered whole. Digests of days merge into digests of longer periods the same way.
+are merged in a tree of two levels whose fan-in is about the root of the number of
+tasks, and compressed again as they arrive, so neither the group nor the merge is ever
+held whole. Digests of days merge into digests of longer periods the same way.
 
 Nulls and NaN are not counted. Infinities are the ends of the universe.
 A group without values gives no row.
@@ -19,6 +20,7 @@ A group without values gives no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import shuffle_partitions
+
 BITS = 32
 #: Default compression: rank error at most 32/6400 = 0.5 % of the values.
 K = 6400
+#: Least number of first-level merges a group.
 SALTS = 16
 
 
+def salts(spark) -> int:
+    """First-level merges a group: the root of the number of tasks, so that both levels of the tree have the same fan-in."""
+    tasks = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    return max(SALTS, math.isqrt(tasks))
+
+
 def leaves(values: np.ndarray) -> np.ndarray:
     """Leaf numbers (0 .. 2**32-1), in the order of the values."""
     b = (values.astype(np.float64) + 0.0).view(np.int64)
@@ -192,7 +203,7 @@ def _merge(k: int):
 def digests(values: DataFrame, k: int = K) -> DataFrame:
     """grp, salt (0), node, n: one digest a group. `values` has grp STRING and value DOUBLE."""
     rows = values.filter("grp is not null and value is not null").select("grp", F.col("value").cast("double").alias("value"))
-    parts = rows.mapInArrow(_partials(k, SALTS), _DIGEST)
+    parts = rows.mapInArrow(_partials(k, salts(values.sparkSession)), _DIGEST)
     return combined(parts, k)
 
 
