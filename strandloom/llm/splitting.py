@@ -31,17 +31,17 @@ PIECES = "array<struct<piece:int,start:bigint,stop:bigint,cut:string>>"
 SCHEMA = f"id bigint, length bigint, gaps array<bigint>, pieces {PIECES}, body string"
 
 
-def boundaries(body: str, gap: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Cut positions with their penalties, and the starts of the gaps."""
-    at, cost, gaps = [], [], []
-    for m in _RUNS.finditer(body):
-        real = m.end() - m.start() >= gap
-        if real:
-            gaps.append(m.start())
-        for p in {m.start(), m.end()}:
-            at.append(p)
-            cost.append(0.0 if real else SHORT_RUN)
-    return np.array(at, np.int64), np.array(cost), gaps
+def boundaries(body: str, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cut positions, both ends of every run of N, with their penalties: nothing at a run of `gap` letters or more."""
+    ends = [(m.start(), m.end()) for m in _RUNS.finditer(body)]
+    at = np.array(ends, np.int64).reshape(-1)
+    cost = np.repeat(np.where(at[1::2] - at[::2] >= gap, 0.0, SHORT_RUN), 2)
+    return at, cost
+
+
+def gap_starts(at: np.ndarray, cost: np.ndarray) -> list[int]:
+    """Where the gaps begin, read off the boundaries that cost nothing to cut at."""
+    return at[::2][cost[::2] == 0.0].tolist()
 
 
 def cuts(length: int, at: np.ndarray, cost: np.ndarray, most: int, overlap: int, grid: int) -> list[int]:
@@ -92,7 +92,7 @@ def _split(most: int, overlap: int, gap: int, grid: int, with_body: bool, over_o
                 body = _SPACE.sub("", text)
                 if over_only and len(body) <= most:
                     continue
-                at, cost, found = boundaries(body, gap)
+                at, cost = boundaries(body, gap)
                 ends = cuts(len(body), at, cost, most, overlap, grid)
                 price = dict(zip(at.tolist(), cost.tolist(), strict=True))
                 start, parts = 0, []
@@ -102,7 +102,7 @@ def _split(most: int, overlap: int, gap: int, grid: int, with_body: bool, over_o
                     start = end - overlap
                 ids.append(i)
                 lens.append(len(body))
-                gaps.append(found)
+                gaps.append(gap_starts(at, cost))
                 pieces.append(parts)
                 bodies.append(body if with_body else None)
             yield pa.RecordBatch.from_arrays(
