@@ -63,7 +63,7 @@ def p1_periods(spark: SparkSession, d: str) -> DataFrame:
     part = F.split("grp", r"\|")
     longer = days.withColumn("grp", F.explode(F.array(
         F.concat_ws("|", part[0], part[1], F.substring(part[2], 1, 7)), F.concat_ws("|", part[0], part[1], F.lit("all")),
-    ))).withColumn("salt", F.pmod(F.xxhash64(part[2]), F.lit(quantiles.SALTS)).cast("int"))
+    ))).withColumn("salt", F.pmod(F.xxhash64(part[2]), F.lit(quantiles.salts(spark))).cast("int"))
     return _split_group(quantiles.percentiles(quantiles.combined(longer)))
 
 
@@ -190,7 +190,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return p7_top(spark, d).select("place", unpack(F.col("value"), K).alias("kmer"), "count_low", "count_high")
+    return p7_top(spark, d).select("place", unpack(F.col("value"), K).alias("kmer"), "count_low", "count_high", F.col("n").alias("count"))
 
 
 # --- problem 8 -----------------------------------------------------------------
