@@ -3,13 +3,18 @@
 Queries are a stated set of records, searched against all records:
 
 1. seeds: each record's minimizers (the smallest hash among `window` consecutive
-   k-letter words) with their places; equal seeds of two records are matches;
-2. for each query and target the matches, in order of their place in the query, are
-   chained: a chain's score is its matched letters less gap costs (GAP for each letter
-   by which the two gaps differ, and a smaller cost for its length). The best
-   predecessor comes from a Fenwick tree of prefix maxima over target places;
-3. chains are aligned: the letters between chained seeds, on the two spans, by edit
-   operations; the share of equal letters must reach `least_identity`.
+   k-letter words) with their places; equal seeds of two records are matches, and
+   matches that overlap on one diagonal are one segment;
+2. for each query and target the segments are chained in order. A chain's score is the
+   letters of its segments less gap costs: GAP for each letter by which the gaps in query
+   and target differ, LENGTH for each letter of the shorter gap. The best predecessor is
+   exact: divide and conquer over the query's places, and for predecessors on either side
+   of the diagonal a Fenwick tree of prefix maxima whose keys hold the gap cost;
+3. a pair gives all its chains: the best one, then the best of what it leaves, and so on;
+4. chains are aligned: the letters between segments by edit operations. A chain is cut
+   into its best stretches, at gaps that cost more than the letters beside them are worth
+   at the least identity, the stretches grow at both ends while letters agree, and those of
+   at least `least_span` letters with the least identity are passages.
 
 Equal target texts form one class, searched once: matches are kept with the class's
 smallest record and `members` tells how many records it has, so copies of one text
@@ -17,11 +22,12 @@ never multiply the matches. The joined matches grow with the query set times the
 depth of the text around it, not with the square of all records.
 
 Records without letters, null ids or texts give nothing; ties in score go to the
-earlier predecessor.
+earlier predecessor. Repeated rows of one record count once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import mix64, text_bytes
-from ..runtime import shuffle_partitions
+from ..functions.kernels import lcs_length
+from ..runtime import materialize
 from .spans import _CODE, BLOCK, _rolling, _sliding_min
 
 GAP, LENGTH = 0.5, 0.02
@@ -78,10 +85,10 @@ def _minimizers(k: int, window: int):
 
 
 class Fenwick:
-    """Prefix maxima of (score, index) over ranks 1..n."""
+    """Prefix maxima of (score, -index) over ranks 1..n."""
 
     def __init__(self, n: int):
-        self.best = [(-1.0, -1)] * (n + 1)
+        self.best = [(-math.inf, 0)] * (n + 1)
 
     def put(self, at: int, value: tuple[float, int]) -> None:
         while at < len(self.best):
@@ -90,7 +97,7 @@ class Fenwick:
             at += at & -at
 
     def most(self, upto: int) -> tuple[float, int]:
-        out = (-1.0, -1)
+        out = (-math.inf, 0)
         while upto:
             if self.best[upto] > out:
                 out = self.best[upto]
@@ -98,88 +105,182 @@ class Fenwick:
         return out
 
 
-def chain(q: np.ndarray, t: np.ndarray, k: int) -> tuple[float, list[int]]:
-    """Best chain of matches (q, t), sorted by q then t: score and the matches in it.
-
-    With the cost LENGTH * (dq + dt) split between the ends, the best predecessor before t is a prefix
-    maximum; the cost for unequal gaps is then taken off the candidate and the chain ends where it
-    would be better to begin anew."""
-    order = np.argsort(t, kind="stable")
-    rank = np.empty(len(t), np.int64)
-    ts = t[order]
-    rank[order] = np.searchsorted(ts, ts, "left") + 1
-    tree = Fenwick(len(t))
-    score, back = np.zeros(len(q)), np.full(len(q), -1)
-    i = 0
-    while i < len(q):
-        j = i
-        while j < len(q) and q[j] == q[i]:
-            j += 1
-        for a in range(i, j):
-            score[a] = k
-            s, p = tree.most(int(rank[a]) - 1)
-            if p >= 0:
-                dq, dt = int(q[a] - q[p]), int(t[a] - t[p])
-                got = score[p] + min(k, dq, dt) - GAP * abs(dq - dt) - LENGTH * min(dq, dt)
-                if got > score[a]:
-                    score[a], back[a] = got, p
-        for a in range(i, j):
-            tree.put(int(rank[a]), (score[a] + LENGTH * (q[a] + t[a]), a))
-        i = j
-    end = int(score.argmax())
-    best, path = float(score[end]), []
-    while end >= 0:
-        path.append(end)
-        end = int(back[end])
-    return best, path[::-1]
-
-
-def equal_letters(a: bytes, b: bytes) -> int:
-    """Letters kept by the best alignment (longest common subsequence) of two short stretches."""
-    if a == b:
-        return len(a)
-    y = np.frombuffer(b, np.uint8)
-    row = np.zeros(len(y) + 1, np.int32)
-    for c in a:
-        step = row.copy()
-        step[1:] = np.maximum(row[1:], row[:-1] + (y == c))
-        row = np.maximum.accumulate(step)
-    return int(row[-1])
+def segments(q: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of k letters that overlap or touch on one diagonal as one: query start, target start, letters; by start."""
+    o = np.lexsort((q, t - q))
+    q, t = q[o], t[o]
+    head = np.flatnonzero(np.r_[True, (t[1:] - q[1:] != t[:-1] - q[:-1]) | (q[1:] > q[:-1] + k)])
+    tail = np.r_[head[1:], len(q)] - 1
+    q, t, n = q[head], t[head], q[tail] + k - q[head]
+    o = np.lexsort((t, q))
+    return q[o], t[o], n[o]
+
+
+def link(p: int, a: int, q: list[int], t: list[int], n: list[int], slack: int) -> float | None:
+    """What the step from segment p to segment a costs; None where p does not lie before a (they may overlap by `slack`)."""
+    gap_q, gap_t = q[a] - q[p] - n[p], t[a] - t[p] - n[p]
+    if gap_q < -slack or gap_t < -slack:
+        return None
+    return GAP * abs(gap_q - gap_t) + LENGTH * min(gap_q, gap_t)
+
+
+#: Segments up to this number are compared one with the other.
+FEW = 12
+
+
+def chain(q: np.ndarray, t: np.ndarray, n: np.ndarray, slack: int) -> tuple[list[float], list[int]]:
+    """Best score of a chain that ends in each segment, and the segment before it there (-1: none).
+
+    Segments come sorted by query start. `slack` must be smaller than every segment."""
+    q, t, n = q.tolist(), t.tolist(), n.tolist()
+    score, back = [float(x) for x in n], [-1] * len(q)
+    diagonal = [y - x for x, y in zip(q, t, strict=True)]
+
+    def offer(a: int, p: int, got: float) -> None:
+        got += n[a]
+        if got > score[a] or (got == score[a] and 0 <= p < back[a]):
+            score[a], back[a] = got, p
+
+    def across(lo: int, mid: int, hi: int) -> None:
+        ranks = {d: i + 1 for i, d in enumerate(sorted({diagonal[i] for i in range(lo, hi)}))}
+        most = len(ranks)
+        # predecessors on the same diagonal or a lower one: the query's gap is the shorter
+        left, right = sorted(range(lo, mid), key=lambda i: q[i] + n[i]), sorted(range(mid, hi), key=q.__getitem__)
+        tree, i = Fenwick(most), 0
+        for a in right:
+            while i < len(left) and q[left[i]] + n[left[i]] <= q[a] + slack:
+                p = left[i]
+                tree.put(ranks[diagonal[p]], (score[p] + GAP * diagonal[p] + LENGTH * (q[p] + n[p]), -p))
+                i += 1
+            s, p = tree.most(ranks[diagonal[a]])
+            if s > -math.inf:
+                offer(a, -p, s - GAP * diagonal[a] - LENGTH * q[a])
+        # predecessors on a higher diagonal: the target's gap is the shorter
+        left, right = sorted(range(lo, mid), key=lambda i: t[i] + n[i]), sorted(range(mid, hi), key=t.__getitem__)
+        tree, i = Fenwick(most), 0
+        for a in right:
+            while i < len(left) and t[left[i]] + n[left[i]] <= t[a] + slack:
+                p = left[i]
+                tree.put(most + 1 - ranks[diagonal[p]], (score[p] - GAP * diagonal[p] + LENGTH * (t[p] + n[p]), -p))
+                i += 1
+            s, p = tree.most(most - ranks[diagonal[a]])
+            if s > -math.inf:
+                offer(a, -p, s + GAP * diagonal[a] - LENGTH * t[a])
+
+    def solve(lo: int, hi: int) -> None:
+        if hi - lo <= FEW:
+            for a in range(lo, hi):
+                for p in range(lo, a):
+                    cost = link(p, a, q, t, n, slack)
+                    if cost is not None:
+                        offer(a, p, score[p] - cost)
+            return
+        mid = (lo + hi) // 2
+        solve(lo, mid)
+        across(lo, mid, hi)
+        solve(mid, hi)
+
+    solve(0, len(q))
+    return score, back
+
+
+def chains_of(score: list[float], back: list[int]) -> Iterator[list[int]]:
+    """All chains, best first; each segment is in one, a chain that runs into an earlier one is cut there."""
+    used = [False] * len(score)
+    for end in sorted(range(len(score)), key=lambda i: (-score[i], i)):
+        path, i = [], end
+        while i >= 0 and not used[i]:
+            used[i] = True
+            path.append(i)
+            i = back[i]
+        if path:
+            yield path[::-1]
+
+
+def best_stretches(worth: list[float]) -> list[tuple[int, int]]:
+    """All disjoint stretches [from, to) of greatest sum (Ruzzo and Tompa)."""
+    held: list[tuple[int, int, float, float]] = []
+    total = 0.0
+    for i, x in enumerate(worth):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        new = (i, i + 1, before, total)
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= new[2]:
+                j -= 1
+            if j < 0 or held[j][3] >= new[3]:
+                held.append(new)
+                break
+            new = (held[j][0], new[1], held[j][2], new[3])
+            del held[j:]
+    return [(a, b) for a, b, _, _ in held]
+
+
+def grown(a: np.ndarray, b: np.ndarray, least: float) -> tuple[int, int]:
+    """Letters by which a stretch grows into a and b from their beginnings, and how many of them agree."""
+    size = min(len(a), len(b))
+    if not size:
+        return 0, 0
+    same = a[:size] == b[:size]
+    worth = np.cumsum(np.where(same, 1 - least, -least))
+    # stop where it lies four disagreeing letters below its best
+    drop = np.flatnonzero(worth < np.maximum(np.maximum.accumulate(worth), 0) - 4 * least)
+    if len(drop):
+        worth = worth[: drop[0]]
+    if not len(worth) or worth.max() <= 0:
+        return 0, 0
+    at = int(worth.argmax()) + 1
+    return at, int(same[:at].sum())
+
+
+def aligned(q: np.ndarray, t: np.ndarray, n: np.ndarray, path: list[int], a: str, b: str, least: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """Passages of one chain: query start and stop, target start and stop, segments, identity."""
+    pieces: list[tuple[int, int, int, int, int, int]] = []  # query and target from-to, equal letters, letters
+    at_q = at_t = -1
+    for i in path:
+        x, y, size = int(q[i]), int(t[i]), int(n[i])
+        if pieces:
+            over = max(at_q - x, at_t - y, 0)
+            x, y, size = x + over, y + over, size - over
+            if size <= 0:
+                continue
+            if x > at_q or y > at_t:
+                pieces.append((at_q, x, at_t, y, lcs_length(a[at_q:x], b[at_t:y]), max(x - at_q, y - at_t)))
+        at_q, at_t = x + size, y + size
+        pieces.append((x, at_q, y, at_t, size, size))
+    code_a, code_b = (np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in (a, b))
+    for lo, hi in best_stretches([same - least * size for *_, same, size in pieces]):
+        part = pieces[lo:hi]
+        same, size = sum(p[4] for p in part), sum(p[5] for p in part)
+        qs, qe, ts, te = part[0][0], part[-1][1], part[0][2], part[-1][3]
+        # not into the neighbouring stretch
+        low_q, low_t = (pieces[lo - 1][0], pieces[lo - 1][2]) if lo else (0, 0)
+        high_q, high_t = (pieces[hi][1], pieces[hi][3]) if hi < len(pieces) else (len(a), len(b))
+        more, good = grown(code_a[low_q:qs][::-1], code_b[low_t:ts][::-1], least)
+        qs, ts, same, size = qs - more, ts - more, same + good, size + more
+        more, good = grown(code_a[qe:high_q], code_b[te:high_t], least)
+        qe, te, same, size = qe + more, te + more, same + good, size + more
+        yield qs, qe, ts, te, sum(p[4] == p[5] for p in part), same / size
 
 
 _MATCHED = "query bigint, target bigint, members bigint, query_start int, query_stop int, target_start int, target_stop int, seeds int, identity double"
 
 
 def _align(k: int, least_span: int, least_identity: float):
-    def one(rows: list[tuple], qtext: str, ttext: str):
-        q = np.array([r[0] for r in rows], np.int64)
-        t = np.array([r[1] for r in rows], np.int64)
-        o = np.lexsort((t, q))
-        q, t = q[o], t[o]
-        _, path = chain(q, t, k)
-        qs, qe, ts, te = int(q[path[0]]), int(q[path[-1]]) + k, int(t[path[0]]), int(t[path[-1]]) + k
-        if qe - qs < least_span:
-            return None
-        a, b = qtext.upper().encode("latin-1", "replace"), ttext.upper().encode("latin-1", "replace")
-        same, at_q, at_t = 0, qs, ts
-        for i in path:
-            x, y = int(q[i]), int(t[i])
-            if x >= at_q and y >= at_t:
-                same += equal_letters(a[at_q:x], b[at_t:y]) + k
-                at_q, at_t = x + k, y + k
-            elif x + k > at_q and y + k > at_t and x - at_q == y - at_t:
-                same += x + k - at_q
-                at_q, at_t = x + k, y + k
-        share = same / max(qe - qs, te - ts)
-        return (qs, qe, ts, te, len(path), share) if share >= least_identity else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                got = one([(m["q"], m["t"]) for m in r["matches"]], r["qtext"], r["ttext"])
-                if got:
-                    out.append((r["query"], r["target"], r["members"], *got))
+            for query, target, members, matches, qtext, ttext in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                both = np.array(matches, np.int64)
+                q, t, n = segments(both >> 32, both & 0xFFFFFFFF, k)
+                for path in chains_of(*chain(q, t, n, k - 1)):
+                    for got in aligned(q, t, n, path, qtext, ttext, least_identity):
+                        if got[1] - got[0] >= least_span and got[5] >= least_identity:
+                            out.append((query, target, members, *got))
+            # one passage may grow out of several chains
+            out = list(dict.fromkeys(out))
             cols = list(zip(*out, strict=True)) if out else [[]] * 9
             types = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.float64()]
             names = [x.split()[0] for x in _MATCHED.split(", ")]
@@ -189,23 +290,30 @@ def _align(k: int, least_span: int, least_identity: float):
 
 
 def passages(
-    records: DataFrame, rec: str, text: str, is_query, k: int = 15, window: int = 10, least_seeds: int = 3, least_span: int = 60, least_identity: float = 0.8
+    records: DataFrame, rec: str, text: str, is_query, k: int = 15, window: int = 10, least_seeds: int = 2, least_span: int = 60, least_identity: float = 0.8
 ) -> DataFrame:
-    """query, target (smallest record of its text class), members, spans in both, seeds, identity.
+    """query, target (smallest record of its text class), members, spans in both, seeds, identity: one row a passage.
 
-    `is_query` is a condition on the record id column, e.g. "read_id % 50 = 0". Each pair gives its best chain."""
-    parts = shuffle_partitions(records.sparkSession, 2)
+    `is_query` is a condition on the record id column, e.g. "read_id % 50 = 0". A pair with fewer than `least_seeds`
+    shared seeds gives no passage; the README has the recall that follows from that."""
     rows = records.filter(F.col(rec).isNotNull() & F.col(text).isNotNull() & (F.length(text) >= k + window)).select(
         F.col(rec).cast("bigint").alias("rec"), F.upper(text).alias("text"), F.expr(is_query if isinstance(is_query, str) else "false").alias("asks")
     ).distinct()
-    classes = rows.groupBy("text").agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("members"))
+    # written once: texts are scanned for seeds, and read again by the pairs that have enough of them
+    classes, _ = materialize(
+        rows.groupBy("text").agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("members"), F.collect_list(F.when(F.col("asks"), F.col("rec"))).alias("asking")), "classes"
+    )
     targets = classes.select("rec", "text").mapInArrow(_minimizers(k, window), _SEEDS).select(F.col("rec").alias("target"), "seed", F.col("place").alias("t"))
-    asked = rows.filter("asks").select("rec", "text")
-    queries = asked.mapInArrow(_minimizers(k, window), _SEEDS).select(F.col("rec").alias("query"), "seed", F.col("place").alias("q"))
-    both = targets.join(queries, "seed").groupBy("query", "target").agg(F.collect_list(F.struct("q", "t")).alias("matches")).filter(F.size("matches") >= least_seeds)
-    full = both.join(asked.select(F.col("rec").alias("query"), F.col("text").alias("qtext")), "query").join(
+    asked = classes.filter(F.size("asking") > 0).select(F.col("rec").alias("asked"), "text", "asking")
+    queries = asked.select("asked", "text").mapInArrow(_minimizers(k, window), _SEEDS).select(F.col("rec").alias("asked"), "seed", F.col("place").alias("q"))
+    place = F.shiftleft(F.col("q").cast("bigint"), 32).bitwiseOR(F.col("t").cast("bigint"))
+    both = targets.join(queries, "seed").groupBy("asked", "target").agg(F.collect_list(place).alias("matches")).filter(F.size("matches") >= least_seeds)
+    full = both.join(asked.select("asked", F.col("text").alias("qtext"), "asking"), "asked").join(
         classes.select(F.col("rec").alias("target"), F.col("text").alias("ttext"), "members"), "target"
     )
     # a query meets its own text class only if the class has another record
-    own = full.filter((F.col("qtext") != F.col("ttext")) | (F.col("members") > 1))
-    return own.select("query", "target", "members", "matches", "qtext", "ttext").repartition(parts).mapInArrow(_align(k, least_span, least_identity), _MATCHED)
+    own = full.filter((F.col("asked") != F.col("target")) | (F.col("members") > 1))
+    found = own.select("asked", "target", "members", "matches", "qtext", "ttext").mapInArrow(_align(k, least_span, least_identity), _MATCHED)
+    # equal queries were searched once
+    names = asked.select(F.col("asked").alias("query"), F.explode("asking").alias("own"))
+    return found.join(names, "query").select(F.col("own").alias("query"), *(c.split()[0] for c in _MATCHED.split(", ")[1:]))

@@ -1,12 +1,16 @@
 """Splitting, shared spans, chaining, leakage, personal information, and the queries against SQL."""
 
 import glob
+import math
 import os
 import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strandloom.llm import chains, leakage, pii, queries, spans, splitting
 
@@ -103,15 +107,88 @@ def test_chaining_finds_edited_passages(spark):
     assert got[100, 1].query_stop == hit.query_stop
 
 
-def test_fenwick_and_chain():
+def test_fenwick():
     f = chains.Fenwick(8)
     f.put(3, (5.0, 1))
     f.put(6, (4.0, 2))
-    assert f.most(2) == (-1.0, -1) and f.most(5) == (5.0, 1) and f.most(8) == (5.0, 1)
-    import numpy as np
+    assert f.most(2)[0] == -math.inf and f.most(5) == (5.0, 1) and f.most(8) == (5.0, 1)
 
-    score, path = chains.chain(np.array([0, 10, 20, 25]), np.array([0, 10, 500, 25]), 10)
-    assert path == [0, 1, 3] and score > 20
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 300)), min_size=1, max_size=70, unique=True), st.integers(4, 12))
+def test_chains_reach_the_best_score_of_the_recurrence(matches, k):
+    q, t, n = chains.segments(*np.array(matches, np.int64).T, k)
+    score, back = chains.chain(q, t, n, k - 1)
+    best = []
+    for a in range(len(q)):
+        steps = [(best[p], chains.link(p, a, q, t, n, k - 1)) for p in range(a)]
+        best.append(float(n[a]) + max([0.0, *(s - c for s, c in steps if c is not None)]))
+    assert np.allclose(score, best)
+    paths = list(chains.chains_of(score, back))
+    assert sorted(i for p in paths for i in p) == list(range(len(q)))
+    assert all(chains.link(x, y, q, t, n, k - 1) is not None for p in paths for x, y in zip(p, p[1:]))
+
+
+def test_best_stretches():
+    assert chains.best_stretches([4.0, -5.0, 3.0, -3.0, 1.0, 2.0, -2.0, 2.0, -2.0, 1.0, 5.0]) == [(0, 1), (2, 3), (4, 11)]
+    assert chains.best_stretches([-1.0]) == [] and chains.best_stretches([2.0, -1.0, 2.0]) == [(0, 3)]
+
+
+def test_every_passage_of_a_pair_is_found(spark):
+    a, b = dna(200, 20), dna(200, 21)
+    # apart on one diagonal, in another order, and twice: no single chain holds them all
+    rows = [(50, a + dna(1000, 22) + b), (1, a + dna(1000, 23) + b), (2, b + dna(30, 24) + a), (3, a + dna(90, 25) + a)]
+    got = {}
+    for x in chains.passages(spark.createDataFrame(rows, "i bigint, s string"), "i", "s", "i % 50 = 0").collect():
+        got.setdefault(x.target, set()).add((round(x.query_start, -1), round(x.target_start, -1), round(x.query_stop - x.query_start, -1)))
+    assert got == {1: {(0, 0, 200), (1200, 1200, 200)}, 2: {(0, 230, 200), (1200, 0, 200)}, 3: {(0, 0, 200), (0, 290, 200)}}
+
+
+def best_local(a, b):
+    """Letters and identity of the best local alignment (match 1, others -1), by the full matrix."""
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in (a, b))
+    h = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(1, len(a) + 1):
+        best = np.maximum(np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], 1, -1), h[i - 1, 1:] - 1), 0)
+        run = np.maximum.accumulate(best + np.arange(len(b)))  # gaps along the row
+        h[i, 1:] = np.maximum(best, run - np.arange(len(b)))
+    i, j = np.unravel_index(h.argmax(), h.shape)
+    stop, same, columns = i, 0, 0
+    while h[i, j] > 0:
+        columns += 1
+        if h[i, j] == h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
+            same += a[i - 1] == b[j - 1]
+            i, j = i - 1, j - 1
+        elif h[i, j] == h[i - 1, j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return stop - i, same / max(columns, 1)
+
+
+def test_recall_of_passages_against_full_alignment(spark, small):
+    """Every fiftieth read against all reads, and planted copies with edits in a tenth of their letters."""
+    reads = {r.read_id: r.seq.upper() for r in spark.read.parquet(f"{small}/read_set.parquet").filter("read_id is not null and seq is not null").collect()}
+    r = random.Random(30)
+    for i in range(40):
+        s = dna(160, 100 + i)
+        edited = "".join(r.choice([c, c, c, r.choice("ACGT"), "", c + r.choice("ACGT")]) if r.random() < 0.13 else c for c in s)
+        reads[10_000_000 + 50 * i], reads[10_000_001 + 50 * i] = s, dna(40, 200 + i) + edited + dna(30, 300 + i)
+    frame = spark.createDataFrame(list(reads.items()), "i bigint, s string")
+    first = {}
+    for i, s in sorted(reads.items()):
+        first.setdefault(s, i)
+    found = {(x.query, x.target) for x in chains.passages(frame, "i", "s", "i % 50 = 0").collect()}
+    true = set()
+    for q, a in reads.items():
+        if q % 50 == 0:
+            for b, t in first.items():
+                if t != q and min(len(a), len(b)) >= 60 and len({a[i : i + 9] for i in range(len(a))} & {b[i : i + 9] for i in range(len(b))}) > 0:
+                    span, identity = best_local(a, b)
+                    if span >= 60 and identity >= 0.8:
+                        true.add((q, t))
+    assert len(true) > 40 and len(true & found) >= 0.9 * len(true), (len(true), len(true & found))
+    print("recall", len(true & found) / len(true), len(true))
 
 
 # --- leakage ----------------------------------------------------------------------
