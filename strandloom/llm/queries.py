@@ -284,5 +284,9 @@ SELECT read_id, min(p) AS span_start, max(p) + 60 AS span_end FROM r GROUP BY re
     "p6_found": f"""WITH o AS (SELECT entry_id, seq_id, arrived_at, {_CANON} AS k FROM kmer_first),
 a AS (SELECT entry_id, seq_id, row_number() OVER (PARTITION BY k ORDER BY arrived_at, entry_id) AS x, row_number() OVER (PARTITION BY k, seq_id ORDER BY arrived_at, entry_id) AS y FROM o WHERE k IS NOT NULL)
 SELECT entry_id, 'kmer' AS key_kind FROM a WHERE x > 1 UNION ALL SELECT entry_id, 'kmer_seq' FROM a WHERE y > 1 AND seq_id IS NOT NULL""",
+    "p9_found": f"""WITH x AS (SELECT doc_id AS id, 'd' AS side, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT item_id, 'i', text FROM eval_items WHERE text IS NOT NULL),
+w AS (SELECT id, side, regexp_extract_all(lower(regexp_replace(text, '{leakage.MARKUP}', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+') AS words FROM x),
+g AS (SELECT DISTINCT id, side, array_to_string(list_slice(words, i, i + 11), ' ') AS gram FROM w, unnest(range(1, len(words) - 10)) t(i))
+SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM g a JOIN g b USING (gram) WHERE a.side = 'd' AND b.side = 'i'""",
     "p7_found": f"WITH c AS (SELECT {_CANON} AS kmer, count(*) AS n FROM kmer_index GROUP BY 1) SELECT kmer FROM c WHERE kmer IS NOT NULL ORDER BY n DESC, kmer LIMIT 10",
 }

@@ -211,6 +211,31 @@ def test_leaked_passages(spark):
     assert leakage.matches(d.limit(0), "doc_id", "text", e, "item_id", "text").count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.integers(0, 3), max_size=25), st.integers(1, 4))
+def test_suffix_arrays_are_sorted_and_searched(shard, items, least):
+    ids, other = np.array(shard, np.int64), np.array(items, np.int64)
+    array = leakage.suffix_array(ids, leakage._whole(ids, least)).tolist()
+    ends = {p: next((e for e in range(p, len(shard)) if shard[e] == 0), len(shard)) for p in array}
+    keys = [(shard[p : ends[p]], p) for p in array]
+    assert keys == sorted(keys) and sorted(array) == leakage._whole(ids, least).tolist()
+    starts = leakage._whole(other, least)
+    for j, lo, hi in zip(starts, *leakage.found_ranges(ids, np.array(array, np.int64), other, starts, least), strict=True):
+        assert sorted(array[lo:hi]) == [p for p in sorted(array) if shard[p : p + least] == items[j : j + least]]
+
+
+def test_items_beyond_a_block_are_all_searched(spark, monkeypatch):
+    w = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(w[i : i + 14])) for i in range(40)] + [(99, " ".join(w[:14]))]
+    docs = spark.createDataFrame([(i, " ".join(w[i : i + 15])) for i in range(40)] + [(50, " ".join(w))], "doc_id bigint, text string")
+    e = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(x.doc, x.item, x.words, x.doc_word, x.item_word) for x in leakage.matches(docs, "doc_id", "text", e, "item_id", "text").collect()}
+    monkeypatch.setattr(leakage, "BLOCK_LETTERS", 200)
+    monkeypatch.setattr(leakage, "PLACES", 3)
+    got = {(x.doc, x.item, x.words, x.doc_word, x.item_word) for x in leakage.matches(docs, "doc_id", "text", e, "item_id", "text").collect()}
+    assert got == want and {(d, i) for d, i, *_ in got} >= {(50, i) for i in range(40)} | {(0, 99), (50, 99)}
+
+
 # --- personal information -----------------------------------------------------------
 
 
