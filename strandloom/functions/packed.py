@@ -19,9 +19,10 @@ SCHEMA = "read_id bigint, pos int, kmer bigint, fwd boolean"
 #: Letters handled at once.
 BLOCK = 1 << 20
 #: Unknown letters count as A.
-_CODE = np.zeros(256, np.uint8)
+_CODE, _UNKNOWN = np.zeros(256, np.uint8), np.ones(256, bool)
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
+    _UNKNOWN[ord(_c)] = _UNKNOWN[ord(_c.lower())] = False
 
 
 def words(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +47,7 @@ def words(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return fwd[:n], rev[:n]
 
 
-def _rows(k: int, stranded: bool):
+def _rows(k: int, stranded: bool, known: bool):
     def block(raw, off, read, turned):
         code = _CODE[raw]
         if len(code) < k:
@@ -56,6 +57,9 @@ def _rows(k: int, stranded: bool):
         owner = np.repeat(np.arange(len(lens)), lens)[: len(fwd)]
         pos = np.arange(len(fwd)) - off[owner]
         ok = pos + k <= lens[owner]
+        if known:
+            gone = np.concatenate([[0], np.cumsum(_UNKNOWN[raw])])
+            ok &= gone[k : k + len(fwd)] == gone[: len(fwd)]
         owner, pos, fwd, rev = owner[ok], pos[ok], fwd[ok], rev[ok]
         forward = ~turned[owner] if stranded else fwd <= rev
         return read[owner], pos.astype(np.int32), np.where(forward, fwd, rev), forward
@@ -76,10 +80,12 @@ def _rows(k: int, stranded: bool):
     return run
 
 
-def packed_kmers(reads: DataFrame, k: int, strand_specific: bool = False) -> DataFrame:
-    """read_id, pos, kmer (packed, canonical or by strand), fwd for all k-mers of reads(read_id, seq[, second_in_pair]); k <= 31."""
+def packed_kmers(reads: DataFrame, k: int, strand_specific: bool = False, known: bool = False) -> DataFrame:
+    """read_id, pos, kmer (packed, canonical or by strand), fwd for all k-mers of reads(read_id, seq[, second_in_pair]); k <= 31.
+
+    With `known`, k-mers with a letter other than A, C, G, T are left out."""
     if not 1 <= k <= 31:
         raise ValueError("packed k-mers have at most 31 letters")
     columns = ["read_id", "seq", *(["second_in_pair"] if strand_specific else [])]
     rows = reads.filter("read_id is not null and seq is not null").select(*columns)
-    return rows.selectExpr("cast(read_id as bigint) as read_id", *columns[1:]).mapInArrow(_rows(k, strand_specific), SCHEMA)
+    return rows.selectExpr("cast(read_id as bigint) as read_id", *columns[1:]).mapInArrow(_rows(k, strand_specific, known), SCHEMA)

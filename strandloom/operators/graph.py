@@ -11,7 +11,10 @@ folder and read back.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from ..functions import dna
 from ..functions.kernels import lcs_score
 from ..runtime import discard, materialize
 from . import stats
+from ..functions.packed import packed_kmers
 from .hashing import kmer_rows
 from .ordered import numbered
 
@@ -81,12 +85,21 @@ def simple_links(arcs: DataFrame) -> DataFrame:
     return one.join(degrees_out.filter("o = 1"), "src").join(degrees_in.filter("i = 1"), "dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
 
 
-def concatenate(nodes: DataFrame, arcs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Merge all unambiguous chains: (nodes, arcs, map old signed id -> new signed id).
+def concatenate(nodes: DataFrame, arcs: DataFrame, k: int, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merge all unambiguous chains: (nodes, arcs, members as in `joining`: old signed id, new id, start, total).
 
     New ids are dense, in order of the smallest old id in the chain. One strand of each chain
-    is kept; of a chain that is its own twin, the half from the smaller head."""
-    ranks, _ = materialize(chains(simple_links(arcs)), "ranks")
+    is kept; of a chain that is its own twin, the half from the smaller head. Paths of the tables written are
+    added to `scratch`; who passes it may discard them once nothing reads this result any more."""
+    spark, kept_paths = nodes.sparkSession, []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        out, path = materialize(df, label)
+        kept_paths.append(path)
+        return out
+
+    simple = written(simple_links(arcs), "simple")
+    ranks = written(chains(simple), "ranks")
     tails = ranks.groupBy("head").agg(F.max_by("u", "rank").alias("tail"), F.min(F.abs("u")).alias("low"))
     kept = tails.filter("head < -tail or head = -tail").select("head", "low")
     members = ranks.join(kept, "head")
@@ -106,28 +119,34 @@ def concatenate(nodes: DataFrame, arcs: DataFrame, k: int) -> tuple[DataFrame, D
         F.sum("length").alias("length"), F.sum("cov").alias("cov"),
         F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"])).alias("seq"),
     )
-    merged, _ = materialize(merged, "nodes")
-    mapping = placed.select(F.col("u").alias("old"), "new_id", "rank", "length").select("old", F.col("new_id").alias("new"), "rank", "length")
-    mapping, _ = materialize(mapping, "map")
-    both = mapping.select("old", "new", "rank").unionByName(mapping.select((-F.col("old")).alias("old"), (-F.col("new")).alias("new"), "rank"))
-    inner = members.select("u").unionByName(members.select((-F.col("u")).alias("u")))
-    inside = simple_links(arcs).join(ranks.select(F.col("u"), F.col("head").alias("h1"), F.col("rank").alias("r1")), "u").join(
+    merged = written(merged, "nodes")
+    mapping = written(placed.select(F.col("u").alias("old"), F.col("new_id").alias("new"), "rank", "length"), "map")
+    both = mapping.select("old", "new").unionByName(mapping.select((-F.col("old")).alias("old"), (-F.col("new")).alias("new")))
+    inside = simple.join(ranks.select(F.col("u"), F.col("head").alias("h1"), F.col("rank").alias("r1")), "u").join(
         ranks.select(F.col("u").alias("v"), F.col("head").alias("h2"), F.col("rank").alias("r2")), "v"
     ).filter("h1 = h2 and r2 = r1 + 1").select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    del inner
     outer = arcs.join(inside, ["src", "dst"], "left_anti")
     renamed = outer.join(both.select(F.col("old").alias("src"), F.col("new").alias("a")), "src").join(
         both.select(F.col("old").alias("dst"), F.col("new").alias("b")), "dst"
     ).select(F.col("a").alias("src"), F.col("b").alias("dst"), "mult")
-    new_arcs, _ = materialize(stats.canonical_arcs(renamed), "arcs")
-    return merged, new_arcs, both.select("old", "new")
+    new_arcs = written(stats.canonical_arcs(renamed), "arcs")
+    before = W.partitionBy("new").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    at = mapping.select(
+        "old", "new", (F.sum("length").over(before) - F.col("length")).alias("start"), F.sum("length").over(W.partitionBy("new")).alias("total")
+    )
+    if scratch is not None:
+        scratch += kept_paths
+    else:
+        for path in kept_paths[:2]:
+            discard(spark, path)
+    return merged, new_arcs, at
 
 
-def kmer_graph(reads: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def kmer_graph(reads: DataFrame, k: int, strand_specific: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes of one k-mer each and arcs between consecutive k-mers of reads(read_id, seq), k <= 31 and odd.
 
-    Ids are packed k-mers plus one."""
-    rows = kmer_rows(reads, k, packed=True).withColumn("node", (F.col("kmer") + 1) * F.when(F.col("fwd"), 1).otherwise(-1))
+    Ids are packed k-mers plus one. With `strand_specific` a k-mer and its reverse complement are two nodes."""
+    rows = kmer_rows(reads, k, strand_specific, packed=True).withColumn("node", (F.col("kmer") + 1) * F.when(F.col("fwd"), 1).otherwise(-1))
     nodes = rows.groupBy((F.col("kmer") + 1).alias("node_id")).agg(F.lit(1).cast("bigint").alias("length"), F.count(F.lit(1)).alias("cov"))
     nodes = nodes.withColumn("seq", dna.unpack(F.col("node_id") - 1, k))
     w = W.partitionBy("read_id").orderBy("pos")
@@ -136,25 +155,31 @@ def kmer_graph(reads: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return nodes, arcs
 
 
-def unitigs(reads: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def unitigs(reads: DataFrame, k: int, strand_specific: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and arcs of the graph with all unambiguous chains merged."""
-    nodes, arcs = (materialize(x, "kmers")[0] for x in kmer_graph(reads, k))
+    spark = reads.sparkSession
+    (nodes, a), (arcs, b) = (materialize(x, "kmers") for x in kmer_graph(reads, k, strand_specific))
     merged, new_arcs, _ = concatenate(nodes, arcs, k)
+    discard(spark, a)
+    discard(spark, b)
     return merged, new_arcs
 
 
-def node_kmers(nodes: DataFrame, k: int) -> DataFrame:
-    """kmer (canonical), node (signed: strand on which the node spells it), off."""
-    rows = nodes.select("node_id", F.explode(dna.kmer_positions(F.col("seq"), k)).alias("x"))
-    word, rc = F.col("x.word"), dna.revcomp(F.col("x.word"))
-    return rows.select(F.least(word, rc).alias("kmer"), F.when(word <= rc, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.col("x.pos").cast("bigint").alias("off"))
+def node_kmers(nodes: DataFrame, k: int, strand_specific: bool = False) -> DataFrame:
+    """kmer (packed, canonical), node (signed: strand on which the node spells it), off; k-mers with other letters are left out.
+
+    A k-mer that stands on nodes more than once is taken at its first place in order of node and offset."""
+    rows = nodes.select(F.col("node_id").alias("read_id"), "seq", F.lit(False).alias("second_in_pair"))
+    words = packed_kmers(rows, k, strand_specific, known=True)
+    place = F.struct(F.col("read_id").alias("id"), F.col("pos").cast("bigint").alias("off"), (F.col("read_id") * F.when(F.col("fwd"), 1).otherwise(-1)).alias("node"))
+    return words.groupBy("kmer").agg(F.min(place).alias("p")).select("kmer", "p.node", "p.off")
 
 
-def thread(reads: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def thread(reads: DataFrame, nodes: DataFrame, k: int, strand_specific: bool = False) -> DataFrame:
     """read_id, category, pos, node (signed), off for the k-mers of each read that lie on the graph.
 
     K-mers before the first hit are passed over; the first miss after a hit ends the read."""
-    kmers = kmer_rows(reads, k).join(node_kmers(nodes, k), "kmer", "left")
+    kmers = kmer_rows(reads, k, strand_specific, packed=True).join(node_kmers(nodes, k, strand_specific), "kmer", "left")
     node = F.when(F.col("fwd"), F.col("node")).otherwise(-F.col("node"))
     w = W.partitionBy("read_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     hit = kmers.withColumn("node", node).withColumn("seen", F.max(F.col("node").isNotNull()).over(w))
@@ -167,12 +192,15 @@ def coverage(threads: DataFrame) -> DataFrame:
     return threads.groupBy(F.abs("node").alias("node_id"), "category").agg(F.count(F.lit(1)).alias("cov"))
 
 
-def read_starts(threads: DataFrame) -> DataFrame:
-    """node (signed), read_id, position, offset of each read's first entry into a node; position -1 when it enters again."""
+def read_starts(threads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node (signed), read_id, position (k-mers from the signed node's start), offset (in the read) of each read's first
+    entry into a node; position -1 when it enters again. A read's twin strand is not listed."""
     w = W.partitionBy("read_id").orderBy("pos")
     entry = threads.withColumn("prev", F.lag("node").over(w)).filter("prev is null or prev <> node")
-    rows = entry.groupBy("node", "read_id").agg(F.min("pos").alias("p"), F.min_by("off", "pos").alias("offset"), F.count(F.lit(1)).alias("n"))
-    return rows.select("node", "read_id", F.when(F.col("n") > 1, -1).otherwise(F.col("p")).cast("bigint").alias("position"), "offset")
+    rows = entry.groupBy("node", "read_id").agg(F.min(F.struct("pos", "off")).alias("p"), F.count(F.lit(1)).alias("n"))
+    at = rows.join(nodes.select(F.col("node_id").alias("i"), "length"), F.abs("node") == F.col("i"))
+    position = F.when(F.col("n") > 1, -1).when(F.col("node") > 0, F.col("p.off")).otherwise(F.col("length") - 1 - F.col("p.off"))
+    return at.select("node", "read_id", position.cast("bigint").alias("position"), F.col("p.pos").cast("bigint").alias("offset"))
 
 
 def arcs_of_threads(threads: DataFrame) -> DataFrame:
@@ -202,20 +230,28 @@ def dead_ends(nodes: DataFrame, arcs: DataFrame, k: int, minority: bool) -> Data
     return judged.groupBy(F.abs("n").alias("node_id")).agg(F.min(lost.cast("int")).alias("all_lost")).filter("all_lost = 1").select("node_id")
 
 
-def clip_tips(nodes: DataFrame, arcs: DataFrame, k: int, minority: bool = True, spared: DataFrame | None = None, most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Clip tips and merge what became unambiguous, until nothing changes. `spared` (node_id) is for a single round."""
-    for _ in range(most_rounds):
+def _thrown_away(spark, paths: list[str]) -> None:
+    for p in paths:
+        discard(spark, p)
+
+
+def clip_tips(nodes: DataFrame, arcs: DataFrame, k: int, minority: bool = True, spared: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clip tips and merge what became unambiguous, until nothing changes: every round takes nodes away, so it ends.
+
+    `spared` gives, for the nodes of a round, those (node_id) that are never clipped."""
+    spark, before = nodes.sparkSession, []
+    while True:
         gone = dead_ends(nodes, arcs, k, minority)
         if spared is not None:
-            gone = gone.join(spared, "node_id", "left_anti")
-        gone, _ = materialize(gone, "tips")
+            gone = gone.join(spared(nodes), "node_id", "left_anti")
+        gone, path = materialize(gone, "tips")
         if not gone.limit(1).count():
             return nodes, arcs
+        new: list[str] = []
         nodes, arcs = removed(nodes, arcs, gone)
-        nodes, arcs, _ = concatenate(nodes, arcs, k)
-        if spared is not None:
-            return nodes, arcs
-    return nodes, arcs
+        nodes, arcs, _ = concatenate(nodes, arcs, k, new)
+        _thrown_away(spark, [*before, path])
+        before = new
 
 
 def removed(nodes: DataFrame, arcs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,47 +262,134 @@ def removed(nodes: DataFrame, arcs: DataFrame, gone: DataFrame) -> tuple[DataFra
     return left, kept
 
 
-def bubbles(nodes: DataFrame, arcs: DataFrame, k: int, max_gaps: int = 3, max_divergence: float = 0.2, max_branch: int = 100) -> DataFrame:
-    """Pairs loser, winner of parallel paths between one start and one end that align well enough.
+def tours(nodes: DataFrame, arcs: DataFrame, max_branch: int = 100) -> DataFrame:
+    """start, stop, fast, slow: two walks of distinct nodes from one start that meet again at one stop.
 
-    Both paths are single nodes (chains are merged before) with one way in and out; the stronger one,
-    by multiplicity of its entering arc over its length, wins."""
-    both = stats.both_strands(arcs)
-    deg = both.groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("o"))
-    ins = both.groupBy(F.col("dst").alias("n")).agg(F.count(F.lit(1)).alias("i"))
-    inner = deg.filter("o = 1").join(ins.filter("i = 1"), "n").select("n")
-    arms = (
-        inner.join(both.select(F.col("dst").alias("n"), F.col("src").alias("a"), F.col("mult").alias("m")), "n")
-        .join(both.select(F.col("src").alias("n"), F.col("dst").alias("b")), "n")
-        .join(nodes.select(F.col("node_id").alias("__id"), "length", "seq"), F.abs("n") == F.col("__id"))
-        .filter((F.col("length") <= max_branch + k) & (F.abs("a") != F.abs("n")) & (F.abs("b") != F.abs("n")))
+    From every signed node with several arcs, walks go on together, an arc a round. A step takes the time length /
+    multiplicity of the node it leaves. Of the walks of one start that reach a node, the one with the least time goes on;
+    each other one makes a pair with it. The nodes between are at most `max_branch` k-mers long in all, so a start's
+    walks stay near it. A pair is given once for both strands."""
+    info = nodes.select(F.col("node_id").alias("i"), F.col("length").alias("l"))
+    both, _ = materialize(
+        stats.both_strands(arcs).join(info, F.abs("src") == F.col("i")).select(F.col("src").alias("s"), F.col("dst").alias("d"), (F.col("l") / F.greatest("mult", F.lit(1))).alias("cost")), "steps"
+    )
+    several = both.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s")
+    none = F.array().cast("array<bigint>")
+    walk = both.join(several, "s").filter("abs(d) <> abs(s)").select(F.col("s").alias("start"), F.col("d").alias("at"), none.alias("path"), F.lit(0).cast("bigint").alias("inner"), F.col("cost").alias("time"))
+    settled = met = None
+    while True:
+        order = W.partitionBy("start", "at").orderBy("time", "path")
+        ranked = walk.withColumn("r", F.row_number().over(order)).withColumn("best", F.first(F.struct("path", "time")).over(order))
+        if settled is None:
+            ranked = ranked.withColumn("old", F.lit(None).cast("struct<path:array<bigint>,time:double>"))
+        else:
+            ranked = ranked.join(settled.select("start", "at", F.struct("path", "time").alias("old")), ["start", "at"], "left")
+        ranked, _ = materialize(ranked, "tours")
+        other = F.coalesce("old", "best")
+        pair = ranked.filter("old is not null or r > 1").select("start", F.col("at").alias("stop"), F.struct("time", "path").alias("a"), F.struct(other["time"].alias("time"), other["path"].alias("path")).alias("b"))
+        met = pair if met is None else met.unionByName(pair)
+        new = ranked.filter("old is null and r = 1").select("start", "at", "path", "inner", "time")
+        settled = new if settled is None else settled.unionByName(new)
+        on = new.join(info, F.abs("at") == F.col("i")).filter(F.col("inner") + F.col("l") <= max_branch).join(both, F.col("at") == F.col("s"))
+        on = on.filter((F.abs("d") != F.abs("start")) & (F.abs("d") != F.abs("at")) & ~F.array_contains(F.transform("path", F.abs), F.abs("d")))
+        walk, _ = materialize(on.select("start", F.col("d").alias("at"), F.array_append("path", F.col("at")).alias("path"), (F.col("inner") + F.col("l")).alias("inner"), (F.col("time") + F.col("cost")).alias("time")), "tour")
+        if not walk.limit(1).count():
+            break
+    fast, slow = F.least("a", "b")["path"], F.greatest("a", "b")["path"]
+    plain = lambda c: F.transform(c, F.abs)
+    found = met.select("start", "stop", fast.alias("fast"), slow.alias("slow")).filter(
+        (F.size("fast") > 0) & (F.size("slow") > 0) & (F.col("fast")[0] != F.col("slow")[0]) & ~F.arrays_overlap(plain("fast"), plain("slow"))
+        & ~F.array_contains(plain("fast"), F.abs("stop")) & ~F.array_contains(plain("slow"), F.abs("stop"))
     )
-    # each bubble once: the direction with the smaller start
-    arms = arms.filter("a < -b or (a = -b and n > 0)")
-    s = F.when(F.col("n") > 0, F.col("seq")).otherwise(dna.revcomp(F.col("seq")))
-    order = W.partitionBy("a", "b").orderBy(F.desc(F.col("m") / F.col("length")), F.abs("n"))
-    ranked = arms.withColumn("s", s).withColumn("r", F.row_number().over(order)).withColumn("best", F.first(F.struct("n", "s")).over(order))
-    pairs = ranked.filter("r > 1 and n <> best.n").select("n", F.col("best.n").alias("w"), "s", F.col("best.s").alias("t"))
-    score = lcs_score(F.col("s"), F.col("t"))
-    most = F.greatest(F.length("s"), F.length("t"))
-    good = pairs.withColumn("score", score).filter((F.col("score") >= most - max_gaps) & (1 - F.col("score") / most <= max_divergence))
-    return good.select(F.abs("n").alias("loser"), F.abs("w").alias("winner")).filter("loser <> winner").groupBy("loser").agg(F.min("winner").alias("winner"))
-
-
-def pop_bubbles(nodes: DataFrame, arcs: DataFrame, k: int, most_rounds: int = 20, **limits) -> tuple[DataFrame, DataFrame]:
-    """Merge bubbles until none is left: the loser's coverage moves to the winner, its arcs go."""
-    for _ in range(most_rounds):
+    # the other strand tells of the same pair
+    turn = F.col("start") > -F.col("stop")
+    back = lambda c: F.when(turn, F.reverse(F.transform(c, lambda x: -x))).otherwise(F.col(c))
+    one = found.select(F.when(turn, -F.col("stop")).otherwise(F.col("start")).alias("start"), F.when(turn, -F.col("start")).otherwise(F.col("stop")).alias("stop"), back("fast").alias("fast"), back("slow").alias("slow"))
+    set_ = F.array_sort(F.concat(plain("fast"), plain("slow")))
+    return one.groupBy("start", "stop", set_.alias("set")).agg(F.min(F.struct("fast", "slow")).alias("x")).select("start", "stop", "x.fast", "x.slow")
+
+
+def bubbles(nodes: DataFrame, arcs: DataFrame, k: int, max_gaps: int = 3, max_divergence: float = 0.2, max_branch: int = 100) -> DataFrame:
+    """start, stop, fast, slow and the nodes' lengths: the pairs of `tours` whose letters align well enough, no two in conflict.
+
+    A pair is in conflict with another one that holds a node of its slow walk; the one with the smaller key stays for now."""
+    pairs, _ = materialize(tours(nodes, arcs, max_branch).withColumn("id", F.xxhash64("start", "stop", "fast", "slow")), "pairs")
+    own = nodes.select(F.col("node_id").alias("i"), "length", "seq")
+    letters = F.when(F.col("x") > 0, F.col("seq")).otherwise(dna.revcomp(F.col("seq"))).substr(F.lit(k), F.length("seq"))
+    for side in ("fast", "slow"):
+        rows = pairs.select("id", F.posexplode(side).alias("at", "x")).join(own, F.abs("x") == F.col("i"))
+        listed = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", letters.alias("p"), "length"))).alias("rows"))
+        pairs = pairs.join(listed.select("id", F.concat_ws("", F.transform("rows", lambda x: x["p"])).alias(f"{side}_text"), F.transform("rows", lambda x: x["length"]).alias(f"{side}_length")), "id")
+    most = F.greatest(F.length("fast_text"), F.length("slow_text"))
+    good = pairs.withColumn("score", lcs_score(F.col("fast_text"), F.col("slow_text"))).filter(
+        (F.col("score") >= most - max_gaps) & (1 - F.col("score") / F.greatest(most, F.lit(1)) <= max_divergence)
+    ).select("id", "start", "stop", "fast", "slow", "fast_length", "slow_length")
+    good, _ = materialize(good, "aligned")
+    held = good.select("id", F.explode(F.array_union(F.array(F.abs("start"), F.abs("stop")), F.transform("fast", F.abs))).alias("n"), F.lit(False).alias("goes")).unionByName(
+        good.select("id", F.explode(F.transform("slow", F.abs)).alias("n"), F.lit(True).alias("goes"))
+    )
+    least = held.groupBy("n").agg(F.min("id").alias("least"), F.max("goes").alias("goes")).filter("goes").select("n", "least")
+    late = held.join(least, "n").filter("id <> least").select("id").distinct()
+    return good.join(late, "id", "left_anti")
+
+
+_FOLD = "x bigint, out_to bigint, in_to bigint, cov_to bigint"
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node of a slow walk, where arcs that leave or enter it go, and which node takes its coverage.
+
+    Both walks are laid over each other in proportion; a border between slow nodes moves to the nearest border of the fast
+    walk, the start's end and the stop's beginning included, so arcs inside the slow walk fall on arcs of the fast one."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            ends = np.cumsum(r["fast_length"])
+            borders = np.concatenate([[0], ends])
+            leaving, entering = [r["start"], *r["fast"]], [*r["fast"], r["stop"]]
+            scale, at = ends[-1] / sum(r["slow_length"]), 0
+            for x, size in zip(r["slow"], r["slow_length"], strict=True):
+                first, last = (int(np.abs(borders - scale * p).argmin()) for p in (at, at + size))
+                middle = int(np.searchsorted(ends, scale * (at + size / 2), "left"))
+                out.append((x, leaving[last], entering[first], abs(r["fast"][min(middle, len(ends) - 1)])))
+                at += size
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["x", "out_to", "in_to", "cov_to"])
+
+
+def pop_bubbles(nodes: DataFrame, arcs: DataFrame, k: int, **limits) -> tuple[DataFrame, DataFrame]:
+    """Merge bubbles until none is left; every round takes nodes away, so it ends.
+
+    The slow walk's coverage moves to the fast one, its arcs are added to those of the fast walk, and side branches hang on
+    the fast walk's border nearest to their place."""
+    spark, before = nodes.sparkSession, []
+    while True:
         found = bubbles(nodes, arcs, k, **limits)
-        # a winner that loses elsewhere in this round waits for the next one
-        found = found.join(found.select(F.col("loser").alias("winner")), "winner", "left_anti")
-        found, _ = materialize(found, "bubbles")
-        if not found.limit(1).count():
+        moves, path = materialize(found.select("start", "stop", "fast", "slow", "fast_length", "slow_length").mapInArrow(_folded, _FOLD), "bubbles")
+        if not moves.limit(1).count():
             return nodes, arcs
-        moved = found.join(nodes.select(F.col("node_id").alias("loser"), "cov"), "loser").groupBy(F.col("winner").alias("node_id")).agg(F.sum("cov").alias("more"))
-        nodes, arcs = removed(nodes, arcs, found.select(F.col("loser").alias("node_id")))
-        nodes = nodes.join(moved, "node_id", "left").withColumn("cov", F.col("cov") + F.coalesce("more", F.lit(0))).drop("more")
-        nodes, arcs, _ = concatenate(nodes, arcs, k)
-    return nodes, arcs
+        more = moves.select(F.abs("x").alias("node_id"), "cov_to").join(nodes.select("node_id", "cov"), "node_id").groupBy(F.col("cov_to").alias("node_id")).agg(F.sum("cov").alias("more"))
+        left = nodes.join(moves.select(F.abs("x").alias("node_id")), "node_id", "left_anti").join(more, "node_id", "left")
+        left = left.withColumn("cov", F.col("cov") + F.coalesce("more", F.lit(0))).drop("more")
+        # the twin of a slow node: what leaves it is what enters the node
+        as_src = moves.select(F.col("x").alias("src"), F.col("out_to").alias("a")).unionByName(moves.select((-F.col("x")).alias("src"), (-F.col("in_to")).alias("a")))
+        as_dst = moves.select(F.col("x").alias("dst"), F.col("in_to").alias("b")).unionByName(moves.select((-F.col("x")).alias("dst"), (-F.col("out_to")).alias("b")))
+        renamed = arcs.join(as_src, "src", "left").join(as_dst, "dst", "left")
+        moved = stats.canonical_arcs(renamed.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"), "mult"))
+        new: list[str] = []
+        nodes, arcs, _ = concatenate(left, moved, k, new)
+        _thrown_away(spark, [*before, path])
+        before = new
+
+
+def local_handicaps(nodes: DataFrame, arcs: DataFrame, chosen: DataFrame, k: int, **limits) -> DataFrame:
+    """node_id of the nodes that correction would take away in the part of the graph made of `chosen` (node_id): the slow
+    walks of its bubbles and its dead ends. The graph stays as it is; scaffolding passes these nodes over."""
+    from .traverse import subgraph
+
+    own, inner = subgraph(nodes, arcs, chosen)
+    slow = bubbles(own, inner, k, **limits).select(F.explode(F.transform("slow", F.abs)).alias("node_id"))
+    return slow.unionByName(dead_ends(own, inner, k, minority=True)).distinct()
 
 
 def dot(arcs: DataFrame) -> DataFrame:
@@ -275,8 +398,3 @@ def dot(arcs: DataFrame) -> DataFrame:
         return F.format_string(f"%d:%s", F.abs(c), F.when(F.col(c) > 0, near).otherwise(far))
 
     return arcs.select(F.format_string("  %s -> %s [label=%d];", end("src", "right", "left"), end("dst", "left", "right"), F.col("mult")).alias("line"))
-
-
-def compact_paths(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy walk in one bounded neighbourhood: rows node, next, distance sorted by distance."""
-    return pdf.sort_values(["distance", "next"]).groupby("node", as_index=False).first()

@@ -17,15 +17,29 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, shuffle_partitions
 
 
+def _ranged(df: DataFrame, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """Rows range partitioned by the order, with their partition's number, written once."""
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(c) for c in by], *order)
+    return materialize(ranged.withColumn("__part", F.spark_partition_id()), "ordered")[0]
+
+
+def running_last(df: DataFrame, value: Column, order: Sequence[str | Column], name: str) -> DataFrame:
+    """`df` with the last value that is not null so far in the given order (the row's own included)."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    kept = _ranged(df.withColumn("__v", value), order, ())
+    ends = kept.groupBy("__part").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__s"))
+    before = ends.withColumn("__before", F.last("__s", True).over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)))  # one row a partition
+    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = kept.join(before.drop("__s"), "__part")
+    return out.withColumn(name, F.coalesce(F.last("__v", True).over(inside), "__before")).drop("__v", "__part", "__before")
+
+
 def running_total(df: DataFrame, value: Column, order: Sequence[str | Column], name: str = "total", by: Sequence[str] = ()) -> DataFrame:
     """`df` with the inclusive running total of `value` in the given order, for each `by` group.
 
     `order` must break ties; nulls in `value` count as nought."""
-    n = shuffle_partitions(df.sparkSession)
-    keys = [F.col(c) for c in by]
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.withColumn("__v", F.coalesce(value, F.lit(0))).repartitionByRange(n, *keys, *order)
-    kept, _ = materialize(ranged.withColumn("__part", F.spark_partition_id()), "ordered")
+    kept = _ranged(df.withColumn("__v", F.coalesce(value, F.lit(0))), order, by)
     sums = kept.groupBy(*by, "__part").agg(F.sum("__v").alias("__s"))
     before = sums.withColumn("__before", F.sum("__s").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__s"))
     inside = W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -12,30 +12,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kernels import erf
-from .ordered import running_total
+from ..runtime import materialize
+from .ordered import running_last, running_total
 
 
 def mates(reads: DataFrame) -> DataFrame:
     """read_id, category, mate_id: in each run of one odd category, by id, reads pair by adjacency;
-    a run's dangling last read loses its pairing (category - 1). Even categories have no mates."""
+    a run's dangling last read loses its pairing (category - 1). Even categories have no mates.
+
+    One running count over all rows gives every row its place; a run begins where the category before differs, and that is
+    told by the row before, which is joined by place. No step is keyed by a library or a run, of which there are few."""
     rows = reads.filter("read_id is not null and category is not null").select("read_id", F.col("category").cast("int").alias("category")).distinct()
-    run = running_total(rows, F.when(F.col("category") % 2 == 0, 1).otherwise(0).cast("bigint"), ["read_id", "category"], "even_before")
-    w = W.partitionBy("category", "even_before").orderBy("read_id")
-    # runs of different odd categories that touch are told apart by the last read of another category
-    placed = run.filter("category % 2 = 1")
-    other = running_total(
-        rows.withColumn("prev", F.lit(0)), F.lit(1).cast("bigint"), ["read_id", "category"], "ordinal"
-    ).filter("category % 2 = 1").select("read_id", "category", "ordinal")
-    placed = placed.join(other, ["read_id", "category"])
-    ww = W.partitionBy("category").orderBy("ordinal")
-    island = placed.withColumn("island", F.col("ordinal") - F.row_number().over(ww))
-    wi = W.partitionBy("category", "island").orderBy("ordinal")
-    n = island.withColumn("i", F.row_number().over(wi)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("category", "island")))
-    del w
-    nxt, prv = F.lead("read_id").over(wi), F.lag("read_id").over(wi)
-    paired = n.withColumn("mate_id", F.when(F.col("i") % 2 == 1, nxt).otherwise(prv))
-    odd = paired.select("read_id", F.when(F.col("mate_id").isNull(), F.col("category") - 1).otherwise(F.col("category")).alias("category"), "mate_id")
-    return odd.unionByName(rows.filter("category % 2 = 0").withColumn("mate_id", F.lit(None).cast("bigint")))
+    placed, _ = materialize(running_total(rows, F.lit(1).cast("bigint"), ["read_id", "category"], "n"), "places")
+    before = placed.select((F.col("n") + 1).alias("n"), F.col("category").alias("before"))
+    head = placed.join(before, "n", "left").withColumn("head", F.when(~F.col("before").eqNullSafe(F.col("category")), F.col("n")))
+    run, _ = materialize(running_last(head, F.col("head"), ["n"], "first").select("n", "first", "read_id", "category"), "runs")
+    second = (F.col("n") - F.col("first")) % 2 == 1
+    odd = run.filter("category % 2 = 1").withColumn("o", F.when(second, F.col("n") - 1).otherwise(F.col("n") + 1))
+    near = run.select(F.col("n").alias("o"), F.col("first").alias("o_first"), F.col("read_id").alias("mate"))
+    both = odd.join(near, "o", "left").withColumn("mate_id", F.when(F.col("o_first") == F.col("first"), F.col("mate")))
+    paired = both.select("read_id", F.when(F.col("mate_id").isNull(), F.col("category") - 1).otherwise(F.col("category")).alias("category"), "mate_id")
+    return paired.unionByName(rows.filter("category % 2 = 0").withColumn("mate_id", F.lit(None).cast("bigint")))
 
 
 def detach(pairs: DataFrame, dubious: DataFrame) -> DataFrame:
@@ -143,19 +140,22 @@ def connections(links: DataFrame) -> DataFrame:
 def expected_links(rows: DataFrame) -> DataFrame:
     """Adds `expected`: whole number of pairs a Gaussian insert model puts across the gap.
 
+    A pair of insert length L that starts x bases before the end of one node ends y bases into the other if L = x + gap + y.
+    The number of such places is a trapezium in L: it begins at the gap, grows with L up to the shorter length, stays, and
+    falls to nothing at gap + l1 + l2; as a sum of ramps, (L - c)+ with c = gap, gap + l1, gap + l2, gap + l1 + l2 and signs
+    + - - +. So the expectation is the density times the same sum of E (L - c)+, each of which is known for a Gaussian.
+
     Needs l1, l2 (lengths), distance (between centres), ins_len, ins_var and density (reads a base on the longer node)."""
-    sd = F.sqrt("ins_var")
-    short, long_ = F.least("l1", "l2"), F.greatest("l1", "l2")
     gap = F.col("distance") - (F.col("l1") + F.col("l2")) / 2
-    x = rows.withColumn("__m", (gap - F.col("ins_len")) / sd).withColumn("__n", (gap + short - F.col("ins_len")) / sd)
-    x = x.withColumn("__o", (gap + long_ - F.col("ins_len")) / sd).withColumn("__p", (gap + short + long_ - F.col("ins_len")) / sd)
-    dens = lambda c: F.lit(0.4) * F.exp(-F.col(c) * F.col(c) / 2)
-    area = lambda a, b: (erf(F.lit(0.7) * F.col(b)) - erf(F.lit(0.7) * F.col(a))) / 2
-    up = sd * ((dens("__m") - dens("__n")) - F.col("__m") * area("__m", "__n"))
-    flat = short * area("__n", "__o")
-    down = sd * (F.col("__p") * area("__o", "__p") + (dens("__p") - dens("__o")))
-    e = F.floor(F.greatest((up + flat + down) * F.col("density"), F.lit(0.0))).cast("bigint")
-    return x.withColumn("expected", e).drop("__m", "__n", "__o", "__p")
+    # fixed values of the model: the density's peak as 0.4, its integral as erf at 0.7
+    sd = F.sqrt("ins_var")
+
+    def ramp(c):
+        z = (c - F.col("ins_len")) / sd
+        return sd * (F.lit(0.4) * F.exp(-z * z / 2) - z * (F.lit(0.5) - erf(F.lit(0.7) * z) / 2))
+
+    places = ramp(gap) - ramp(gap + F.col("l1")) - ramp(gap + F.col("l2")) + ramp(gap + F.col("l1") + F.col("l2"))
+    return rows.withColumn("expected", F.floor(F.greatest(places * F.col("density"), F.lit(0.0))).cast("bigint"))
 
 
 def accepted(conns: DataFrame, min_pairs: int = 5, fraction: float = 0.1) -> DataFrame:
@@ -191,35 +191,32 @@ def nearest_unique(near: DataFrame, unique: DataFrame) -> DataFrame:
     return ahead.groupBy("node").agg(F.min_by("other", F.struct("distance", "other")).alias("target"), F.min("distance").alias("distance"))
 
 
-def scaffolds(nodes: DataFrame, conns: DataFrame, unique: DataFrame, k: int, least_gap: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Unique nodes joined over their nearest unique neighbours: (scaffolds, gaps).
-
-    A join needs both nodes to choose each other. The gap is the centre distance less the half lengths,
-    at least `least_gap` Ns. scaffolds(scaffold, length, seq), gaps(scaffold, start, length)."""
-    from ..functions import dna
-    from .graph import chains
-
-    best = nearest_unique(neighbourhood(conns, unique), unique)
+def mutual_targets(conns: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links u, v, distance of unique nodes that choose each other as nearest, on both strands; the neighbourhoods)."""
+    near, _ = materialize(neighbourhood(conns, unique), "near")
+    best, _ = materialize(nearest_unique(near, unique), "nearest")
     back = best.select((-F.col("target")).alias("u"), (-F.col("node")).alias("v"))
-    mutual = best.select(F.col("node").alias("u"), F.col("target").alias("v"), "distance").join(back, ["u", "v"]).filter("abs(u) <> abs(v)")
-    ranks = chains(mutual.select("u", "v"))
-    tails = ranks.groupBy("head").agg(F.max_by("u", "rank").alias("tail"))
-    kept = ranks.join(tails.filter("head <= -tail"), "head")
-    dist = mutual.select(F.col("v").alias("u"), F.col("u").alias("before"), "distance")
-    ln = nodes.select(F.col("node_id"), "length", "seq")
-    members = kept.join(ln, F.abs("u") == F.col("node_id")).join(dist, "u", "left")
-    prev = ln.select(F.col("node_id").alias("pn"), F.col("length").alias("pl"))
-    members = members.join(prev, F.abs("before") == F.col("pn"), "left")
-    gap = F.when(F.col("rank") > 0, F.greatest(F.floor(F.col("distance") - (F.col("length") + F.col("pl")) / 2), F.lit(least_gap))).otherwise(0)
-    s = F.when(F.col("u") > 0, F.col("seq")).otherwise(dna.revcomp(F.col("seq")))
-    rows = members.withColumn("gap", gap.cast("int")).withColumn("s", s)
-    w = W.partitionBy("head").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("stop", F.sum(F.col("gap") + F.length("s")).over(w))
-    gaps = rows.filter("gap > 0").select(F.col("head").alias("scaffold"), (F.col("stop") - F.length("s") - F.col("gap")).alias("start"), F.col("gap").alias("length"))
-    joined = rows.groupBy(F.col("head").alias("scaffold")).agg(
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.expr("repeat('N', gap)"), F.col("s")).alias("p")))), lambda x: x["p"])).alias("seq")
-    )
-    used = kept.select(F.abs("u").alias("node_id")).distinct()
-    alone = nodes.join(used, "node_id", "left_anti").select(F.col("node_id").alias("scaffold"), "seq")
-    every = joined.unionByName(alone)
-    return every.select("scaffold", (F.length("seq") - (k - 1)).alias("length"), "seq"), gaps
+    return best.select(F.col("node").alias("u"), F.col("target").alias("v"), "distance").join(back, ["u", "v"]).filter("abs(u) <> abs(v)"), near
+
+
+def scaffolds(nodes: DataFrame, conns: DataFrame, unique: DataFrame, k: int, least_gap: int = 10, arcs: DataFrame | None = None, jump: bool = True) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Unique nodes joined over their nearest unique neighbours: (nodes, gaps, members), see `joining.joined`; None where none are.
+
+    A join needs both nodes to choose each other. With `arcs`, a single shortest walk through the node's neighbourhood
+    fills the gap; otherwise, if gaps may be jumped, it is the centre distance less the half lengths, at least `least_gap` Ns."""
+    from .joining import joined
+    from .traverse import walks_between
+
+    mutual, near = mutual_targets(conns, unique)
+    ln = nodes.select(F.col("node_id").alias("i"), F.col("length").alias("l"))
+    rows = mutual.join(ln, F.abs("u") == F.col("i")).drop("i").withColumnRenamed("l", "l1").join(ln, F.abs("v") == F.col("i"))
+    gap = F.greatest(F.floor(F.col("distance") - (F.col("l1") + F.col("l")) / 2), F.lit(least_gap)).cast("int")
+    links = rows.select("u", "v", gap.alias("gap"))
+    if arcs is None:
+        links = links.withColumn("inner", F.lit(None).cast("array<bigint>"))
+    else:
+        links = links.join(walks_between(arcs, mutual.select("u", "v"), near), ["u", "v"], "left")
+    if not jump:
+        links = links.filter("inner is not null")
+    links, _ = materialize(links, "mutual")
+    return joined(nodes, links, k) if links.limit(1).count() else None

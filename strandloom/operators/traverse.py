@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import dna
 from ..runtime import discard, materialize
-from .graph import chains
+from .joining import joined
 from .stats import both_strands
 
 
@@ -41,16 +40,17 @@ def parts(arcs: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60
     raise RuntimeError(f"no stable parts after {most_rounds} rounds")
 
 
-def paths(arcs: DataFrame, starts: DataFrame, stops: DataFrame, steps: int = 6, least_mult: int = 1) -> DataFrame:
+def paths(arcs: DataFrame, starts: DataFrame, stops: DataFrame, steps: int | None = None, least_mult: int = 1) -> DataFrame:
     """start, stop, path: loop-free walks from signed `starts`(node) that end at the first node of `stops`(node_id).
 
-    At most `steps` arcs; each round joins the open walks with the arcs. The number of open walks is bounded
-    by the degree to the power of the steps: use small `steps`, or thin the arcs by `least_mult`."""
+    Each round joins the open walks with the arcs, until none goes on; their number grows with the degree, which
+    `least_mult` thins. `steps` asks for walks of at most so many arcs."""
     both = both_strands(arcs).filter(F.col("mult") >= least_mult).select(F.col("src").alias("s"), F.col("dst").alias("d"))
     ends = stops.select(F.col("node_id").alias("e")).distinct().withColumn("is_end", F.lit(True))
     walk = starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
-    done = None
-    for _ in range(steps):
+    done, i = None, 0
+    while steps is None or i < steps:
+        i += 1
         step = walk.join(both, F.col("at") == F.col("s")).filter(~F.array_contains(F.transform("path", F.abs), F.abs("d")))
         step = step.select("start", F.col("d").alias("at"), F.array_append("path", F.col("d")).alias("path"))
         step = step.join(ends, F.abs("at") == F.col("e"), "left")
@@ -63,6 +63,33 @@ def paths(arcs: DataFrame, starts: DataFrame, stops: DataFrame, steps: int = 6,
     return done
 
 
+def walks_between(arcs: DataFrame, links: DataFrame, near: DataFrame) -> DataFrame:
+    """u, v, inner for those of links(u, v) with a single shortest loop-free walk from u to v over nodes of u's neighbourhood.
+
+    near(node, other) are the signed nodes around u. Twins of links get the walk turned around: it is searched from the end
+    with the smaller id. Walks of one link over the same nodes to the same node are one."""
+    both, _ = materialize(both_strands(arcs).select(F.col("src").alias("s"), F.col("dst").alias("d")).distinct(), "steps")
+    turn = F.col("u") > -F.col("v")
+    asked = links.select(F.when(turn, -F.col("v")).otherwise(F.col("u")).alias("a"), F.when(turn, -F.col("u")).otherwise(F.col("v")).alias("b")).distinct()
+    around = near.select(F.col("node").alias("a"), F.col("other").alias("d"), F.lit(True).alias("inside"))
+    none = F.array().cast("array<bigint>")
+    walk, done = asked.select("a", "b", F.col("a").alias("at"), none.alias("inner")), None
+    while True:
+        step = walk.join(both, F.col("at") == F.col("s")).join(around, ["a", "d"], "left").filter((F.col("d") == F.col("b")) | (F.col("inside") & (F.abs("d") != F.abs("a")) & (F.abs("d") != F.abs("b")) & ~F.array_contains(F.transform("inner", F.abs), F.abs("d"))))
+        step, _ = materialize(step.select("a", "b", F.col("d").alias("at"), F.when(F.col("d") == F.col("b"), F.col("inner")).otherwise(F.array_append("inner", F.col("d"))).alias("inner")), "between")
+        found = step.filter("at = b").select("a", "b", "inner")
+        done = found if done is None else done.unionByName(found)
+        # a link whose shortest walk is known asks no further
+        walk = step.filter("at <> b").join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        walk = walk.groupBy("a", "b", "at", F.array_sort(F.transform("inner", F.abs)).alias("seen")).agg(F.min("inner").alias("inner")).select("a", "b", "at", "inner")
+        walk, _ = materialize(walk, "walk")
+        if not walk.limit(1).count():
+            break
+    single = done.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("inner").alias("inner")).filter("n = 1")
+    back = single.select((-F.col("b")).alias("u"), (-F.col("a")).alias("v"), F.reverse(F.transform("inner", lambda x: -x)).alias("inner"))
+    return single.select(F.col("a").alias("u"), F.col("b").alias("v"), "inner").unionByName(back).dropDuplicates(["u", "v"])
+
+
 def nearest_paths(arcs: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
     """start, stop, path: as `paths` without a limit of steps, each start only as far as the first round in which it meets a stop.
 
@@ -96,22 +123,11 @@ def best_paths(found: DataFrame) -> DataFrame:
 
 
 def bypass(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
-    """Nodes after merging along accepted links(u, v), one for each u and each v: node_id (the chain's head), length, cov, seq.
+    """Nodes after merging along accepted links(u, v), one for each u and each v: node_id (of the chain's head), length, cov, seq.
 
     The k - 1 bases that consecutive nodes share are written once."""
-    ranks = chains(links.select("u", "v"))
-    tails = ranks.groupBy("head").agg(F.max_by("u", "rank").alias("tail"))
-    kept = ranks.join(tails.filter("head <= -tail"), "head")
-    own = W.partitionBy("head", F.abs("u")).orderBy("rank")
-    kept = kept.withColumn("i", F.row_number().over(own)).filter("i = 1").drop("i")
-    rows = kept.join(nodes.select("node_id", "length", "cov", "seq"), F.abs("u") == F.col("node_id"))
-    s = F.when(F.col("u") > 0, F.col("seq")).otherwise(dna.revcomp(F.col("seq")))
-    rows = rows.withColumn("s", s).withColumn("piece", F.when(F.col("rank") == 0, F.col("s")).otherwise(F.expr(f"substring(s, {k})")))
-    merged = rows.groupBy(F.abs("head").alias("node_id")).agg(
-        F.sum("length").alias("length"), F.sum("cov").alias("cov"),
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"])).alias("seq"),
-    )
-    return nodes.join(kept.select(F.abs("u").alias("node_id")).distinct(), "node_id", "left_anti").select("node_id", "length", "cov", "seq").unionByName(merged)
+    none = F.array().cast("array<bigint>")
+    return joined(nodes, links.select("u", "v", none.alias("inner"), F.lit(0).alias("gap")), k)[0].select("node_id", "length", "cov", "seq")
 
 
 def flanks(nodes: DataFrame, arcs: DataFrame, insertions: DataFrame, reliable: int = 500, steps: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 MAX_K = 31
+#: Categories: 2 * library + 1 if paired for short reads; then long ones, and reference sequences.
+LONG, REFERENCE = (4, 5), 6
 
 
 def valid_k(k: int) -> int:
@@ -83,6 +85,10 @@ class AssemblySettings:
             raise ValueError("max_divergence must lie between 0 and 1")
         if self.max_gap_count < 0 or self.max_branch_length < 0:
             raise ValueError("limits must not be negative")
+        if self.clean or self.very_clean:
+            raise ValueError("intermediate tables go with the session; there is nothing to clean up after a run")
+        if self.valid_connections < 0 or self.noise_connections < 0 or not 0 <= self.max_chimera_rate <= 1 or self.min_peak_cov > self.max_peak_cov:
+            raise ValueError("limits of the metagenome run do not fit together")
         for x in (self.cov_cutoff, self.exp_cov):
             if isinstance(x, str) and x != "auto":
                 raise ValueError("give a number or auto")
@@ -92,6 +98,11 @@ class AssemblySettings:
         """Read tracking: asked for, or needed by a positive expected coverage."""
         return self.read_trkg or self.exp_cov == "auto" or (isinstance(self.exp_cov, (int, float)) and self.exp_cov > 0)
 
+    @property
+    def tracked(self) -> bool:
+        """Whether reads are threaded: for tracking, or for a result that lists reads."""
+        return self.tracking or self.unused_reads or self.amos_file
+
     @property
     def least_contig(self) -> int:
         """In k-mers; twice the word length by default."""

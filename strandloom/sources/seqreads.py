@@ -372,4 +372,4 @@ def connected_graph(nodes: DataFrame, arcs: DataFrame, reads: DataFrame, k: int)
     from ..operators import graph
     from ..operators.stats import canonical_arcs
 
-    return nodes, canonical_arcs(arcs), graph.read_starts(graph.thread(reads, nodes, k))
+    return nodes, canonical_arcs(arcs), graph.read_starts(graph.thread(reads, nodes, k), nodes)

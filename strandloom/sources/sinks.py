@@ -22,9 +22,15 @@ def wrapped(seq: Column, width: int = 60) -> Column:
 
 
 def sequences(reads: DataFrame) -> DataFrame:
-    """read_id, line: `>name<TAB>id<TAB>category` and bases at 60 a line; a full last line is followed by an empty one."""
+    """read_id, line: `>name<TAB>id<TAB>category` and bases at 60 a line; a full last line is followed by an empty one.
+
+    Where reads have mappings (ref_id, pos), a line `M<TAB>ref<TAB>pos` follows for each that is whole, in their order."""
     head = F.format_string(">%s\t%d\t%d\n", F.coalesce("name", F.lit("")), F.col("read_id"), F.col("category").cast("int"))
     body = F.regexp_replace("seq", "(.{60})", "$1\n")
+    if "mappings" in reads.columns:
+        whole = F.filter("mappings", lambda m: m["ref_id"].isNotNull() & m["pos"].isNotNull())
+        lines = F.concat_ws("", F.transform(whole, lambda m: F.concat(F.lit("\nM\t"), m["ref_id"], F.lit("\t"), m["pos"])))
+        body = F.concat(F.regexp_replace(body, "\n$", ""), F.coalesce(lines, F.lit("")))
     return reads.filter("read_id is not null and seq is not null").select("read_id", F.concat(head, body).alias("line"))
 
 
@@ -132,19 +138,25 @@ def agp(contigs_: DataFrame, least: int = 10) -> DataFrame:
     )
 
 
-def amos(nodes: DataFrame, tiles: DataFrame, reads: DataFrame, libraries: DataFrame) -> DataFrame:
-    """part, a, b, line: AMOS messages: LIB, RED and CTG with its TLE lines. The quality field repeats the bases.
+def amos(nodes: DataFrame, tiles: DataFrame, reads: DataFrame, libraries: DataFrame, mates: DataFrame | None = None) -> DataFrame:
+    """part, a, b, line: AMOS messages: LIB, FRG for each pair, RED and CTG with its TLE lines. The quality field repeats the bases.
 
-    tiles(node_id, read_id, off, clear_start, clear_stop)."""
-    lib = libraries.select(F.lit(0).alias("part"), F.col("library").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"),
+    tiles(node_id, read_id, off, clear_start, clear_stop), mates(read_id, mate_id, library)."""
+    zero = F.lit(0).cast("bigint").alias("b")
+    lib = libraries.select(F.lit(0).alias("part"), F.col("library").cast("bigint").alias("a"), zero,
         F.format_string("{LIB\niid:%d\n{DST\nmea:%d\nstd:%d\n}\n}", F.col("library").cast("int") + 1, F.col("ins_len").cast("bigint"), F.sqrt(F.col("ins_var")).cast("bigint")).alias("line"))
-    red = reads.filter("seq is not null").select(F.lit(1).alias("part"), F.col("read_id").alias("a"), F.lit(0).cast("bigint").alias("b"),
+    red = reads.filter("seq is not null").select(F.lit(2).alias("part"), F.col("read_id").alias("a"), zero,
         F.format_string("{RED\niid:%d\neid:%d\nseq:\n%s\n.\nqlt:\n%s\n.\n}", F.col("read_id"), F.col("read_id"), wrapped(F.col("seq")), wrapped(F.col("seq"))).alias("line"))
     tle = F.format_string("{TLE\nsrc:%d\noff:%d\nclr:%d,%d\n}", F.col("read_id"), F.col("off"), F.col("clear_start"), F.col("clear_stop"))
     t = tiles.groupBy("node_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("off", "read_id", tle.alias("l")))), lambda x: x["l"])).alias("tiles"))
-    ctg = nodes.join(t, "node_id", "left").select(F.lit(2).alias("part"), F.col("node_id").alias("a"), F.lit(0).cast("bigint").alias("b"),
+    ctg = nodes.join(t, "node_id", "left").select(F.lit(3).alias("part"), F.col("node_id").alias("a"), zero,
         F.format_string("{CTG\niid:%d\neid:%d-0\nseq:\n%s\n.\nqlt:\n%s\n.\n%s\n}", F.col("node_id"), F.col("node_id"), wrapped(F.col("seq")), wrapped(F.col("seq")), F.coalesce("tiles", F.lit(""))).alias("line"))
-    return lib.unionByName(red).unionByName(ctg)
+    out = lib.unionByName(red).unionByName(ctg)
+    if mates is None:
+        return out
+    pair = mates.filter("read_id < mate_id").select(F.lit(1).alias("part"), F.col("read_id").alias("a"), zero,
+        F.format_string("{FRG\niid:%d\nlib:%d\ntyp:I\nrds:%d,%d\n}", F.col("read_id"), F.col("library").cast("int") + 1, F.col("read_id"), F.col("mate_id")).alias("line"))
+    return out.unionByName(pair)
 
 
 def alignments(markers: DataFrame, regions: DataFrame, nodes: DataFrame, least: int, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions.kernels import lcs_length
-from strandloom.operators import graph, pairs, stats
+from strandloom.operators import graph, joining, pairs, stats
 from strandloom.plans.assemble import assemble
 from strandloom.settings import AssemblySettings
 
@@ -110,14 +110,72 @@ def test_chains_with_empty_links(spark):
 
 def test_scaffold_gap_has_at_least_ten_bases(spark):
     a, b = bases(200, 8), bases(200, 9)
-    nodes = spark.createDataFrame([(1, 180, 1800, a), (2, 180, 1800, b)], "node_id bigint, length bigint, cov bigint, seq string")
+    nodes = spark.createDataFrame([(1, 180, 1800, a), (2, 180, 900, b)], "node_id bigint, length bigint, cov bigint, seq string")
     unique = nodes.select("node_id")
     for distance, gap in ((183.0, 10), (240.0, 60)):
         conns = spark.createDataFrame([(1, 2, distance, 4.0, 0, 9)], "src bigint, dst bigint, distance double, variance double, direct bigint, paired bigint")
-        out, gaps = pairs.scaffolds(nodes, conns, unique, 21)
-        row = out.filter("length > 200").first()
-        assert row.seq in (a + "N" * gap + b, turned(b) + "N" * gap + turned(a)) or row.seq.count("N") == gap
-        assert gaps.first().length == gap
+        out, gaps, members = pairs.scaffolds(nodes, conns, unique, 21)
+        row = only(out)
+        assert row.seq in (a + "N" * gap + b, turned(b) + "N" * gap + turned(a)) and row.cov == 2700 and row.length == 380 + gap
+        assert [(r.start, r.stop) for r in gaps.collect()] == [(200, 200 + gap)]
+        at = {abs(r.old): (r.old > 0, r.start) for r in members.collect()}
+        assert at in ({1: (True, 0), 2: (True, 200 + gap)}, {2: (False, 0), 1: (False, 200 + gap)})
+
+
+def test_a_walk_fills_the_gap(spark):
+    whole = bases(420, 12)
+    k = 21
+    cut = {1: (0, 200), 3: (180, 240), 4: (220, 260), 2: (240, 420)}
+    nodes = spark.createDataFrame([(i, b - a - k + 1, 10, turned(whole[a:b]) if i == 4 else whole[a:b]) for i, (a, b) in cut.items()], "node_id bigint, length bigint, cov bigint, seq string")
+    arcs = spark.createDataFrame([(1, 3, 5), (3, -4, 5), (-4, 2, 5), (3, 7, 1)], "src bigint, dst bigint, mult bigint")
+    # 4 and 3 stand in the neighbourhood of both ends
+    conns = spark.createDataFrame([(1, 2, 231.0, 4.0, 0, 9), (1, 3, 100.0, 4.0, 3, 3), (1, -4, 150.0, 4.0, 3, 3), (-2, 4, 90.0, 4.0, 3, 3), (-2, -3, 120.0, 4.0, 3, 3)], "src bigint, dst bigint, distance double, variance double, direct bigint, paired bigint")
+    unique = nodes.filter("node_id < 3").select("node_id")
+    out, gaps, members = pairs.scaffolds(nodes, conns, unique, k, arcs=arcs)
+    row = only(out)
+    assert row.seq in (whole, turned(whole)) and row.length == 400 and gaps.count() == 0
+    places = spark.createDataFrame([(1, 10, 5, 0), (-2, 11, 3, 2), (1, 12, -1, 0), (3, 13, 4, 0)], "node bigint, read_id bigint, position bigint, offset bigint")
+    moved = {r.read_id: (r.node, r.position) for r in joining.moved_places(places, members, nodes).collect()}
+    n, ahead = row.node_id, row.seq == whole
+    assert moved == ({10: (n, 5), 11: (-n, 3), 12: (n, -1)} if ahead else {10: (-n, 5), 11: (n, 3), 12: (-n, -1)})
+
+
+def test_lists_of_read_starts(spark):
+    rows = [(1, 5, 3, 0), (1, 5, 9, 4), (1, 6, 2, 0), (2, 6, 7, 1), (2, 8, -1, 0)]
+    places = spark.createDataFrame(rows, "node bigint, read_id bigint, position bigint, offset bigint")
+    assert {(r.node, r.read_id): (r.position, r.offset) for r in joining.merged_places(places).collect()} == {(1, 5): (-1, 0), (1, 6): (2, 0), (2, 6): (7, 1), (2, 8): (-1, 0)}
+    assert [(r.a_node, r.b_node, r.read_id) for r in joining.common_reads(places.filter("node = 1"), places.filter("node = 2")).collect()] == [(1, 2, 6)]
+    cuts = spark.createDataFrame([(2, 4, 20, 21)], "node bigint, at bigint, front bigint, back bigint")
+    assert sorted(map(tuple, joining.split_places(places, cuts).collect())) == [(20, 8, -1, 0), (21, 6, 3, 1), (21, 8, -1, 0)]
+
+
+def test_arms_of_several_nodes_with_side_branches_merge(spark):
+    k = 11
+    main = bases(300, 13)
+    # two changes eight bases apart make one arm; a branch leaves the arm between them, so the arm is of several nodes
+    other = main[:140] + ("A" if main[140] != "A" else "C") + main[141:148] + ("G" if main[148] != "G" else "T") + main[149:]
+    branch = other[120:145] + bases(60, 14)
+    nodes, arcs = graph.unitigs(frame(spark, [main] * 4 + [other, branch, branch]), k)
+    found = graph.tours(nodes, arcs, 100).filter("size(fast) > 1 or size(slow) > 1")
+    assert found.count() > 0
+    nodes, arcs = graph.pop_bubbles(nodes, arcs, k)
+    rows = nodes.collect()
+    # the main walk is left, and the branch hangs on it
+    assert any(r.length >= 60 - k for r in rows) and sum(r.length for r in rows) < 300 - k + 1 + 75
+    text = "".join(r.seq for r in rows)
+    assert main[:130] in text or turned(main)[-130:] in text
+    assert not any(other[141 - k + 1 : 141 + 1] in s for r in rows for s in (r.seq, turned(r.seq)))
+    assert graph.tours(nodes, arcs, 100).count() == 0
+
+
+def test_handicaps_leave_the_graph_alone(spark):
+    main = bases(200, 15)
+    other = main[:100] + ("A" if main[100] != "A" else "C") + main[101:]
+    nodes, arcs = graph.unitigs(frame(spark, [main, main, other]), 21)
+    slow = [r.node_id for r in graph.local_handicaps(nodes, arcs, nodes.select("node_id"), 21).collect()]
+    inner = nodes.filter("length < 40").orderBy("cov").first()
+    assert slow == [inner.node_id]
+    assert graph.local_handicaps(nodes, arcs, nodes.limit(0).select("node_id"), 21).count() == 0
 
 
 def test_whole_run_gives_the_genome_back(spark):
