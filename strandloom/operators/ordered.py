@@ -34,6 +34,18 @@ def running_last(df: DataFrame, value: Column, order: Sequence[str | Column], na
     return out.withColumn(name, F.coalesce(F.last("__v", True).over(inside), "__before")).drop("__v", "__part", "__before")
 
 
+def lagged(df: DataFrame, value: Column, order: Sequence[str | Column], name: str) -> DataFrame:
+    """`df` with `value` of the row before in the given order, null for the first row."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    kept = _ranged(df.withColumn("__v", F.struct(value.alias("v"))), order, ())
+    inside = W.partitionBy("__part").orderBy(*order)
+    at = kept.withColumn("__i", F.row_number().over(inside)).withColumn("__p", F.lag("__v").over(inside))
+    last = at.groupBy("__part").agg(F.max_by("__v", "__i").alias("__s"))
+    before = last.select("__part", F.lag("__s").over(W.orderBy("__part")).alias("__before"))  # one row a partition
+    out = at.join(before, "__part")
+    return out.withColumn(name, F.coalesce("__p", "__before")["v"]).drop("__v", "__part", "__i", "__p", "__before")
+
+
 def running_total(df: DataFrame, value: Column, order: Sequence[str | Column], name: str = "total", by: Sequence[str] = ()) -> DataFrame:
     """`df` with the inclusive running total of `value` in the given order, for each `by` group.
 

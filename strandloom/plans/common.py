@@ -94,3 +94,38 @@ def threads(spark: SparkSession, d: str) -> DataFrame:
 
 def places(spark: SparkSession, d: str) -> DataFrame:
     return threads(spark, d).groupBy("read_id", "node").agg(F.min("off").alias("position"), F.min("pos").alias("offset"))
+
+
+#: K-mers of reads (k = 31) on the long reads, taken as the graph's nodes: a k-mer that stands there more than once counts at its
+#: first place. Reads start at their first hit and end at the first miss after it.
+SQL_THREADS = f"""{sql_kmers(31)},
+cg AS (SELECT read_id AS node_id, min(upper(seq)) AS s FROM read_set WHERE seq IS NOT NULL AND read_id IS NOT NULL AND category >= 4 GROUP BY 1),
+cb AS (SELECT node_id, a, substr(s, a + 1, 2030) AS t FROM cg, unnest(range(0, length(s), 2000)) u(a)),
+cw AS (SELECT node_id, a + p AS off, substr(t, p + 1, 31) AS word FROM (SELECT * FROM cb WHERE length(t) >= 31) q, unnest(range(0, least(2000, length(t) - 30))) v(p)),
+cc AS (SELECT node_id, off, word, translate(reverse(word), 'ACGT', 'TGCA') AS rc FROM cw WHERE regexp_full_match(word, '[ACGT]{{31}}')),
+ck AS (SELECT least(word, rc) AS kmer, CASE WHEN word <= rc THEN node_id ELSE -node_id END AS node, off, row_number() OVER (PARTITION BY least(word, rc) ORDER BY node_id, off) AS place FROM cc),
+hk AS (SELECT km.read_id, km.category, km.pos, CASE WHEN fwd THEN node ELSE -node END AS node, off FROM km LEFT JOIN (SELECT * FROM ck WHERE place = 1) c USING (kmer)),
+hs AS (SELECT *, max(CASE WHEN node IS NULL THEN 0 ELSE 1 END) OVER w AS seen FROM hk WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+hm AS (SELECT *, sum(CASE WHEN seen = 1 AND node IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY pos) AS missed FROM hs),
+kt AS (SELECT read_id, category, pos, node, off FROM hm WHERE seen = 1 AND missed = 0)"""
+
+
+def contig_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The contigs as nodes: node_id, length (k = 31), cov 1, seq without white space, upper case."""
+    rows = table(spark, d, "contigs").filter("seq is not null and node_id is not null")
+    seqs = rows.groupBy("node_id").agg(F.min(F.upper(F.regexp_replace("seq", r"\s", ""))).alias("seq"))
+    return seqs.select("node_id", (F.length("seq") - 30).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("cov"), "seq")
+
+
+def long_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The long reads as nodes: node_id, length (k = 31), cov 1, seq in upper case."""
+    rows = table(spark, d, "read_set").filter("seq is not null and read_id is not null and category >= 4")
+    seqs = rows.groupBy(F.col("read_id").alias("node_id")).agg(F.min(F.upper("seq")).alias("seq"))
+    return seqs.select("node_id", (F.length("seq") - 30).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("cov"), "seq")
+
+
+def kmer_threads(spark: SparkSession, d: str) -> DataFrame:
+    """read_id, category, pos, node, off of reads threaded over the long reads."""
+    from ..operators.graph import thread
+
+    return thread(reads(spark, d).select("read_id", "category", "seq"), long_nodes(spark, d), 31)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, hashing, longreads, meta, ordered, pairs, stats, tools, traverse
 from ..runtime import new_path, table
 from ..sources import seqreads, sinks
-from .common import SQL_ARCS, SQL_BOTH, SQL_NODES, SQL_PLACES, arcs, nodes, places, reads, threads
+from .common import SQL_ARCS, SQL_BOTH, SQL_NODES, SQL_PLACES, SQL_THREADS, arcs, contig_nodes, kmer_threads, long_nodes, nodes, places, reads
 from .registry import query
 
 _ONE = f"""{SQL_NODES}, n1 AS (SELECT node_id, max(length) AS length, max(cov) AS cov FROM nd GROUP BY 1)"""
@@ -78,28 +78,68 @@ def compact_ids(spark: SparkSession, d: str) -> DataFrame:
     return ordered.numbered(rows, ["node_id"])
 
 
-@query(f"WITH {SQL_PLACES} SELECT read_id, node, position, \"offset\" FROM pl")
+_STARTS = f"""{SQL_THREADS}, ke AS (SELECT *, lag(node) OVER (PARTITION BY read_id ORDER BY pos) AS prev FROM kt),
+ks AS (SELECT node, read_id, min(pos) AS p, arg_min(off, pos) AS o, count(*) AS n FROM ke WHERE prev IS NULL OR prev <> node GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_STARTS} SELECT read_id, node, CAST(CASE WHEN n > 1 THEN -1 WHEN node > 0 THEN o ELSE length(s) - 31 - o END AS BIGINT) AS position, CAST(p AS BIGINT) AS "offset" FROM ks JOIN cg ON cg.node_id = abs(node)"""
+)
 def read_places(spark: SparkSession, d: str) -> DataFrame:
-    """The first entry of each read into each node."""
-    return places(spark, d)
+    """The first entry of each read into each node (a long read), from k-mer hits."""
+    return graph.read_starts(kmer_threads(spark, d), long_nodes(spark, d)).select("read_id", "node", "position", "offset")
 
 
-@query(f"WITH {SQL_PLACES} SELECT abs(node) AS node_id, category, count(*) AS cov FROM th JOIN (SELECT DISTINCT read_id, category FROM read_set) r USING (read_id) GROUP BY 1, 2")
+@query(f"WITH {SQL_THREADS} SELECT abs(node) AS node_id, category, count(*) AS cov FROM kt GROUP BY 1, 2")
 def threaded_coverage(spark: SparkSession, d: str) -> DataFrame:
-    cats = table(spark, d, "read_set").select("read_id", "category").distinct()
-    return graph.coverage(threads(spark, d).join(cats, "read_id"))
+    """Coverage of nodes (long reads) by k-mer hits, by category."""
+    return graph.coverage(kmer_threads(spark, d))
 
 
 @query(
-    f"""WITH {SQL_PLACES}, s AS (SELECT node AS a, lead(node) OVER (PARTITION BY read_id ORDER BY pos, node) AS b FROM th), t AS (SELECT a, b FROM s WHERE b IS NOT NULL AND a <> b),
+    f"""WITH {SQL_THREADS}, s AS (SELECT node AS a, lead(node) OVER (PARTITION BY read_id ORDER BY pos) AS b FROM kt), t AS (SELECT a, b FROM s WHERE b IS NOT NULL AND a <> b),
 tw AS (SELECT a, b, (abs(b) < abs(a) OR (abs(b) = abs(a) AND a < 0 AND b < 0)) AS f FROM t)
 SELECT CASE WHEN f THEN -b ELSE a END AS src, CASE WHEN f THEN -a ELSE b END AS dst, CAST(sum(CASE WHEN a = -b THEN 2 ELSE 1 END) AS BIGINT) AS mult FROM tw GROUP BY 1, 2"""
 )
 def threaded_arcs(spark: SparkSession, d: str) -> DataFrame:
-    """Arcs that reads make between consecutive nodes; a hairpin counts twice."""
-    w = W.partitionBy("read_id").orderBy("pos", "node")
-    rows = threads(spark, d).withColumn("dst", F.lead("node").over(w)).filter("dst is not null and dst <> node")
-    return stats.canonical_arcs(rows.select(F.col("node").alias("src"), "dst", F.when(F.col("node") == -F.col("dst"), 2).otherwise(1).cast("bigint").alias("mult")))
+    """Arcs that reads make between consecutive nodes (long reads); a hairpin counts twice."""
+    return graph.arcs_of_threads(kmer_threads(spark, d))
+
+
+_MARKS = f"""{SQL_THREADS}, mt AS (SELECT *, lag(node) OVER w AS pn, lag(off) OVER w AS po, lag(pos) OVER w AS pp FROM kt WHERE category >= 4 WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+mo AS (SELECT *, sum(CASE WHEN pn = node AND off = po + (CASE WHEN node > 0 THEN 1 ELSE -1 END) AND pos = pp + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY read_id ORDER BY pos) AS ord FROM mt),
+mk AS (SELECT read_id AS seq_id, ord, any_value(node) AS node, min(pos) AS start, max(pos) + 1 AS finish, arg_min(off, pos) AS start_off, arg_max(off, pos) AS finish_off FROM mo GROUP BY 1, 2)"""
+
+
+def _markers(spark: SparkSession, d: str) -> DataFrame:
+    return longreads.passage_markers(kmer_threads(spark, d), (4, 5))
+
+
+@query(f"WITH {_MARKS} SELECT seq_id, CAST(ord AS BIGINT) AS ord, node, CAST(start AS BIGINT) AS start, CAST(finish AS BIGINT) AS finish, CAST(start_off AS BIGINT) AS start_off, CAST(finish_off AS BIGINT) AS finish_off FROM mk")
+def passage_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of long reads over nodes as runs of consecutive positions."""
+    return _markers(spark, d).withColumn("ord", F.col("ord").cast("bigint")).select("seq_id", "ord", "node", "start", "finish", "start_off", "finish_off")
+
+
+@query(
+    f"""WITH {_MARKS}, lo AS (SELECT seq_id, min(CASE WHEN abs(node) % 2 = 1 THEN ord END) AS lo, max(CASE WHEN abs(node) % 2 = 1 THEN ord END) AS hi FROM mk GROUP BY 1)
+SELECT seq_id, CAST(ord AS BIGINT) AS ord, node FROM mk JOIN lo USING (seq_id) WHERE ord BETWEEN lo AND hi"""
+)
+def trimmed_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Markers between a read's first and last one on a unique node; here those with an odd id are labelled so."""
+    unique = long_nodes(spark, d).filter("node_id % 2 = 1").select("node_id")
+    return longreads.trimmed(_markers(spark, d), unique).select("seq_id", F.col("ord").cast("bigint").alias("ord"), "node")
+
+
+@query(
+    f"""WITH {_MARKS}, n AS (SELECT abs(node) AS node_id, seq_id % 3 AS strain, finish - start AS size FROM mk)
+SELECT node_id, CAST(sum(CASE WHEN strain = 0 THEN 1 ELSE 0 END) AS BIGINT) AS genome_copies, CAST(sum(CASE WHEN strain <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS strain_copies,
+CASE WHEN sum(CASE WHEN strain <> 0 THEN 1 ELSE 0 END) = 0 THEN 'only_genome' WHEN sum(CASE WHEN strain = 0 THEN 1 ELSE 0 END) = 0 THEN 'only_strain' ELSE 'mixed' END AS class FROM n GROUP BY 1"""
+)
+def strain_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that long reads of the genome, of other strains or of both pass; the reads' strains follow from their ids."""
+    strains = table(spark, d, "read_set").filter("read_id is not null").select(F.col("read_id").alias("seq_id"), (F.col("read_id") % 3).cast("string").alias("strain")).distinct()
+    return longreads.strain_classes(_markers(spark, d), strains, "0")
 
 
 @query(f"WITH {SQL_PLACES} SELECT count(DISTINCT read_id) AS unused FROM read_set WHERE read_id IS NOT NULL AND read_id NOT IN (SELECT read_id FROM pl JOIN (SELECT DISTINCT node_id FROM node_stats WHERE lgth >= 100) n ON abs(node) = node_id)")
@@ -108,12 +148,6 @@ def unused_reads(spark: SparkSession, d: str) -> DataFrame:
     return sinks.unused_reads(rows, places(spark, d), _one(spark, d), 100).agg(F.countDistinct("read_id").alias("unused"))
 
 
-@query(f"WITH {SQL_PLACES} SELECT abs(node) AS node_id, count(DISTINCT read_id) AS reads FROM pl WHERE abs(node) IN (1, 2, 3, 5, 8, 13, 21) GROUP BY 1")
-def contig_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Reads of the seven nodes that the SQL twin names; contig_reads_all has every node."""
-    return tools.reads_of_nodes(places(spark, d).filter(F.abs("node").isin(1, 2, 3, 5, 8, 13, 21)))
-
-
 @query(f"WITH {SQL_PLACES} SELECT abs(node) AS node_id, count(DISTINCT read_id) AS reads FROM pl GROUP BY 1")
 def contig_reads_all(spark: SparkSession, d: str) -> DataFrame:
     """Reads of every node, in one pass."""
@@ -249,18 +283,52 @@ def accepted_connections(spark: SparkSession, d: str) -> DataFrame:
     return pairs.accepted(rows).select("src", "dst", "direct", "paired")
 
 
-@query()
+#: The error function as a series of positive terms.
+_ERF = "(sign({x}) * least(1.0, 2 / sqrt(pi()) * exp(-(least(abs({x}), 6.0) * least(abs({x}), 6.0))) * list_sum(list_transform(range(0, 200), lambda j: exp((2 * j + 1) * ln(greatest(least(abs({x}), 6.0), 1e-300)) + j * ln(4.0) + lgamma(j + 1.0) - lgamma(2 * j + 2.0))))))"
+
+
+def _ramp(c: str) -> str:
+    z = f"(({c} - ins_len) / sd)"
+    return f"(sd * (0.4 * exp(-{z} * {z} / 2) - {z} * (0.5 - {_ERF.format(x=f'(0.7 * {z})')} / 2)))"
+
+
+_LIBS = f"""{_EST}, lb AS (SELECT library, CAST(ins_len AS DOUBLE) AS ins_len, sqrt(CAST(greatest(CASE WHEN c > 0 THEN s // c ELSE sa // n END, 1) AS DOUBLE)) AS sd FROM v WHERE library < 2)"""
+_RATE = """rd AS (SELECT node_id, max(short1_nb) AS nb0, max(short2_nb) AS nb1 FROM nd GROUP BY 1)"""
+_MODEL = f"""{_ONE}, {_RATE}, {_CONN}, {_LIBS}, cl AS (SELECT cn.*, i.length AS l1, j.length AS l2, CASE WHEN i.length >= j.length THEN i.node_id ELSE j.node_id END AS longer, greatest(i.length, j.length) AS ll
+  FROM cn JOIN n1 i ON abs(src) = i.node_id JOIN n1 j ON abs(dst) = j.node_id WHERE distance IS NOT NULL AND greatest(i.length, j.length) > 0),
+ex AS (SELECT cl.*, library, ins_len, sd, distance - (l1 + l2) / 2 AS gap, coalesce(CASE WHEN library = 0 THEN nb0 ELSE nb1 END, 0) / ll AS density FROM cl JOIN rd ON longer = rd.node_id, lb),
+ev AS (SELECT src, dst, any_value(direct) AS direct, any_value(paired) AS paired, CAST(sum(floor(greatest(({_ramp('gap')} - {_ramp('(gap + l1)')} - {_ramp('(gap + l2)')} + {_ramp('(gap + l1 + l2)')}) * density, 0))) AS BIGINT) AS expected FROM ex GROUP BY 1, 2)"""
+
+
+def _expected(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst, direct, paired, expected: pairs that the insert model of both short libraries puts across each connection."""
+    one = _one(spark, d)
+    ln = one.select("node_id", "length")
+    rows = _connections(spark, d).filter("distance is not null").join(ln.select(F.col("node_id").alias("i1"), F.col("length").alias("l1")), F.abs("src") == F.col("i1")).join(
+        ln.select(F.col("node_id").alias("i2"), F.col("length").alias("l2")), F.abs("dst") == F.col("i2")
+    ).filter("greatest(l1, l2) > 0")
+    reads_ = nodes(spark, d).groupBy(F.col("node_id").alias("longer")).agg(F.max("short1_nb").alias("nb0"), F.max("short2_nb").alias("nb1"))
+    libs = pairs.insert_estimates(_sizes(spark, d)).filter("library < 2").select("library", F.col("ins_len").cast("double").alias("ins_len"), F.col("ins_var").cast("double").alias("ins_var"))
+    rows = rows.withColumn("longer", F.when(F.col("l1") >= F.col("l2"), F.col("i1")).otherwise(F.col("i2"))).join(reads_, "longer").crossJoin(F.broadcast(libs))  # two rows
+    rows = rows.withColumn("density", F.coalesce(F.when(F.col("library") == 0, F.col("nb0")).otherwise(F.col("nb1")), F.lit(0)) / F.greatest("l1", "l2"))
+    return pairs.expected_links(rows).groupBy("src", "dst").agg(F.max("direct").alias("direct"), F.max("paired").alias("paired"), F.sum("expected").alias("expected"))
+
+
+@query(f"WITH {_MODEL} SELECT src, dst, paired, expected, CASE WHEN paired >= expected * 0.1 THEN 'OK' ELSE 'NG' END AS verdict FROM ev")
 def expected_links(spark: SparkSession, d: str) -> DataFrame:
     """Pairs a Gaussian insert model expects across each connection, and the verdict on the found ones."""
-    one = _one(spark, d)
-    rows = _connections(spark, d).filter("distance is not null").join(one.select(F.col("node_id").alias("i1"), F.col("length").alias("l1")), F.abs("src") == F.col("i1")).join(
-        one.select(F.col("node_id").alias("i2"), F.col("length").alias("l2")), F.abs("dst") == F.col("i2")
-    )
-    rows = rows.withColumn("ins_len", F.lit(400.0)).withColumn("ins_var", F.lit(1600.0)).withColumn("density", F.lit(0.05))
-    found = pairs.expected_links(rows)
+    found = _expected(spark, d)
     return found.select("src", "dst", "paired", "expected", F.when(F.col("paired") >= F.col("expected") * 0.1, "OK").otherwise("NG").alias("verdict"))
 
 
+@query(f"WITH {_MODEL}, {_UNIQUE} SELECT src, dst, direct, paired, expected FROM ev WHERE abs(dst) NOT IN (SELECT node_id FROM un) OR (paired + direct >= 5 AND paired >= expected * 0.1)")
+def modelled_connections(spark: SparkSession, d: str) -> DataFrame:
+    """Connections that the link filter keeps against the model's expectation."""
+    u = _unique(spark, d).select(F.col("node_id").alias("u"), F.lit(True).alias("dst_unique"))
+    rows = _expected(spark, d).join(u, F.abs("dst") == F.col("u"), "left")
+    return pairs.accepted(rows).select("src", "dst", "direct", "paired", "expected")
+
+
 _NEAR = f"""{_ONE}, {_UNIQUE}, {_CONN}, tb AS (SELECT src, dst, distance, variance FROM cn WHERE variance > 0 AND distance IS NOT NULL UNION ALL SELECT -dst, -src, distance, variance FROM cn WHERE variance > 0 AND distance IS NOT NULL),
 st AS (SELECT * FROM tb WHERE abs(src) IN (SELECT node_id FROM un)), al AS (SELECT src AS node, dst AS other, distance, variance FROM st UNION ALL
  SELECT m.src, t.dst, m.distance + t.distance, m.variance + t.variance FROM st m JOIN tb t ON m.dst = t.src WHERE abs(m.dst) IN (SELECT node_id FROM un) AND abs(t.dst) <> abs(m.src)),
@@ -281,34 +349,35 @@ def extension_targets(spark: SparkSession, d: str) -> DataFrame:
     return pairs.nearest_unique(near, _unique(spark, d)).withColumn("distance", F.round("distance", 5))
 
 
-@query()
-def scaffold_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Scaffolds over contigs: length and gaps of each."""
-    seqs = table(spark, d, "contigs").filter("seq is not null and node_id is not null").groupBy("node_id").agg(F.min(F.upper(F.regexp_replace("seq", r"\s", ""))).alias("seq"))
-    rows = seqs.withColumn("length", F.length("seq") - 30).filter("length > 0").select("node_id", F.col("length").cast("bigint").alias("length"), "seq")
-    out, gaps = pairs.scaffolds(rows, _connections(spark, d), _unique(spark, d), 31)
-    g = gaps.groupBy("scaffold").agg(F.count(F.lit(1)).alias("gaps"), F.sum("length").alias("gap_bases"))
-    return out.join(g, "scaffold", "left").select("scaffold", "length", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("gap_bases", F.lit(0)).alias("gap_bases"))
-
+_SCAFFOLD = f"""{_NEAR}, ah AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, other) AS k FROM nb WHERE abs(other) IN (SELECT node_id FROM un) AND distance > 0),
+bt AS (SELECT node AS u, other AS v, distance FROM ah WHERE k = 1), mu AS (SELECT a.u, a.v, a.distance FROM bt a JOIN bt b ON b.u = -a.v AND b.v = -a.u WHERE abs(a.u) <> abs(a.v)),
+cq AS (SELECT node_id, min(upper(regexp_replace(seq, '\\s', '', 'g'))) AS s FROM contigs WHERE seq IS NOT NULL AND node_id IS NOT NULL GROUP BY 1),
+ct AS (SELECT node_id, length(s) AS bases, length(s) - 30 AS l FROM cq WHERE length(s) > 30),
+lk AS (SELECT u, v, CAST(greatest(floor(distance - (i.l + j.l) / 2), 10) AS BIGINT) AS gap FROM mu JOIN ct i ON abs(u) = i.node_id JOIN ct j ON abs(v) = j.node_id)"""
 
-_MARK = f"""{SQL_PLACES}, tt AS (SELECT read_id AS seq_id, pos, node, off, lag(node) OVER w AS pn, lag(off) OVER w AS po, lag(pos) OVER w AS pp FROM (SELECT DISTINCT * FROM th) q WINDOW w AS (PARTITION BY read_id ORDER BY pos, node)),
-th2 AS (SELECT *, sum(CASE WHEN pn = node AND off = po + (CASE WHEN node > 0 THEN 1 ELSE -1 END) AND pos = pp + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY seq_id ORDER BY pos, node) AS ord FROM tt),
-mk AS (SELECT seq_id, ord, any_value(node) AS node, min(pos) AS start, max(pos) + 1 AS finish FROM th2 GROUP BY 1, 2)"""
 
-
-@query()
-def passage_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of long reads over nodes as runs of consecutive positions."""
-    rows = threads(spark, d).withColumn("category", F.lit(4))
-    marks = longreads.passage_markers(rows, (4,))
-    return marks.groupBy("node").agg(F.count(F.lit(1)).alias("markers"), F.sum(F.col("finish") - F.col("start")).alias("covered"))
+@query(
+    f"""WITH RECURSIVE {_SCAFFOLD}, ch AS (SELECT u AS head, u, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS gap FROM lk WHERE u NOT IN (SELECT v FROM lk) UNION ALL SELECT ch.head, lk.v, ch.rank + 1, lk.gap FROM ch JOIN lk ON lk.u = ch.u),
+tl AS (SELECT head, arg_max(u, rank) AS tail FROM ch GROUP BY 1), kp AS (SELECT ch.* FROM ch JOIN tl USING (head) WHERE head <= -tail),
+sc AS (SELECT abs(head) AS scaffold, sum(bases + gap) AS bases, count(CASE WHEN gap > 0 THEN 1 END) AS gaps, sum(gap) AS gap_bases FROM kp JOIN ct ON abs(u) = node_id GROUP BY head)
+SELECT scaffold, CAST(bases - 30 AS BIGINT) AS length, gaps, CAST(gap_bases AS BIGINT) AS gap_bases FROM sc UNION ALL SELECT node_id, CAST(l AS BIGINT), 0, 0 FROM ct WHERE node_id NOT IN (SELECT abs(u) FROM kp)"""
+)
+def scaffold_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Scaffolds over contigs: length and gaps of each."""
+    rows = contig_nodes(spark, d).filter("length > 0")
+    made = pairs.scaffolds(rows, _connections(spark, d), _unique(spark, d), 31)
+    if made is None:
+        return rows.select(F.col("node_id").alias("scaffold"), "length", F.lit(0).cast("bigint").alias("gaps"), F.lit(0).cast("bigint").alias("gap_bases"))
+    out, gaps, _ = made
+    g = gaps.groupBy("node_id").agg(F.count(F.lit(1)).alias("gaps"), F.sum(F.col("stop") - F.col("start")).cast("bigint").alias("gap_bases"))
+    return out.join(g, "node_id", "left").select(F.col("node_id").alias("scaffold"), "length", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("gap_bases", F.lit(0)).alias("gap_bases"))
 
 
 @query()
 def unique_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links between unique nodes that reads vote for on both sides."""
-    marks = longreads.passage_markers(threads(spark, d).withColumn("category", F.lit(4)), (4,))
-    return longreads.unique_links(longreads.trimmed(marks, _unique(spark, d)), 2)
+    """Links between nodes, all taken as unique, that long reads vote for on both sides, and the nodes between."""
+    every = long_nodes(spark, d).select("node_id")
+    return longreads.unique_links(longreads.trimmed(_markers(spark, d), every), 1).select("u", "v", "votes", F.size("inner").alias("between"))
 
 
 @query(
@@ -372,19 +441,6 @@ def level_parts(spark: SparkSession, d: str) -> DataFrame:
     return meta.level_parts(_one(spark, d), arcs(spark, d), [40.0, 12.0])
 
 
-@query(
-    f"""WITH RECURSIVE {_ONE}, {SQL_ARCS}, {SQL_BOTH}, s AS (SELECT node_id AS n FROM n1 WHERE length < 30), lg AS (SELECT node_id FROM n1 WHERE length >= 500),
-st AS (SELECT 3 AS side, n FROM s UNION ALL SELECT 5, -n FROM s),
-w AS (SELECT side, n AS start, n AS cur, [abs(n)] AS p, false AS e, 0 AS i FROM st UNION ALL
- SELECT w.side, w.start, bo.dst, list_append(w.p, abs(bo.dst)), abs(bo.dst) IN (SELECT node_id FROM lg), w.i + 1 FROM w JOIN bo ON bo.src = w.cur WHERE NOT w.e AND w.i < 3 AND NOT list_contains(w.p, abs(bo.dst)))
-SELECT DISTINCT abs(start) AS node_id, side, abs(cur) AS flank FROM w WHERE e"""
-)
-def insertion_flanks(spark: SparkSession, d: str) -> DataFrame:
-    """Long nodes within three steps, as in the SQL twin, on either side of every short node; insertion_flanks_all has no limit of steps."""
-    one = _one(spark, d)
-    return traverse.flanks(one, arcs(spark, d), one.filter("length < 30").select("node_id"), 500, 3)
-
-
 @query(
     f"""WITH RECURSIVE {_ONE}, {SQL_ARCS}, {SQL_BOTH}, s AS (SELECT node_id AS n FROM n1 WHERE length < 30), lg AS (SELECT node_id FROM n1 WHERE length >= 500),
 st AS (SELECT 3 AS side, n FROM s UNION ALL SELECT 5, -n FROM s),
@@ -456,10 +512,14 @@ def amos_messages(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("part").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("line")).alias("letters"))
 
 
-@query()
+@query(
+    f"""WITH {_MARKS}, ar AS (SELECT DISTINCT read_id AS ref_id, 'r' || read_id AS name, read_id % 2 = 0 AS positive FROM read_set WHERE read_id IS NOT NULL),
+al AS (SELECT abs(node) AS node_id, node > 0 AS fwd, start_off, finish - start + 30 AS span, length(s) - 30 AS l, name, positive, start FROM mk JOIN ar ON seq_id = ref_id JOIN cg ON cg.node_id = abs(node) WHERE length(s) > 30)
+SELECT node_id, CAST(CASE WHEN fwd THEN start_off + 1 ELSE l - start_off END AS BIGINT) AS node_start, CAST(CASE WHEN fwd THEN start_off + span ELSE l - start_off - span + 1 END AS BIGINT) AS node_stop, name AS reference,
+CAST(CASE WHEN positive THEN 1 + start ELSE 10000 - start END AS BIGINT) AS ref_start, CAST(CASE WHEN positive THEN start + span ELSE 10000 - start - span + 1 END AS BIGINT) AS ref_stop FROM al"""
+)
 def contig_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Coordinates of reference segments on long nodes in the four strand cases."""
-    marks = longreads.passage_markers(threads(spark, d).withColumn("category", F.lit(6)), (6,))
+    """Coordinates of long reads, as reference segments of either strand, on nodes: the four strand cases."""
     heads = table(spark, d, "read_set").filter("read_id is not null").select(F.col("read_id").alias("ref_id"), F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name")).distinct()
     areas = heads.select("ref_id", "name", (F.col("ref_id") % 2 == 0).alias("positive"), F.lit(1).cast("bigint").alias("region_start"), F.lit(10000).cast("bigint").alias("region_finish"))
-    return sinks.alignments(marks, areas, _one(spark, d), 1, 31)
+    return sinks.alignments(_markers(spark, d), areas, long_nodes(spark, d), 1, 31)

@@ -2,7 +2,9 @@
 
 `spark.read.format("seqreads").option("layout", ...)` reads fasta, fastq, raw, sam and
 bam files, plain, gzip or bzip2, one partition a file (compressed files don't split).
-Large plain FASTA is read by `fasta_split`, in blocks, inside the JVM.
+Paths may be local or on a shared store (hdfs, s3, gs), which pyarrow opens.
+Large plain files are read in blocks, inside the JVM: FASTA by `fasta_split`, FASTQ
+by `fastq_split`, SAM by `sam_split`.
 
 Records keep their order: `file` (place in the list) and `ordinal` (from 0 in the file).
 Names end at the first white space. Sequences may run over several lines. A FASTQ
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import struct
 import sys
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.ordered import running_total
+from ..operators.ordered import lagged, running_total
 from ..runtime import materialize
 
 READS = "file int, ordinal bigint, name string, seq string, qual string"
@@ -36,16 +39,25 @@ SAM = (
 BATCH = 4096
 
 
+def _stream(path: str):
+    """A binary stream of a local file or of one on a shared store."""
+    if "://" in path and not path.startswith("file:"):
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        return io.BufferedReader(where.open_input_file(name), 1 << 20)
+    return open(path.removeprefix("file://").removeprefix("file:"), "rb")
+
+
 def opened(path: str):
     """The file, decompressed by its first bytes."""
-    path = path.removeprefix("file://").removeprefix("file:")
-    with open(path, "rb") as f:
-        head = f.read(3)
+    f = _stream(path)
+    head = f.peek(3)[:3]
     if head[:2] == b"\x1f\x8b":
-        return gzip.open(path, "rb")
+        return gzip.open(f, "rb")
     if head == b"BZh":
-        return bz2.open(path, "rb")
-    return open(path, "rb")
+        return bz2.open(f, "rb")
+    return f
 
 
 def sniffed(path: str) -> str:
@@ -127,6 +139,20 @@ def sam(lines: Iterator[bytes]) -> Iterator[tuple]:
         yield p[0], int(p[1]), p[2], int(p[3]), int(p[4]), p[5], p[6], int(p[7]), int(p[8]), p[9], p[10] if len(p) > 10 else "*"
 
 
+#: A raw line of this many letters or more is refused.
+LONGEST_RAW = 4999
+
+
+def raw(lines: Iterator[bytes]) -> Iterator[tuple[str, str, None]]:
+    """Reads of one line each, all named RAW."""
+    for line in lines:
+        text = line.strip()
+        if len(text) >= LONGEST_RAW:
+            raise ValueError(f"a raw read has {len(text)} letters; at most {LONGEST_RAW - 1} are taken")
+        if text:
+            yield "RAW", text.decode("latin-1"), None
+
+
 class _File(InputPartition):
     def __init__(self, number: int, path: str):
         self.number, self.path = number, path
@@ -155,7 +181,7 @@ class SeqReadsReader(DataSourceReader):
                     raise ValueError(f"{part.path}: not a {layout} file")
                 rows = fastx(iter(f))
             elif layout == "raw":
-                rows = (("RAW", line.strip().decode("latin-1"), None) for line in f if line.strip())
+                rows = raw(f)
             elif layout == "sam":
                 rows = sam(iter(f))
             elif layout == "bam":
@@ -205,12 +231,23 @@ def scan(spark: SparkSession, paths: list[str] | str, layout: str = "auto") -> D
     return spark.read.format("seqreads").option("paths", ",".join(files)).option("layout", layout).load()
 
 
+def lines_in_order(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
+    """file_name, block, o, value: lines of text files read in blocks. (file_name, block, o) orders them.
+
+    `o` grows inside a block only: blocks of one file may go to any task."""
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.withColumn("o", F.monotonically_increasing_id())
+
+
+LINE_ORDER = ["file_name", "block", "o"]
+
+
 def fasta_split(spark: SparkSession, path: str) -> DataFrame:
     """Records of plain FASTA files read in blocks: file_name, block, within, name, seq.
 
     (block, within) orders the records of a file."""
-    lines = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
-    rows = lines.withColumn("o", F.monotonically_increasing_id()).filter("length(trim(value)) > 0")
+    rows = lines_in_order(spark, path, "\n>").filter("length(trim(value)) > 0")
     record = F.regexp_replace("value", "^>", "")
     w = W.partitionBy("file_name", "block").orderBy("o")
     return rows.select(
@@ -219,6 +256,31 @@ def fasta_split(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def fastq_split(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of FASTQ files of four lines a record, read in blocks: file_name, ordinal, name, seq, qual. Other lines are an error."""
+    kept, _ = materialize(lines_in_order(spark, path), "lines")
+    lines = running_total(kept, F.lit(1).cast("bigint"), LINE_ORDER, "n", ())
+    first = lines.groupBy("file_name").agg(F.min("n").alias("first"))
+    at = lines.join(F.broadcast(first), "file_name").withColumn("n", F.col("n") - F.col("first"))  # one row a file
+    line = lambda i: F.max(F.when(F.col("n") % 4 == i, F.col("value")))
+    four = at.groupBy("file_name", F.expr("n div 4").alias("ordinal")).agg(line(0).alias("head"), line(1).alias("seq"), line(2).alias("plus"), line(3).alias("qual"))
+    bad = ~(F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False)))
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("no FASTQ record: "), F.coalesce("head", F.lit(""))))).otherwise(F.col("seq"))
+    return four.select("file_name", "ordinal", F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), checked.alias("seq"), "qual")
+
+
+def sam_split(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Alignments of SAM text files read in blocks, in the columns of the data source; `file` numbers the files by name."""
+    kept, _ = materialize(lines_in_order(spark, path).filter("value not like '@%' and length(trim(value)) > 0"), "lines")
+    rows = running_total(kept, F.lit(1).cast("bigint"), LINE_ORDER, "n")
+    names = kept.select("file_name").distinct()
+    files = names.withColumn("file", (F.row_number().over(W.orderBy("file_name")) - 1).cast("int"))  # one row a file
+    p = F.split("value", "\t")
+    kinds = [x.split() for x in SAM.split(", ")][2:]
+    columns = [F.coalesce(F.get(p, F.lit(i)), F.lit("*")).cast(kind).alias(name) for i, (name, kind) in enumerate(kinds)]
+    return rows.filter(F.size(p) >= 10).join(F.broadcast(files), "file_name").select("file", (F.col("n") - 1).alias("ordinal"), *columns)
+
+
 def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs from two files by position: left and right records in turn. Unequal counts are an error."""
     key = ["file", "ordinal"]
@@ -272,15 +334,19 @@ def aligned_reads(rows: DataFrame, paired: bool = False) -> DataFrame:
     use = rows.filter("seq is not null and seq <> '*'").withColumn("read_name", F.concat("qname", mate)).withColumn(
         "fwd_seq", F.when(flag.bitwiseAND(16) > 0, revcomp(F.upper("seq"))).otherwise(F.upper("seq"))
     )
-    w = W.partitionBy("file").orderBy("ordinal")
-    runs = use.withColumn("head", F.when(F.lag("read_name").over(w).eqNullSafe(F.col("read_name")), 0).otherwise(1)).withColumn("run", F.sum("head").over(w))
+    # no window is keyed by a file, of which there may be one: rows are compared with the row before over ranges of the order
+    named = lagged(use, F.struct("file", "read_name"), ["file", "ordinal"], "before")
+    head = F.when(F.col("before").eqNullSafe(F.struct("file", "read_name")), 0).otherwise(1).cast("bigint")
+    runs = running_total(named, head, ["file", "ordinal"], "run")
     mapped = F.when(flag.bitwiseAND(4) == 0, F.struct("ordinal", "rname", "pos", "cigar", (flag.bitwiseAND(16) > 0).alias("reverse")))
     reads = runs.groupBy("file", "run").agg(
         F.first("qname").alias("qname"), F.first("read_name").alias("name"), F.min_by("fwd_seq", "ordinal").alias("seq"), F.array_sort(F.collect_list(mapped)).alias("mappings")
     )
-    near = W.partitionBy("file").orderBy("run")
-    beside = (F.lag("qname").over(near).eqNullSafe(F.col("qname"))) | (F.lead("qname").over(near).eqNullSafe(F.col("qname")))
-    return reads.withColumn("is_paired", F.lit(paired) & beside)
+    if not paired:
+        return reads.withColumn("is_paired", F.lit(False))
+    key = F.struct("file", "qname")
+    beside = lagged(lagged(reads, key, ["run"], "a"), key, [F.desc("run")], "b")
+    return beside.withColumn("is_paired", F.col("a").eqNullSafe(key) | F.col("b").eqNullSafe(key)).drop("a", "b")
 
 
 def regions(headers: DataFrame) -> DataFrame:
@@ -313,10 +379,12 @@ def in_regions(spots: DataFrame, areas: DataFrame, block: int = 100_000) -> Data
 
 
 def _sections(spark: SparkSession, path: str, head: str) -> DataFrame:
-    """Lines of a text file with the number of the section (line starting with `head`) each belongs to: n, line, section."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("b")).withColumn("o", F.monotonically_increasing_id())
-    kept, _ = materialize(lines, "lines")
-    return running_total(kept, F.col("line").startswith(head).cast("bigint"), ["o"], "section")
+    """Lines of a text file with their place o and the number of the section (line starting with `head`) each belongs to: o, line, section.
+
+    Files follow each other by name and their blocks by start, whatever tasks they went to."""
+    kept, _ = materialize(lines_in_order(spark, path).withColumnRenamed("value", "line"), "lines")
+    rows = running_total(kept, F.lit(1).cast("bigint"), LINE_ORDER, "n")
+    return running_total(rows.select(F.col("n").alias("o"), "line"), F.col("line").startswith(head).cast("bigint"), ["o"], "section")
 
 
 def sequences_file(spark: SparkSession, path: str) -> DataFrame:

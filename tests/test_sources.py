@@ -5,6 +5,7 @@ import gzip
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.sources import seqreads, sinks
 
@@ -82,6 +83,42 @@ def test_sam_and_bam_agree(spark, tmp_path):
     assert blocks == [("r1", 3), ("r1", 20), ("r1", 21)]
 
 
+def test_blocks_give_what_the_data_source_gives(spark, tmp_path):
+    """Files cut into many small blocks, in an order of sizes that differs from that of names."""
+    fq = {f"{i}.fq": "".join(f"@r{i}_{j} x\nACGT{'ACGT'[j % 4] * (j % 9)}\n+\nIIII{'I' * (j % 9)}\n" for j in range(n)) for i, n in enumerate((3, 90, 40))}
+    paths = [write(tmp_path / n, t) for n, t in fq.items()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+    try:
+        got = [(r.name, r.seq, r.qual) for r in seqreads.fastq_split(spark, paths).orderBy("file_name", "ordinal").collect()]
+        assert got == [(r.name, r.seq, r.qual) for r in seqreads.scan(spark, paths, "fastq").orderBy("file", "ordinal").collect()]
+        lines = [f"q{j // 3}\t{64 if j % 3 < 2 else 128}\tref\t{j + 1}\t60\t4M\t*\t0\t0\tACGT\t*" for j in range(120)]
+        sam = [write(tmp_path / f"{n}.sam", "@HD\tVN:1\n" + "\n".join(part) + "\n") for n, part in (("a", lines[:30]), ("b", lines[30:]))]
+        key = lambda df: [tuple(r) for r in df.orderBy("ordinal").select("qname", "flag", "pos", "seq", "qual").collect()]
+        whole = seqreads.sam_split(spark, sam)
+        assert key(whole) == key(seqreads.scan(spark, sam, "sam").withColumn("ordinal", F.col("file") * 1000 + F.col("ordinal")))
+        reads = seqreads.aligned_reads(whole, paired=True).collect()
+        assert len(reads) == 80 and all(r.is_paired for r in reads) and sorted({len(r.mappings) for r in reads}) == [1, 2]
+        text = "".join(f">s{i}\t{i}\t0\n{'ACGT' * (i % 40 + 1)}\n" for i in range(1, 200))
+        back = seqreads.sequences_file(spark, write(tmp_path / "Sequences", text)).collect()
+        assert {r.read_id: len(r.seq) for r in back} == {i: 4 * (i % 40 + 1) for i in range(1, 200)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception):
+        seqreads.fastq_split(spark, write(tmp_path / "bad.fq", "@a\nAC\n+\nI\n")).collect()
+
+
+def test_long_raw_lines_are_refused(spark, tmp_path):
+    assert rows(seqreads.scan(spark, write(tmp_path / "a.raw", "ACGT\n\n" + "A" * 4998 + "\n"), "raw")) == [("RAW", "ACGT"), ("RAW", "A" * 4998)]
+    with pytest.raises(Exception):
+        seqreads.scan(spark, write(tmp_path / "b.raw", "A" * 4999 + "\n"), "raw").count()
+
+
+def test_mapped_reads_are_written_with_their_places(spark):
+    reads = spark.createDataFrame([(1, "a", 0, "ACGT", [(7, 3), (None, 4), (-8, 0)]), (2, "b", 0, "C" * 60, []), (3, "c", 0, "G", None)], "read_id bigint, name string, category int, seq string, mappings array<struct<ref_id:bigint,pos:bigint>>")
+    got = [r.line for r in sinks.sequences(reads).orderBy("read_id").collect()]
+    assert got == [">a\t1\t0\nACGT\nM\t7\t3\nM\t-8\t0", ">b\t2\t0\n" + "C" * 60, ">c\t3\t0\nG"]
+
+
 def test_regions_and_range_join(spark):
     heads = spark.createDataFrame([(1, "chr1:100-200"), (2, "chr1:400-300"), (3, "chr2")], "ref_id bigint, header string")
     areas = seqreads.regions(heads)
