@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -33,10 +34,15 @@ def assembly_metrics(contigs: DataFrame, by: tuple[str, ...] = (), least: int =
 
 
 def score(metrics: DataFrame, expression: str) -> DataFrame:
-    """A user's arithmetic over LNbp, Lbp, Lcon, max, n50, ncon, tbp; other names are refused by the analyser."""
-    for word in ("select", "java_method", "reflect", "input_file"):
-        if word in expression.lower():
-            raise ValueError("arithmetic over the metrics only")
+    """A user's arithmetic over the metrics' columns (LNbp, Lbp, Lcon, max, n50, ncon, tbp): names, numbers, + - * / and brackets."""
+    parts = re.findall(r"\s*([A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|[-+*/()])", expression)
+    if "".join(parts) != re.sub(r"\s+", "", expression):
+        raise ValueError("arithmetic over the metrics only")
+    names = {c.lower() for c in metrics.columns}
+    for i, x in enumerate(parts):
+        if x[0].isalpha() or x[0] == "_":
+            if x.lower() not in names or parts[i + 1 : i + 2] == ["("]:
+                raise ValueError(f"no metric {x}")
     return metrics.withColumn("score", F.expr(expression).cast("double"))
 
 
@@ -88,11 +94,6 @@ def repeat_histogram(nodes: DataFrame, dominant: float, width: float = 0.5) -> D
     return rows.groupBy(F.floor(F.col("coverage") / (dominant * width)).cast("bigint").alias("multiple")).agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("nodes"))
 
 
-def contig_reads(places: DataFrame, node: int) -> DataFrame:
-    """Reads with a place on a node, on either strand."""
-    return places.filter(F.abs("node") == abs(node)).select("read_id").distinct()
-
-
 def reads_of_nodes(places: DataFrame) -> DataFrame:
     """node_id, reads: distinct reads with a place on each node, on either strand."""
     return places.groupBy(F.abs("node").alias("node_id")).agg(F.countDistinct("read_id").alias("reads"))
@@ -120,6 +121,25 @@ def quality_share(reads: DataFrame, least: int = 20, offset: int = 33) -> DataFr
     return reads.withColumn("n_bases", n).withColumn("good_share", F.when(F.length("seq") > F.col("n_bases"), good / (F.length("seq") - F.col("n_bases"))))
 
 
+def trimmed(reads: DataFrame, least: int = 20, offset: int = 33) -> DataFrame:
+    """Reads without the bases at their end that lie below the quality, and without their qualities; null quality: as they are."""
+    poor = F.array_join(F.transform(F.split("qual", ""), lambda c: F.when(F.ascii(c) - offset < least, "x").otherwise("o")), "")
+    size = F.length(F.regexp_replace(poor, "x+$", ""))
+    rows = reads.withColumn("__n", F.when(F.col("qual").isNull() | (F.col("qual") == ""), F.length("seq")).otherwise(size))
+    return rows.withColumn("seq", F.expr("substring(seq, 1, __n)")).withColumn("qual", F.expr("substring(qual, 1, __n)")).drop("__n")
+
+
+def routed_pairs(reads: DataFrame, pairs: DataFrame, most_n: int, least_share: float, least: int = 20, offset: int = 33) -> DataFrame:
+    """read_id, mate_id, route of pairs(read_id, mate_id): `pair` if both mates are good, `single` if one is, else `fail`.
+
+    A read of reads(read_id, seq, qual) is good with at most `most_n` N and the least share of good bases; one that is missing is not."""
+    good = quality_share(reads, least, offset).select("read_id", ((F.col("n_bases") <= most_n) & (F.col("good_share") >= least_share)).alias("ok"))
+    a = good.select("read_id", F.col("ok").alias("a"))
+    b = good.select(F.col("read_id").alias("mate_id"), F.col("ok").alias("b"))
+    both = pairs.join(a, "read_id", "left").join(b, "mate_id", "left").fillna(False, ["a", "b"])
+    return both.select("read_id", "mate_id", F.when(F.col("a") & F.col("b"), "pair").when(F.col("a") | F.col("b"), "single").otherwise("fail").alias("route"))
+
+
 def enlarged(spans: DataFrame, by: int = 100) -> DataFrame:
     return spans.withColumn("start", F.greatest(F.col("start") - by, F.lit(1))).withColumn("stop", F.col("stop") + by)
 
@@ -137,7 +157,15 @@ def fetched(spans: DataFrame, seqs: DataFrame, key: str) -> DataFrame:
     return spans.join(seqs.select(key, "seq"), key).withColumn("bases", F.expr("substring(seq, cast(start as int), cast(stop - start + 1 as int))")).drop("seq")
 
 
+def contig_slice(tiles: DataFrame, reads: DataFrame, node: int) -> DataFrame:
+    """tiles(node_id, read_id, off, ...) of one contig with the bases of their reads(read_id, seq)."""
+    return tiles.filter(F.col("node_id") == node).join(reads.select("read_id", "seq"), "read_id")
+
+
 def pileup(tiles: DataFrame, start: int, stop: int) -> DataFrame:
-    """Reads of tiles(read_id, off, seq) that begin in a window, padded with dots to their place."""
+    """Reads of tiles(read_id, off, seq[, turned]) that begin in a window, on the contig's strand, padded with dots to their place."""
+    from ..functions.dna import revcomp
+
     rows = tiles.filter((F.col("off") >= start) & (F.col("off") < stop))
-    return rows.select("read_id", "off", F.concat(F.expr(f"repeat('.', cast(off - {start} as int))"), F.col("seq")).alias("line"))
+    s = F.when(F.col("turned"), revcomp(F.col("seq"))).otherwise(F.col("seq")) if "turned" in tiles.columns else F.col("seq")
+    return rows.select("read_id", "off", F.concat(F.expr(f"repeat('.', cast(off - {start} as int))"), s).alias("line"))

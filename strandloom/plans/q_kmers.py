@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import graph, hashing, tools
-from ..runtime import new_path, table
+from ..operators import graph, hashing, pregraph, tools
+from ..runtime import materialize, new_path, table
 from ..settings import k_values
 from ..sources import seqreads, sinks
 from .common import SQL_READS, K, reads, sql_kmers
@@ -197,10 +197,57 @@ def roadmaps(spark: SparkSession, d: str) -> DataFrame:
 )
 def break_points(spark: SparkSession, d: str) -> DataFrame:
     """Cut positions that annotations put on their target sequences."""
-    rows = hashing.roadmaps(hashing.kmer_rows(reads(spark, d), K, packed=True))
-    shift = F.when(F.col("target") < 0, 1).otherwise(0)
-    cuts = rows.select(F.abs("target").alias("seq_id"), F.explode(F.array(F.least("start", "finish") + shift, F.greatest("start", "finish") + shift)).alias("cut"))
-    return cuts.groupBy("seq_id").agg(F.countDistinct("cut").alias("cuts"))
+    return pregraph.cuts(_roads(spark, d)).groupBy("seq_id").agg(F.count("cut").alias("cuts"))
+
+
+def _roads(spark: SparkSession, d: str) -> DataFrame:
+    return hashing.roadmaps(hashing.kmer_rows(reads(spark, d), K, packed=True))
+
+
+def _prenodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Roadmaps and pre-nodes of all reads."""
+    kmers = hashing.kmer_rows(reads(spark, d), K, packed=True)
+    roads, _ = materialize(hashing.roadmaps(kmers), "roads")
+    novel = hashing.first_occurrences(kmers).groupBy(F.col("owner").alias("seq_id")).agg(F.count(F.lit(1)).alias("own"))
+    return roads, materialize(pregraph.prenodes(novel, roads), "prenodes")[0]
+
+
+_CUT = f"""{_ROAD}, rw AS (SELECT read_id, ord, any_value(target) AS target, min(written) AS position, arg_min(coord, pos) AS s, arg_max(coord, pos) + any_value(CASE WHEN target > 0 THEN 1 ELSE -1 END) AS e FROM ho WHERE NOT novel GROUP BY read_id, ord),
+nv AS (SELECT owner AS seq_id, count(*) AS own FROM fc GROUP BY 1),
+ac AS (SELECT seq_id, 0 AS cut FROM nv UNION SELECT seq_id, own FROM nv UNION SELECT read_id, position FROM rw UNION SELECT abs(target), least(s, e) + CASE WHEN target < 0 THEN 1 ELSE 0 END FROM rw UNION SELECT abs(target), greatest(s, e) + CASE WHEN target < 0 THEN 1 ELSE 0 END FROM rw),
+iv AS (SELECT ac.seq_id, cut, lead(cut) OVER (PARTITION BY ac.seq_id ORDER BY cut) AS nxt FROM ac JOIN nv USING (seq_id) WHERE cut BETWEEN 0 AND own),
+pn AS (SELECT row_number() OVER (ORDER BY seq_id, cut) AS node_id, seq_id, cut AS start, nxt - cut AS length FROM iv WHERE nxt IS NOT NULL)"""
+
+
+@query(f"WITH {_CUT} SELECT node_id, seq_id, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length FROM pn")
+def pre_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Pre-nodes: each read's own k-mers, cut where annotations begin and end."""
+    return _prenodes(spark, d)[1]
+
+
+@query(
+    f"""WITH {_CUT}, tr AS (SELECT read_id, ord, target, CASE WHEN target > 0 THEN s ELSE e + 1 END AS lo, CASE WHEN target > 0 THEN e ELSE s + 1 END AS hi FROM rw)
+SELECT read_id, CAST(ord AS BIGINT) AS ord, CASE WHEN target > 0 THEN a.node_id ELSE -b.node_id END AS first_node, CASE WHEN target > 0 THEN b.node_id ELSE -a.node_id END AS last_node
+FROM tr JOIN pn a ON a.seq_id = abs(target) AND a.start = lo JOIN pn b ON b.seq_id = abs(target) AND b.start + b.length = hi"""
+)
+def translated_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations with pre-node ids in place of coordinates."""
+    return pregraph.translated(*_prenodes(spark, d)).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query(f"WITH {sql_kmers()} SELECT CAST(count(*) AS BIGINT) AS kmers, CAST(sum(read_id * (pos + 1)) AS BIGINT) AS places FROM km")
+def pre_node_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Reads as walks over pre-nodes, unfolded again: every k-mer of every read is passed once, at its place."""
+    walk = pregraph.walks(*_prenodes(spark, d))
+    each = walk.select("read_id", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("length"))).alias("p"))
+    return each.agg(F.count(F.lit(1)).alias("kmers"), F.sum(F.col("read_id") * F.col("p")).cast("bigint").alias("places"))
+
+
+@query(f"WITH {sql_kmers()}, n AS (SELECT read_id, count(*) AS n FROM km WHERE category >= 4 GROUP BY 1) SELECT read_id AS ref_id, CAST(n AS BIGINT) AS length FROM n")
+def reference_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Long reads as references on pre-nodes: the segments of each cover it whole."""
+    rows = pregraph.reference_markers(pregraph.walks(*_prenodes(spark, d)), table(spark, d, "read_set").filter("category >= 4 and read_id is not null"))
+    return rows.groupBy("ref_id").agg(F.sum("length").cast("bigint").alias("length"))
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -275,3 +322,59 @@ def interleaved_pairs(spark: SparkSession, d: str) -> DataFrame:
     return tools.interleaved(tools.paired_by_name(table(spark, d, "read_set")))
 
 
+@query(
+    f"WITH c AS ({_SEQ_CLEAN}), n AS (SELECT 2 * (row_number() OVER (ORDER BY read_id, category, u) - 1) AS o, 'r' || read_id AS name, u AS seq FROM c) SELECT o AS ordinal, name, md5(seq) AS digest FROM n UNION ALL SELECT o + 1, 'm' || substr(name, 2), md5(reverse(seq)) FROM n"
+)
+def scan_separate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two gzip files, first and second mates, read and zipped by position."""
+    rows = _named(spark, d)
+    order = ["read_id", "category", "seq"]
+    sides = []
+    for name, seq in ((F.col("name"), F.col("seq")), (F.concat(F.lit("m"), F.expr("substring(name, 2)")), F.reverse("seq"))):
+        path = new_path(spark, "mates")
+        lines = sinks.fasta(rows.withColumn("key", F.struct(*order)), name, seq, "key")
+        sinks.write_lines(lines, path, ["key"], compression="gzip")
+        sides.append(seqreads.in_order(seqreads.scan(spark, _files(spark, path), "fasta")))
+    return seqreads.zipped(*sides).select("ordinal", "name", F.md5("seq").alias("digest"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT node_id FROM contigs WHERE node_id IS NOT NULL), r AS (SELECT 'n' || node_id AS name, 1 AS a, 500 AS b, true AS positive FROM c UNION ALL SELECT 'n' || node_id, 801, 2000, false FROM c),
+s AS (SELECT DISTINCT 'n' || abs(node_id) AS name, pos AS p FROM kmer_index WHERE node_id IS NOT NULL AND pos IS NOT NULL)
+SELECT s.name, p AS "at", CAST(a AS BIGINT) AS start, positive FROM s JOIN r ON s.name = r.name AND p BETWEEN a AND b"""
+)
+def region_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Region headers read, and indexed positions that lie in a region."""
+    ids = table(spark, d, "contigs").filter("node_id is not null").select("node_id").distinct()
+    heads = F.array(F.format_string("n%d:1-500", "node_id"), F.format_string("n%d:2000-801", "node_id"))
+    areas = seqreads.regions(ids.select("node_id", F.posexplode(heads).alias("i", "header")).select((F.col("node_id") * 2 + F.col("i")).alias("ref_id"), "header"))
+    spots = table(spark, d, "kmer_index").filter("node_id is not null and pos is not null").select(F.concat(F.lit("n"), F.abs("node_id").cast("string")).alias("name"), F.col("pos").alias("at")).distinct()
+    return seqreads.in_regions(spots, areas).select("name", "at", "start", "positive")
+
+
+_QUALITY = """q AS (SELECT read_id, any_value(mate_id) AS mate_id, min(seq) AS seq FROM read_set WHERE read_id IS NOT NULL AND seq IS NOT NULL AND seq <> '' GROUP BY 1),
+f AS (SELECT read_id, mate_id, length(seq) - length(regexp_replace(seq, '[Nn]', '', 'g')) AS n_bases, length(regexp_replace(seq, '[^A-Z]', '', 'g')) AS good, length(seq) AS l FROM q),
+p AS (SELECT *, coalesce(n_bases <= 2 AND CASE WHEN l > n_bases THEN good / (l - n_bases) END >= 0.9, false) AS ok FROM f)"""
+
+
+def _with_quality(spark: SparkSession, d: str) -> DataFrame:
+    """One row a read, with a good quality for capitals and a poor one for other letters."""
+    rows = table(spark, d, "read_set").filter("read_id is not null and seq is not null and seq <> ''").groupBy("read_id").agg(F.min("seq").alias("seq"))
+    return rows.withColumn("qual", F.regexp_replace(F.regexp_replace("seq", "[A-Z]", "I"), "[^I]", "#"))
+
+
+@query(f"WITH {_QUALITY} SELECT read_id, n_bases, round(CASE WHEN l > n_bases THEN good / (l - n_bases) END, 6) AS good_share FROM p")
+def quality_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Unknown bases and the share of good ones of each read."""
+    return tools.quality_share(_with_quality(spark, d)).select("read_id", F.col("n_bases").cast("bigint").alias("n_bases"), F.round("good_share", 6).alias("good_share"))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT read_id, mate_id FROM read_set WHERE read_id IS NOT NULL AND mate_id IS NOT NULL AND read_id < mate_id), """ + _QUALITY + """,
+r AS (SELECT b.read_id, b.mate_id, coalesce(x.ok, false) AS a, coalesce(y.ok, false) AS c FROM b LEFT JOIN p x ON x.read_id = b.read_id LEFT JOIN p y ON y.read_id = b.mate_id)
+SELECT read_id, mate_id, CASE WHEN a AND c THEN 'pair' WHEN a OR c THEN 'single' ELSE 'fail' END AS route FROM r"""
+)
+def filtered_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs routed by the quality of both mates: pair, single or fail."""
+    pairs_ = table(spark, d, "read_set").filter("read_id < mate_id").select("read_id", "mate_id").distinct()
+    return tools.routed_pairs(_with_quality(spark, d), pairs_, 2, 0.9).select("read_id", "mate_id", "route")

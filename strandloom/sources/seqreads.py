@@ -281,6 +281,12 @@ def sam_split(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.filter(F.size(p) >= 10).join(F.broadcast(files), "file_name").select("file", (F.col("n") - 1).alias("ordinal"), *columns)
 
 
+def in_order(records: DataFrame) -> DataFrame:
+    """Records of several files that follow each other, as of one: file 0 and ordinals from 0."""
+    rows = running_total(records, F.lit(1).cast("bigint"), ["file", "ordinal"], "__n")
+    return rows.withColumn("file", F.lit(0)).withColumn("ordinal", F.col("__n") - 1).drop("__n")
+
+
 def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs from two files by position: left and right records in turn. Unequal counts are an error."""
     key = ["file", "ordinal"]
