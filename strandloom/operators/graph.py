@@ -31,23 +31,24 @@ from .ordered import numbered
 def _double(rows: DataFrame, spark) -> tuple[DataFrame, DataFrame]:
     """Pointer doubling on (u, ptr, dist, low, done) until the rest can only be cycles: (settled, in cycles).
 
-    A round that settles nothing leaves cycles only; rounds then go on until each window has
-    covered its whole cycle, so that `low` is the cycle's smallest node."""
-    state, path = materialize(rows, "ptr")
-    left, reach = state.filter("not done").count(), 1
+    A round writes the rows that were open, and no settled one again. A round that settles nothing leaves cycles only;
+    rounds then go on until each window has covered its whole cycle, so that `low` is the cycle's smallest node."""
+    state, _ = materialize(rows, "ptr")
+    settled, open_ = state.filter("done"), state.filter("not done")
+    left, reach = open_.count(), 1
     while left:
         reach *= 2
-        to = state.select(F.col("u").alias("t"), F.col("ptr").alias("t_ptr"), F.col("dist").alias("t_dist"), F.col("low").alias("t_low"), F.col("done").alias("t_done"))
-        open_ = state.filter("not done").join(to, F.col("ptr") == F.col("t"))
-        moved = open_.select("u", F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.least("low", "t_low").alias("low"), F.col("t_done").alias("done"))
-        after, new = materialize(state.filter("done").unionByName(moved), "ptr")
-        discard(spark, path)
-        state, path = after, new
-        now = state.filter("not done").count()
+        to = settled.unionByName(open_).select(F.col("u").alias("t"), F.col("ptr").alias("t_ptr"), F.col("dist").alias("t_dist"), F.col("low").alias("t_low"), F.col("done").alias("t_done"))
+        moved = open_.join(to, F.col("ptr") == F.col("t")).select(
+            "u", F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.least("low", "t_low").alias("low"), F.col("t_done").alias("done")
+        )
+        after, _ = materialize(moved, "ptr")
+        settled, open_ = settled.unionByName(after.filter("done")), after.filter("not done")
+        now = open_.count()
         if now == left and reach >= left:
             break
         left = now
-    return state.filter("done"), state.filter("not done")
+    return settled, open_
 
 
 def chains(links: DataFrame) -> DataFrame:

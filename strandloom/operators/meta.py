@@ -17,6 +17,10 @@ def coverage_peaks(nodes: DataFrame, width: float = 1.0, noise_ratio: float = 10
     return found.select("place", (F.col("bin") * width).alias("coverage"), "length")
 
 
+#: Histograms for the mixture have at most so many bins.
+LAST_BIN = 10_000
+
+
 def poisson_mixture(bins: list[tuple[int, int]], classes: int, rounds: int = 200) -> list[tuple[float, float]]:
     """EM over a coverage histogram (bounded, on the driver): (mean, weight), peaks nearer than 4 or lighter than 0.01 merged."""
     x = np.array([b for b, _ in bins], float)
@@ -26,7 +30,8 @@ def poisson_mixture(bins: list[tuple[int, int]], classes: int, rounds: int = 200
     cum = np.cumsum(n) / n.sum()
     mean = np.array([max(x[np.searchsorted(cum, (i + 0.5) / classes)], 0.5) for i in range(classes)])
     weight = np.full(classes, 1 / classes)
-    logf = np.array([np.sum(np.log(np.arange(1, int(v) + 1))) for v in x])
+    sums = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(x.max()) + 1)))])
+    logf = sums[x.astype(int)]
     for _ in range(rounds):
         log = np.log(weight) + np.outer(x, np.log(mean)) - mean - logf[:, None]
         p = np.exp(log - log.max(1, keepdims=True))
@@ -67,6 +72,22 @@ def chimera(parts: DataFrame, primary: float, secondary: float, rate: float = 0.
     return sums.select("group_id", "length", a.alias("primary_share"), b.alias("secondary_share"), ((a > rate) & (b > rate)).alias("chimeric"), (a >= b).alias("is_primary"))
 
 
+def _linked(conns: DataFrame) -> DataFrame:
+    """src, dst, links: counted links of signed nodes, both strands of canonical connections."""
+    n = (F.coalesce("paired", F.lit(0)) + F.coalesce("direct", F.lit(0))).alias("links")
+    rows = conns.select("src", "dst", n)
+    return rows.unionByName(rows.select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"), "links")).groupBy("src", "dst").agg(F.max("links").alias("links"))
+
+
+def consistent(rows: DataFrame, conns: DataFrame, valid: int = 1, noise: int = 0) -> DataFrame:
+    """Adds `linked`: entry and exit of each path share at least `valid` links, those of different paths at most `noise`."""
+    links = _linked(conns)
+    for name, a, b in (("pp", "in_primary", "out_primary"), ("ss", "in_secondary", "out_secondary"), ("ps", "in_primary", "out_secondary"), ("sp", "in_secondary", "out_primary")):
+        rows = rows.join(links.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("links").alias(name)), [a, b], "left").fillna(0, [name])
+    ok = (F.col("pp") >= valid) & (F.col("ss") >= valid) & (F.col("ps") <= noise) & (F.col("sp") <= noise)
+    return rows.withColumn("linked", ok).drop("pp", "ss", "ps", "sp")
+
+
 def repeat_splits(nodes: DataFrame, arcs: DataFrame, levels: list[float], sd: float = 0.1, least: int = 0) -> DataFrame:
     """Statistics and decision for each node with two ways in and two out: node_id, densities, levels, split.
 
@@ -123,6 +144,16 @@ def peeled(nodes: DataFrame, levels: list[float]) -> DataFrame:
     return rows.select("node_id", "level", place.cast("int").alias("place"))
 
 
+def chimeric_nodes(nodes: DataFrame, arcs: DataFrame, primary: float, secondary: float, rate: float) -> DataFrame:
+    """node_id of the nodes in connected parts that hold more than `rate` of either level."""
+    from .traverse import parts
+
+    of, _ = materialize(parts(arcs, nodes), "parts")
+    rows = nodes.join(of, "node_id").withColumn("group_id", F.col("part"))
+    bad = chimera(rows, primary, secondary, rate).filter("chimeric").select(F.col("group_id").alias("part"))
+    return of.join(bad, "part", "left_semi").select("node_id")
+
+
 def level_parts(nodes: DataFrame, arcs: DataFrame, levels: list[float]) -> DataFrame:
     """level, place, part, nodes, length, cov: the connected parts of each level's own subgraph, from the highest level down.
 

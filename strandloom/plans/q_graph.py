@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import graph, hashing, longreads, meta, ordered, pairs, stats, tools, traverse
 from ..runtime import new_path, table
 from ..sources import seqreads, sinks
-from .common import SQL_ARCS, SQL_BOTH, SQL_NODES, SQL_PLACES, SQL_THREADS, arcs, contig_nodes, kmer_threads, long_nodes, nodes, places, reads
+from .common import SQL_ARCS, SQL_BOTH, SQL_NODES, SQL_PLACES, SQL_READS, SQL_THREADS, arcs, contig_nodes, kmer_threads, long_nodes, nodes, places, reads
+from .assemble import low_spans
 from .registry import query
 
 _ONE = f"""{SQL_NODES}, n1 AS (SELECT node_id, max(length) AS length, max(cov) AS cov FROM nd GROUP BY 1)"""
@@ -44,6 +45,20 @@ def chain_ranks(spark: SparkSession, d: str) -> DataFrame:
     return ranks.join(starts.select(F.col("u").alias("head")), "head", "left_semi").select("u", "head", "rank")
 
 
+@query(
+    f"""WITH RECURSIVE {SQL_ARCS}, {SQL_BOTH}, o AS (SELECT src FROM bo GROUP BY 1 HAVING count(*) = 1), i AS (SELECT dst FROM bo GROUP BY 1 HAVING count(*) = 1),
+l AS (SELECT bo.src AS u, bo.dst AS v FROM bo JOIN o USING (src) JOIN i USING (dst) WHERE bo.src <> bo.dst AND bo.src <> -bo.dst),
+c AS (SELECT u, u AS head, CAST(0 AS BIGINT) AS rank FROM l WHERE u NOT IN (SELECT v FROM l) UNION ALL SELECT l.v, c.head, c.rank + 1 FROM c JOIN l ON l.u = c.u),
+cy AS (SELECT u, v FROM l WHERE u NOT IN (SELECT u FROM c)), cl(u, x) AS (SELECT u, v FROM cy UNION SELECT cl.u, cy.v FROM cl JOIN cy ON cy.u = cl.x), lw AS (SELECT u, min(abs(x)) AS low FROM cl GROUP BY 1),
+hd AS (SELECT u AS head FROM lw WHERE u = low UNION SELECT cy.v FROM cy JOIN lw USING (u) WHERE cy.u = -low),
+ck AS (SELECT head AS u, head, CAST(0 AS BIGINT) AS rank FROM hd UNION ALL SELECT cy.v, ck.head, ck.rank + 1 FROM ck JOIN cy ON cy.u = ck.u WHERE cy.v NOT IN (SELECT head FROM hd))
+SELECT u, head, rank FROM c UNION ALL SELECT u, head, rank FROM ck"""
+)
+def chain_ranks_all(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of mergeable nodes and pure cycles, cut at their smallest node, ranked by pointer doubling."""
+    return graph.chains(graph.simple_links(arcs(spark, d))).select("u", "head", "rank")
+
+
 @query(
     f"""WITH {_ONE}, {SQL_ARCS}, {SQL_BOTH}, s AS (SELECT node_id AS n FROM n1 WHERE length < 42 UNION ALL SELECT -node_id FROM n1 WHERE length < 42)
 SELECT DISTINCT abs(n) AS node_id FROM s WHERE n NOT IN (SELECT src FROM bo)"""
@@ -394,7 +409,17 @@ def repeat_splits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("node_id", r("density"), r("in_hi"), r("in_lo"), r("out_hi"), r("out_lo"), "primary_level", "secondary_level", "split")
 
 
-@query()
+@query(
+    f"""WITH {_ONE}, {SQL_ARCS}, {SQL_BOTH}, i AS (SELECT node_id, length AS l, cov / length AS d FROM n1 WHERE length > 0),
+o AS (SELECT src AS n, count(DISTINCT dst) AS c, max(d) AS hi, min(d) AS lo, arg_min(dst, (d, dst)) AS second FROM bo JOIN i ON abs(dst) = node_id GROUP BY 1), e AS (SELECT dst AS n, count(DISTINCT src) AS c, max(d) AS hi, min(d) AS lo, arg_min(src, (d, src)) AS second FROM bo JOIN i ON abs(src) = node_id GROUP BY 1),
+j AS (SELECT o.n AS node_id, i.d AS density, e.hi AS in_hi, e.lo AS in_lo, o.hi AS out_hi, o.lo AS out_lo, e.second AS ent, o.second AS ext FROM o JOIN e USING (n) JOIN i ON i.node_id = o.n WHERE o.c = 2 AND e.c = 2 AND o.n > 0),
+q AS (SELECT *, abs(in_hi - 40) <= abs(in_hi - 12) AS a, abs(in_lo - 40) <= abs(in_lo - 12) AS b, abs(out_hi - 40) <= abs(out_hi - 12) AS c, abs(out_lo - 40) <= abs(out_lo - 12) AS f, (in_hi + in_lo + out_hi + out_lo) / 2 AS m FROM j),
+y AS (SELECT node_id, ent, ext, row_number() OVER (ORDER BY node_id) + (SELECT max(node_id) FROM n1) AS twin FROM q WHERE a = c AND b = f AND a <> b AND abs(density - m) <= 0.5 * m),
+mv AS (SELECT ent AS a, node_id AS b, ent AS s2, twin AS d2 FROM y UNION SELECT node_id, ext, twin, ext FROM y), tw AS (SELECT * FROM mv UNION SELECT -b, -a, -d2, -s2 FROM mv),
+rn AS (SELECT coalesce(s2, src) AS s, coalesce(d2, dst) AS t, mult FROM ar LEFT JOIN tw ON src = a AND dst = b),
+ca AS (SELECT s, t, mult, (abs(t) < abs(s) OR (abs(t) = abs(s) AND s < 0 AND t < 0)) AS f FROM rn)
+SELECT CASE WHEN f THEN -t ELSE s END AS src, CASE WHEN f THEN -s ELSE t END AS dst, CAST(sum(mult) AS BIGINT) AS mult FROM ca GROUP BY 1, 2"""
+)
 def repeats_split(spark: SparkSession, d: str) -> DataFrame:
     """Arcs after the accepted repeats became two nodes each."""
     one = _one(spark, d)
@@ -413,15 +438,19 @@ def chimera_tests(spark: SparkSession, d: str) -> DataFrame:
     return out.select("group_id", "length", F.round("primary_share", 6).alias("primary_share"), "chimeric")
 
 
-@query(f"WITH {SQL_ARCS} SELECT count(*) AS arcs, CAST(sum(mult) AS BIGINT) AS mult, count(DISTINCT src) AS sources FROM ar")
+@query(
+    f"""WITH {SQL_ARCS}, q AS (SELECT node_id, min(upper(regexp_replace(seq, '\\s', '', 'g'))) AS s FROM contigs WHERE seq IS NOT NULL AND node_id IS NOT NULL GROUP BY 1)
+SELECT 'node' AS kind, node_id AS a, CAST(length(s) - 30 AS BIGINT) AS b, CAST(1 AS BIGINT) AS n, md5(substr(s, 31)) AS digest, md5(substr(translate(reverse(s), 'ACGTN', 'TGCAA'), 31)) AS twin FROM q WHERE length(s) > 30 UNION ALL SELECT 'arc', src, dst, mult, NULL, NULL FROM ar"""
+)
 def graph_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Arcs written in the graph's text form and read back."""
-    a = arcs(spark, d)
-    seqs = reads(spark, d).filter("length(seq) >= 31").select(F.col("read_id").alias("node_id"), (F.length("seq") - 30).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("cov"), "seq")
+    """Nodes and arcs written in the graph's text form and read back."""
     path = new_path(spark, "graph")
-    sinks.write_lines(sinks.graph(seqs, a, 31), path, ["part", "a", "b"])
-    _, back = seqreads.graph_file(spark, path)
-    return back.agg(F.count(F.lit(1)).alias("arcs"), F.sum("mult").alias("mult"), F.countDistinct("src").alias("sources"))
+    sinks.write_lines(sinks.graph(contig_nodes(spark, d).filter("length > 0"), arcs(spark, d), 31), path, ["part", "a", "b"])
+    n, a = seqreads.graph_file(spark, path)
+    none = F.lit(None).cast("string")
+    return n.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("length").alias("b"), F.col("cov").alias("n"), F.md5("tail").alias("digest"), F.md5("twin_tail").alias("twin")).unionByName(
+        a.select(F.lit("arc").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("mult").alias("n"), none.alias("digest"), none.alias("twin"))
+    )
 
 
 @query(
@@ -435,7 +464,13 @@ def graph_parts(spark: SparkSession, d: str) -> DataFrame:
     return traverse.parts(arcs(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ONE}, {SQL_ARCS}, lv AS (SELECT node_id, length, cov, CASE WHEN abs(cov / length - 40) <= abs(cov / length - 12) THEN 40 ELSE 12 END AS level FROM n1 WHERE length > 0),
+le AS (SELECT x.level, abs(src) AS a, abs(dst) AS b FROM ar JOIN lv x ON x.node_id = abs(src) JOIN lv y ON y.node_id = abs(dst) WHERE x.level = y.level),
+e AS (SELECT a, b FROM le UNION SELECT b, a FROM le UNION SELECT node_id, node_id FROM lv),
+c(node_id, g) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, c.g FROM c JOIN e ON e.a = c.node_id WHERE e.b > c.g), p AS (SELECT node_id, min(g) AS part FROM c GROUP BY 1)
+SELECT CAST(level AS DOUBLE) AS level, CASE WHEN level = 40 THEN 1 ELSE 2 END AS place, part, count(*) AS nodes, CAST(sum(length) AS BIGINT) AS length, CAST(sum(cov) AS BIGINT) AS cov FROM lv JOIN p USING (node_id) GROUP BY 1, 2, 3"""
+)
 def level_parts(spark: SparkSession, d: str) -> DataFrame:
     """Connected parts of each coverage level, highest first."""
     return meta.level_parts(_one(spark, d), arcs(spark, d), [40.0, 12.0])
@@ -468,11 +503,19 @@ def projected_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return traverse.subgraph(_one(spark, d), arcs(spark, d), table(spark, d, "contigs").select("node_id"))[1]
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_ARCS}, {SQL_BOTH}, q AS (SELECT node_id, min(upper(regexp_replace(seq, '\\s', '', 'g'))) AS s FROM contigs WHERE seq IS NOT NULL AND node_id IS NOT NULL GROUP BY 1), sq AS (SELECT * FROM q WHERE length(s) > 30),
+o AS (SELECT src FROM bo GROUP BY 1 HAVING count(*) = 1), i AS (SELECT dst FROM bo GROUP BY 1 HAVING count(*) = 1),
+l AS (SELECT bo.src AS u, bo.dst AS v FROM bo JOIN o USING (src) JOIN i USING (dst) WHERE bo.src <> bo.dst AND bo.src <> -bo.dst AND abs(bo.src) IN (SELECT node_id FROM sq) AND abs(bo.dst) IN (SELECT node_id FROM sq)),
+c AS (SELECT u AS head, u, CAST(0 AS BIGINT) AS rank FROM l WHERE u NOT IN (SELECT v FROM l) UNION ALL SELECT c.head, l.v, c.rank + 1 FROM c JOIN l ON l.u = c.u),
+t AS (SELECT head, arg_max(u, rank) AS tail FROM c GROUP BY 1), k AS (SELECT c.* FROM c JOIN t USING (head) WHERE head <= -tail),
+z AS (SELECT head, rank, CASE WHEN u > 0 THEN s ELSE translate(reverse(s), 'ACGTN', 'TGCAA') END AS s FROM k JOIN sq ON node_id = abs(u)),
+m AS (SELECT abs(head) AS node_id, string_agg(CASE WHEN rank = 0 THEN s ELSE substr(s, 31) END, '' ORDER BY rank) AS s, count(*) AS cov FROM z GROUP BY head)
+SELECT node_id, CAST(length(s) - 30 AS BIGINT) AS length, CAST(cov AS BIGINT) AS cov, md5(s) AS digest FROM m UNION ALL SELECT node_id, length(s) - 30, 1, md5(s) FROM sq WHERE node_id NOT IN (SELECT abs(u) FROM k)"""
+)
 def bypassed_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Contigs merged along simple links of the pre-graph."""
-    seqs = table(spark, d, "contigs").filter("seq is not null and node_id is not null").groupBy("node_id").agg(F.min(F.upper(F.regexp_replace("seq", r"\s", ""))).alias("seq"))
-    rows = seqs.select("node_id", (F.length("seq") - 30).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("cov"), "seq").filter("length > 0")
+    rows = contig_nodes(spark, d).filter("length > 0")
     both = rows.select(F.explode(F.array(F.col("node_id"), -F.col("node_id"))).alias("n"))
     links = graph.simple_links(arcs(spark, d)).join(both.select(F.col("n").alias("u")), "u", "left_semi").join(both.select(F.col("n").alias("v")), "v", "left_semi")
     return traverse.bypass(rows, links, 31).select("node_id", "length", "cov", F.md5("seq").alias("digest"))
@@ -501,21 +544,33 @@ def roadmaps_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return made.exceptAll(back).unionByName(back.exceptAll(made))
 
 
-@query()
+#: A sequence in lines of 60, without a last line break.
+_LINES = "regexp_replace(regexp_replace({x}, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '')"
+
+
+@query(
+    f"""WITH {SQL_PLACES}, {SQL_READS}, {_PAIRS}, {_EST}, li AS (SELECT library, ins_len, greatest(CASE WHEN c > 0 THEN s // c ELSE sa // n END, 1) AS ins_var FROM v),
+sq AS (SELECT node_id, min(upper(regexp_replace(seq, '\\s', '', 'g'))) AS s FROM contigs WHERE seq IS NOT NULL AND node_id IS NOT NULL GROUP BY 1),
+te AS (SELECT abs(node) AS node_id, string_agg('{{TLE' || chr(10) || 'src:' || read_id || chr(10) || 'off:' || position || chr(10) || 'clr:0,100' || chr(10) || '}}', chr(10) ORDER BY position, read_id) AS t FROM pl GROUP BY 1),
+al AS (SELECT 0 AS part, '{{LIB' || chr(10) || 'iid:' || (library + 1) || chr(10) || '{{DST' || chr(10) || 'mea:' || CAST(ins_len AS BIGINT) || chr(10) || 'std:' || CAST(floor(sqrt(ins_var)) AS BIGINT) || chr(10) || '}}' || chr(10) || '}}' AS line FROM li
+UNION ALL SELECT 1, '{{FRG' || chr(10) || 'iid:' || read_id || chr(10) || 'lib:' || (library + 1) || chr(10) || 'typ:I' || chr(10) || 'rds:' || read_id || ',' || mate_id || chr(10) || '}}' FROM pr WHERE read_id < mate_id
+UNION ALL SELECT 2, '{{RED' || chr(10) || 'iid:' || read_id || chr(10) || 'eid:' || read_id || chr(10) || 'seq:' || chr(10) || {_LINES.format(x='s')} || chr(10) || '.' || chr(10) || 'qlt:' || chr(10) || {_LINES.format(x='s')} || chr(10) || '.' || chr(10) || '}}' FROM r
+UNION ALL SELECT 3, '{{CTG' || chr(10) || 'iid:' || node_id || chr(10) || 'eid:' || node_id || '-0' || chr(10) || 'seq:' || chr(10) || {_LINES.format(x='s')} || chr(10) || '.' || chr(10) || 'qlt:' || chr(10) || {_LINES.format(x='s')} || chr(10) || '.' || chr(10) || coalesce(t, '') || chr(10) || '}}' FROM sq LEFT JOIN te USING (node_id))
+SELECT part, md5(line) AS digest, count(*) AS n FROM al GROUP BY 1, 2"""
+)
 def amos_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Messages of the AMOS export by kind, and their letters."""
-    seqs = table(spark, d, "contigs").filter("seq is not null and node_id is not null").groupBy("node_id").agg(F.min(F.upper(F.regexp_replace("seq", r"\s", ""))).alias("seq"))
+    """The messages of the AMOS export."""
     p = places(spark, d)
     tiles = p.select(F.abs("node").alias("node_id"), "read_id", F.col("position").alias("off"), F.lit(0).alias("clear_start"), F.lit(100).alias("clear_stop"))
     libs = pairs.insert_estimates(_sizes(spark, d))
-    lines = sinks.amos(seqs, tiles, reads(spark, d), libs)
-    return lines.groupBy("part").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("line")).alias("letters"))
+    lines = sinks.amos(contig_nodes(spark, d).select("node_id", "seq"), tiles, reads(spark, d), libs, _pairs(spark, d))
+    return lines.groupBy("part", F.md5("line").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     f"""WITH {_MARKS}, ar AS (SELECT DISTINCT read_id AS ref_id, 'r' || read_id AS name, read_id % 2 = 0 AS positive FROM read_set WHERE read_id IS NOT NULL),
 al AS (SELECT abs(node) AS node_id, node > 0 AS fwd, start_off, finish - start + 30 AS span, length(s) - 30 AS l, name, positive, start FROM mk JOIN ar ON seq_id = ref_id JOIN cg ON cg.node_id = abs(node) WHERE length(s) > 30)
-SELECT node_id, CAST(CASE WHEN fwd THEN start_off + 1 ELSE l - start_off END AS BIGINT) AS node_start, CAST(CASE WHEN fwd THEN start_off + span ELSE l - start_off - span + 1 END AS BIGINT) AS node_stop, name AS reference,
+SELECT node_id, CAST(CASE WHEN fwd THEN start_off + 1 ELSE start_off + 31 END AS BIGINT) AS node_start, CAST(CASE WHEN fwd THEN start_off + span ELSE start_off + 31 - span + 1 END AS BIGINT) AS node_stop, name AS reference,
 CAST(CASE WHEN positive THEN 1 + start ELSE 10000 - start END AS BIGINT) AS ref_start, CAST(CASE WHEN positive THEN start + span ELSE 10000 - start - span + 1 END AS BIGINT) AS ref_stop FROM al"""
 )
 def contig_alignments(spark: SparkSession, d: str) -> DataFrame:
@@ -523,3 +578,32 @@ def contig_alignments(spark: SparkSession, d: str) -> DataFrame:
     heads = table(spark, d, "read_set").filter("read_id is not null").select(F.col("read_id").alias("ref_id"), F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name")).distinct()
     areas = heads.select("ref_id", "name", (F.col("ref_id") % 2 == 0).alias("positive"), F.lit(1).cast("bigint").alias("region_start"), F.lit(10000).cast("bigint").alias("region_finish"))
     return sinks.alignments(_markers(spark, d), areas, long_nodes(spark, d), 1, 31)
+
+
+@query()
+def branch_tours(spark: SparkSession, d: str) -> DataFrame:
+    """Walks from one branching node that meet again: the candidates of bubble removal, with nodes of the pre-graph."""
+    return graph.tours(_one(spark, d).filter("length > 0"), arcs(spark, d), 100).select("start", "stop", F.size("fast").alias("fast"), F.size("slow").alias("slow"))
+
+
+@query(
+    f"""WITH {SQL_THREADS}, sp AS (SELECT abs(node) AS node_id, min(off) AS a, max(off) + 31 AS b FROM kt WHERE category < 4 GROUP BY read_id, abs(node)),
+ev AS (SELECT node_id, a AS p, 1 AS step FROM sp UNION ALL SELECT node_id, b, -1 FROM sp UNION ALL SELECT node_id, 0, 0 FROM cg UNION ALL SELECT node_id, length(s), 0 FROM cg WHERE length(s) > 30),
+es AS (SELECT node_id, p, sum(step) AS step FROM ev GROUP BY 1, 2), dp AS (SELECT *, sum(step) OVER w AS depth, lead(p) OVER w AS nxt FROM es WINDOW w AS (PARTITION BY node_id ORDER BY p)),
+lw AS (SELECT *, depth < 2 AS low, lag(depth < 2) OVER (PARTITION BY node_id ORDER BY p) AS before FROM dp WHERE nxt IS NOT NULL), rn AS (SELECT *, sum(CASE WHEN low AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY p) AS run FROM lw)
+SELECT node_id, CAST(min(p) AS BIGINT) AS start, CAST(max(nxt) AS BIGINT) AS stop FROM rn WHERE low GROUP BY node_id, run"""
+)
+def low_coverage_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of nodes (long reads) with fewer than two short reads on them."""
+    return low_spans(kmer_threads(spark, d).filter("category < 4"), long_nodes(spark, d), 2, 31).select("node_id", "start", "stop")
+
+
+@query(
+    """WITH cq AS (SELECT node_id, min(upper(regexp_replace(seq, '\\s', '', 'g'))) AS s FROM contigs WHERE seq IS NOT NULL AND node_id IS NOT NULL GROUP BY 1), c AS (SELECT *, length(s) - 30 AS l FROM cq WHERE length(s) - 30 >= 62)
+SELECT node_id, printf('NODE_%d_length_%d_cov_%.6f', node_id, l, 1.0 / l) AS name, md5(substr(s, 1, 40) || lower(substr(s, 41, 10)) || translate(substr(s, 51, 5), 'ACGT', 'NNNN') || lower(substr(s, 56, 5)) || substr(s, 61)) AS digest FROM c"""
+)
+def contig_records(spark: SparkSession, d: str) -> DataFrame:
+    """Contig records with low coverage in lower case and gaps as N; the two spans are the same in every contig."""
+    nodes_ = contig_nodes(spark, d)
+    span = lambda a, b: nodes_.select("node_id", F.lit(a).cast("bigint").alias("start"), F.lit(b).cast("bigint").alias("stop"))
+    return sinks.contigs(nodes_, 62, 31, span(50, 55), span(40, 60)).select("node_id", "name", F.md5("seq").alias("digest"))

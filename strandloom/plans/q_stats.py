@@ -146,8 +146,9 @@ def smoothed_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mixture_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage levels by a Poisson mixture over the (bounded) histogram."""
-    bins = stats.histogram(nodes(spark, d).filter("length > 0 and cov < 500 * length"), 1.0, F.col("cov") / F.col("length")).orderBy("bin").collect()
+    """Coverage levels by a Poisson mixture over the histogram of all nodes; coverages from LAST_BIN on share one bin, so it is bounded."""
+    capped = F.least(F.col("cov") / F.col("length"), F.lit(float(meta.LAST_BIN)))
+    bins = stats.histogram(nodes(spark, d).filter("length > 0"), 1.0, capped).orderBy("bin").collect()
     rows = meta.poisson_mixture([(r["bin"], r["length"]) for r in bins], 6)
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "place int, coverage double, weight double")
 
@@ -249,13 +250,15 @@ def merged_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CONTIGS} SELECT name AS key, md5(substr(seq, 11, 50)) AS digest FROM cs"""
+    f"""WITH {_CONTIGS}, h AS (SELECT name, seq, length(seq) // 2 AS m FROM cs) SELECT name AS key, CAST(1 AS BIGINT) AS start, CAST(m AS BIGINT) AS stop, md5(substr(seq, 1, m)) AS digest FROM h UNION ALL SELECT name, m + 1, length(seq), md5(substr(seq, m + 1)) FROM h"""
 )
-def fetched_intervals(spark: SparkSession, d: str) -> DataFrame:
-    seqs = _contigs(spark, d).withColumnRenamed("name", "key")
-    spans = seqs.select("key", F.md5("seq").alias("tie"), F.lit(11).cast("bigint").alias("start"), F.lit(60).cast("bigint").alias("stop"))
-    rows = tools.fetched(spans.withColumn("k2", F.concat_ws(":", "key", "tie")), seqs.withColumn("k2", F.concat_ws(":", "key", F.md5("seq"))), "k2")
-    return rows.select("key", F.md5("bases").alias("digest"))
+def fetched_halves(spark: SparkSession, d: str) -> DataFrame:
+    """The bases under intervals: both halves of every contig."""
+    seqs = _contigs(spark, d).withColumnRenamed("name", "key").withColumn("k2", F.concat_ws(":", "key", F.md5("seq")))
+    half = F.floor(F.length("seq") / 2).cast("bigint")
+    ends = F.array(F.struct(F.lit(1).cast("bigint").alias("start"), half.alias("stop")), F.struct((half + 1).alias("start"), F.length("seq").cast("bigint").alias("stop")))
+    spans = seqs.select("key", "k2", F.explode(ends).alias("x")).select("key", "k2", "x.start", "x.stop")
+    return tools.fetched(spans, seqs, "k2").select("key", "start", "stop", F.md5("bases").alias("digest"))
 
 
 @query(
@@ -287,3 +290,19 @@ def dot_lines(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import graph
 
     return graph.dot(arcs(spark, d))
+
+
+@query(
+    f"""WITH {SQL_NODES}, n1 AS (SELECT node_id, max(length) AS length, max(cov) AS cov, max(long_cov) AS long_cov, max(short1_nb) AS nb, max(long_nb) AS long_nb FROM nd GROUP BY 1), {SQL_ARCS}, {SQL_BOTH},
+oc AS (SELECT src, sum(CASE WHEN src = -dst THEN 2 ELSE 1 END) AS c FROM bo GROUP BY 1)
+SELECT n1.node_id AS "ID", length AS lgth, CAST(coalesce(a.c, 0) AS BIGINT) AS "out", CAST(coalesce(b.c, 0) AS BIGINT) AS "in", CASE WHEN length = 0 THEN 'Inf' ELSE printf('%.6f', long_cov / length) END AS long_cov,
+CASE WHEN length = 0 THEN 'Inf' ELSE printf('%.6f', cov / length) END AS short1_cov, CASE WHEN length = 0 THEN 'Inf' ELSE printf('%.6f', cov / length) END AS "short1_Ocov", CAST(long_nb AS VARCHAR) AS long_nb, CAST(nb AS VARCHAR) AS short1_nb
+FROM n1 LEFT JOIN oc a ON a.src = n1.node_id LEFT JOIN oc b ON b.src = -n1.node_id"""
+)
+def stats_records(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics file's records, as text: Inf for coverages of nodes without length."""
+    rows = nodes(spark, d).groupBy("node_id").agg(
+        F.max("length").alias("length"), F.max("cov").alias("cov_0"), F.max("cov").alias("ocov_0"), F.max("long_cov").alias("long_cov"), F.max("short1_nb").alias("nb_0"), F.max("long_nb").alias("long_nb")
+    )
+    out = sinks.stats_table(rows, arcs(spark, d), [0], True)
+    return out.withColumn("out", F.col("out").cast("bigint")).withColumn("in", F.col("in").cast("bigint"))

@@ -162,12 +162,13 @@ def amos(nodes: DataFrame, tiles: DataFrame, reads: DataFrame, libraries: DataFr
 def alignments(markers: DataFrame, regions: DataFrame, nodes: DataFrame, least: int, k: int) -> DataFrame:
     """Contig to reference alignments: node_id, node_start, node_stop, reference, ref_start, ref_stop, in four strand cases.
 
-    markers(node signed, seq_id = ref_id, start, finish, start_off)."""
+    markers(node signed, seq_id = ref_id, start, finish, start_off), offsets counted on the node's own strand: against it, the
+    first k-mer's last base is where the alignment begins."""
     rows = markers.join(regions, F.col("seq_id") == F.col("ref_id")).join(nodes.filter(F.col("length") >= least).select("node_id", "length"), F.abs("node") == F.col("node_id"))
     span = F.col("finish") - F.col("start") + (k - 1)
     fwd = F.col("node") > 0
-    n0 = F.when(fwd, F.col("start_off") + 1).otherwise(F.col("length") - F.col("start_off"))
-    n1 = F.when(fwd, F.col("start_off") + span).otherwise(F.col("length") - F.col("start_off") - span + 1)
+    n0 = F.when(fwd, F.col("start_off") + 1).otherwise(F.col("start_off") + k)
+    n1 = F.when(fwd, F.col("start_off") + span).otherwise(F.col("start_off") + k - span + 1)
     r0 = F.when(F.col("positive"), F.col("region_start") + F.col("start")).otherwise(F.col("region_finish") - F.col("start"))
     r1 = F.when(F.col("positive"), F.col("region_start") + F.col("start") + span - 1).otherwise(F.col("region_finish") - F.col("start") - span + 1)
     return rows.select("node_id", n0.alias("node_start"), n1.alias("node_stop"), F.col("name").alias("reference"), r0.alias("ref_start"), r1.alias("ref_stop"))

@@ -10,8 +10,6 @@ import pytest
 import __spark_entry__ as entry
 from strandloom.plans import queries as core
 
-HEAVY = {"unitigs", "scaffold_lengths", "anchored_reference_hits"}
-
 
 @pytest.fixture(scope="module")
 def duck(small):
@@ -42,7 +40,7 @@ def test_core_query_equals_sql(spark, duck, small, name):
     assert got == sorted((tuple(value(r[i]) for i in at) for r in res.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE)))
 def test_other_core_queries_run(spark, small, name):
     core.QUERIES[name](spark, small).collect()
 
