@@ -42,6 +42,58 @@ def test_pieces_cover_overlap_and_prefer_gaps(spark):
     assert got[4].pieces[0].stop == 4 and len(got[5].pieces) == 1
 
 
+def best_cost(length, at, cost, most, overlap, grid):
+    """Least cost over all choices of cuts, by trying every predecessor."""
+    price = {p: splitting.PLAIN for p in range(grid, length, grid)}
+    for p, c in zip(at, cost):
+        price[p] = min(c, price.get(p, math.inf))
+    price[length] = 0.0
+    step = most - overlap
+    ideal = (length - overlap) / -(-(length - overlap) // step) + overlap
+    best = {}
+    for p in sorted(x for x in price if overlap < x <= length):
+        ways = [((p - ideal) / ideal) ** 2] if p <= most else []
+        ways += [best[o] + ((p - o + overlap - ideal) / ideal) ** 2 for o in best if o < p and p - o <= step]
+        if ways:
+            best[p] = min(ways) + price[p] + splitting.PIECE_COST
+    return best[length], price, ideal
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90), st.sampled_from([0, 0, 2, 12])), min_size=1, max_size=14))
+def test_cuts_cost_the_least(parts):
+    body = "".join("A" * n + "N" * gap for n, gap in parts) + "ACGT"
+    at, cost = splitting.boundaries(body, 10)
+    ends = splitting.cuts(len(body), at, cost, 120, 20, 10)
+    if len(body) <= 120:
+        assert ends == [len(body)]
+        return
+    want, price, ideal = best_cost(len(body), at.tolist(), cost.tolist(), 120, 20, 10)
+    starts = [0, *(e - 20 for e in ends[:-1])]
+    got = sum(price[e] + splitting.PIECE_COST + ((e - s - ideal) / ideal) ** 2 for s, e in zip(starts, ends))
+    assert got == pytest.approx(want)
+
+
+def test_pieces_of_the_whole_table(spark, small):
+    whole = {}
+    for r in spark.read.parquet(f"{small}/contigs.parquet").filter("seq is not null").collect():
+        whole.setdefault(r.node_id, set()).add(re.sub(r"\s", "", r.seq))
+    rows = {}
+    for x in queries.p2_pieces(spark, small).collect():
+        rows.setdefault(x.node_id, []).append(x)
+    assert set(rows) == set(whole)
+    for i, texts in whole.items():
+        if len(texts) == 1:
+            text, parts = texts.pop(), sorted(rows[i], key=lambda x: x.piece)
+            assert [x.piece for x in parts] == list(range(len(parts))) and parts[-1].stop == len(text)
+            assert all(x.seq == text[x.start : x.stop] and len(x.seq) <= 5000 for x in parts)
+            assert all(b.start == a.stop - 100 for a, b in zip(parts, parts[1:])) and parts[0].start == 0
+            # a cut inside plain sequence has no gap in reach: none that leaves the piece before it possible
+            for x in parts:
+                if x.cut == "gap":
+                    assert text[x.stop - 1 : x.stop] in "Nn" or text[x.stop : x.stop + 1] in "Nn"
+
+
 # --- shared spans -----------------------------------------------------------------
 
 
@@ -236,6 +288,27 @@ def test_items_beyond_a_block_are_all_searched(spark, monkeypatch):
     assert got == want and {(d, i) for d, i, *_ in got} >= {(50, i) for i in range(40)} | {(0, 99), (50, 99)}
 
 
+def test_matches_of_the_whole_table_equal_brute_force(spark, small):
+    """Longest common runs of words of every document and item, by the words' positions."""
+    docs = {r.doc_id: leakage.words_of(r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text}
+    items = {r.item_id: leakage.words_of(r.text) for r in spark.read.parquet(f"{small}/eval_items.parquet").collect() if r.text}
+    where = {}
+    for i, w in items.items():
+        for j in range(len(w) - 11):
+            where.setdefault(tuple(w[j : j + 12]), []).append((i, j))
+    want = {}
+    for d, w in docs.items():
+        for p in range(len(w) - 11):
+            for i, j in where.get(tuple(w[p : p + 12]), ()):
+                n = 12
+                while p + n < len(w) and j + n < len(items[i]) and w[p + n] == items[i][j + n]:
+                    n += 1
+                best = want.get((d, i), (0, 0, 0))
+                want[d, i] = max(best, (n, -p, -j))
+    got = {(x.doc_id, x.item_id): (x.words, -x.doc_word, -x.item_word) for x in queries.p9_matches(spark, small).collect()}
+    assert got == want and want
+
+
 # --- personal information -----------------------------------------------------------
 
 
