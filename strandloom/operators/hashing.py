@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.packed import packed_kmers
+from ..runtime import materialize
+from .skew import join_counted
 
 
 def kmer_rows(reads: DataFrame, k: int, strand_specific: bool = False, packed: bool = False) -> DataFrame:
@@ -37,20 +39,21 @@ def kmer_rows(reads: DataFrame, k: int, strand_specific: bool = False, packed: b
     return rows.select("read_id", F.col("x.pos").alias("pos"), key.alias("kmer"), fwd.alias("fwd"))
 
 
-def first_occurrences(kmers: DataFrame) -> DataFrame:
-    """kmer, owner (read), owner_pos, owner_fwd, coord: the number of the owner's new k-mers before it."""
-    first = kmers.groupBy("kmer").agg(F.min(F.struct("read_id", "pos", "fwd")).alias("f"))
-    rows = first.select("kmer", F.col("f.read_id").alias("owner"), F.col("f.pos").alias("owner_pos"), F.col("f.fwd").alias("owner_fwd"))
+def first_occurrences(kmers: DataFrame, counted: bool = False) -> DataFrame:
+    """kmer, owner (read), owner_pos, owner_fwd, coord: the number of the owner's new k-mers before it; n occurrences if asked for."""
+    first = kmers.groupBy("kmer").agg(F.min(F.struct("read_id", "pos", "fwd")).alias("f"), *([F.count(F.lit(1)).alias("n")] if counted else []))
+    rows = first.select("kmer", F.col("f.read_id").alias("owner"), F.col("f.pos").alias("owner_pos"), F.col("f.fwd").alias("owner_fwd"), *(["n"] if counted else []))
     w = W.partitionBy("owner").orderBy("owner_pos")
     return rows.withColumn("coord", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def hits(kmers: DataFrame) -> DataFrame:
+def hits(kmers: DataFrame, hot: int | None = None) -> DataFrame:
     """Each k-mer of each read with its owner: read_id, pos, novel, target (signed by strand), coord, written.
 
-    `written` is the number of the read's new k-mers so far."""
-    first = first_occurrences(kmers)
-    joined = kmers.join(first, "kmer")
+    `written` is the number of the read's new k-mers so far. K-mers with many occurrences are spread over tasks."""
+    first, _ = materialize(first_occurrences(kmers, counted=True), "first")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = join_counted(kmers, first, "kmer", "n", total, ("read_id", "pos"), hot)
     novel = (F.col("owner") == F.col("read_id")) & (F.col("owner_pos") == F.col("pos"))
     w = W.partitionBy("read_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     sign = F.when(F.col("fwd") == F.col("owner_fwd"), 1).otherwise(-1)

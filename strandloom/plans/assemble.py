@@ -208,6 +208,7 @@ def scaffolded(reads: DataFrame, state: State, expected: float, settings: Assemb
     if dubious is not None:
         mates = pairs.detach(mates, dubious)
     mates, _ = materialize(mates, "mates")
+    short = reads.filter(~F.col("category").isin(*LONG)).select("read_id")
     libraries = inserts(reads, state, mates, settings)
     late = sorted(settings.short_mate_paired)
     rounds = [~F.col("library").isin(*late) if late else F.lit(True), *[F.col("library") == n for n in late]]
@@ -217,7 +218,9 @@ def scaffolded(reads: DataFrame, state: State, expected: float, settings: Assemb
             if among is not None:
                 unique = unique.join(among, "node_id", "left_semi")
             own = mates.filter(chosen)
-            conns, _ = materialize(accepted_links(state, state.places, own, libraries.filter(chosen), unique, settings), "accepted")
+            # a long read lies on many nodes and links them by its markers; pairs of its nodes would be many
+            near = state.places.join(short, "read_id", "left_semi")
+            conns, _ = materialize(accepted_links(state, near, own, libraries.filter(chosen), unique, settings), "accepted")
             made = pairs.scaffolds(state.nodes, conns, unique, settings.k, arcs=state.arcs, jump=settings.scaffolding)
             if made is None:
                 break

@@ -192,3 +192,50 @@ def test_whole_run_gives_the_genome_back(spark):
 @pytest.mark.parametrize(("a", "b", "n"), [("", "A", 0), ("ACGT", "ACGT", 4), ("ACGT", "AGT", 3), ("AAAA", "TTTT", 0), ("ACGTACGT", "TACGTACG", 7)])
 def test_lcs(a, b, n):
     assert lcs_length(a, b) == n
+
+
+def walked(lengths, arcs, start, most):
+    """All walks from `start` without repeated nodes: node reached -> [(time, nodes between)]."""
+    steps = {}
+    for a, b, m in arcs:
+        for x, y in {(a, b), (-b, -a)}:
+            steps.setdefault(x, []).append((y, lengths[abs(x)] / m))
+    out, todo = {}, [(y, (), 0, c) for y, c in steps.get(start, ()) if abs(y) != abs(start)]
+    while todo:
+        at, path, inner, time = todo.pop()
+        out.setdefault(at, []).append((time, path))
+        inner += lengths[abs(at)]
+        if inner <= most:
+            todo += [(y, (*path, at), inner, time + c) for y, c in steps.get(at, ()) if abs(y) not in {abs(start), *map(abs, path), abs(at)}]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tours_are_walks_that_meet(spark, seed):
+    r = random.Random(seed)
+    lengths = {i: r.randint(1, 30) for i in range(1, 13)}
+    arcs = list({(a, b): (a, b, r.randint(1, 9)) for a, b in ((r.choice([-1, 1]) * r.randint(1, 12), r.choice([-1, 1]) * r.randint(1, 12)) for _ in range(16))}.values())
+    nodes = spark.createDataFrame([(i, n, 1, "") for i, n in lengths.items()], "node_id bigint, length bigint, cov bigint, seq string")
+    table = stats.canonical_arcs(spark.createDataFrame(arcs, "src bigint, dst bigint, mult bigint"))
+    known = [tuple(x) for x in table.collect()]
+    found = graph.tours(nodes, table, 60).collect()
+    for x in found:
+        walks = {path: time for time, path in walked(lengths, known, x.start, 60)[x.stop]}
+        assert tuple(x.fast) in walks and tuple(x.slow) in walks
+        # faster on the strand on which the pair was met
+        back = {tuple(-n for n in reversed(path)): time for time, path in walked(lengths, known, -x.stop, 60)[-x.start]}
+        assert any(w.get(tuple(x.fast), 1e9) <= w.get(tuple(x.slow), 0) + 1e-9 for w in (walks, back))
+        assert not {abs(n) for n in x.fast} & {abs(n) for n in x.slow}
+    # two single nodes between one start and one stop are always told of
+    both = {(x, y) for a, b, _ in known for x, y in ((a, b), (-b, -a))}
+    told = {(x.start, x.stop, frozenset(map(abs, (*x.fast, *x.slow)))) for x in found} | {(-x.stop, -x.start, frozenset(map(abs, (*x.fast, *x.slow)))) for x in found}
+    for s in {x for x, _ in both}:
+        arms = {}
+        for m in {y for x, y in both if x == s and abs(y) != abs(s)}:
+            for e in {y for x, y in both if x == m and abs(y) not in (abs(m), abs(s))}:
+                if lengths[abs(m)] <= 60:
+                    arms.setdefault(e, set()).add(m)
+        for e, ms in arms.items():
+            ms = {m for m in ms if abs(m) != abs(e)}
+            if len({abs(m) for m in ms}) == 2 and len(ms) == 2 and (s, e) not in both and not any(len(p) > 1 for _, p in walked(lengths, known, s, 60)[e]):
+                assert (s, e, frozenset(map(abs, ms))) in told

@@ -1,6 +1,7 @@
 import random
 
 from strandloom.functions import dna
+from tests.test_graph import bases
 from strandloom.operators import hashing
 from pyspark.sql import functions as F
 
@@ -96,3 +97,11 @@ def test_packed_kmers_equal_the_texts(spark):
             b = hashing.kmer_rows(df, k, stranded, packed=True)
             key = lambda x: sorted((y.read_id, y.pos, y.kmer, y.fwd) for y in x.select("read_id", "pos", "kmer", "fwd").collect())
             assert key(a) == key(b)
+
+
+def test_hot_kmers_are_spread(spark):
+    rows = [(i, 0, "A" * 40 + bases(30, i)) for i in range(1, 30)]
+    reads = spark.createDataFrame(rows, "read_id bigint, category int, seq string")
+    kmers = hashing.kmer_rows(reads, 15, packed=True)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(hashing.hits(kmers, hot=20)) == key(hashing.hits(kmers))
