@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -44,3 +44,10 @@ def erf_values(x: np.ndarray) -> np.ndarray:
 @F.pandas_udf(DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return pd.Series(erf_values(x.to_numpy(np.float64, na_value=np.nan))).where(x.notna().to_numpy())
+
+
+@F.pandas_udf(StringType())
+def six_places(x: pd.Series) -> pd.Series:
+    """A number as C's %f writes it: six places, by the exact binary value, ties to even. The engine's own formatter rounds the
+    shortest decimal form, half up."""
+    return x.map("{:.6f}".format, na_action="ignore")

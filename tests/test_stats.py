@@ -89,3 +89,17 @@ def test_score_refuses_other_functions(spark):
     assert tools.score(df, "n50 * 2 + Lbp").first().score == 17.0
     with pytest.raises(ValueError):
         tools.score(df, "java_method('a','b')")
+
+
+def test_numbers_as_text_round_by_their_exact_value(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.functions.kernels import erf, six_places
+
+    rows = [(74.7578125,), (1 / 640,), (0.0,), (1e9 + 0.5,), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "x double").select(six_places("x")).collect()] == ["%f" % x if x is not None else None for (x,) in rows]
+    import math
+
+    xs = [0.0, 1e-9, -0.3, 0.7, 2.5, -5.9, 8.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double").select(erf(F.col("x"))).collect()]
+    assert got[-1] is None and all(abs(a - math.erf(x)) < 1e-14 for a, x in zip(got, xs))
