@@ -600,7 +600,7 @@ def low_coverage_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH cq AS (SELECT node_id, min(upper(regexp_replace(seq, '\\s', '', 'g'))) AS s FROM contigs WHERE seq IS NOT NULL AND node_id IS NOT NULL GROUP BY 1), c AS (SELECT *, length(s) - 30 AS l FROM cq WHERE length(s) - 30 >= 62)
-SELECT node_id, printf('NODE_%d_length_%d_cov_%.6f', node_id, l, 1.0 / l) AS name, md5(substr(s, 1, 40) || lower(substr(s, 41, 10)) || translate(substr(s, 51, 5), 'ACGT', 'NNNN') || lower(substr(s, 56, 5)) || substr(s, 61)) AS digest FROM c"""
+SELECT node_id, printf('NODE_%d_length_%d_cov_%.6f', node_id, l, 1.0 / l) AS name, md5(substr(s, 1, 40) || lower(substr(s, 41, 10)) || 'NNNNN' || lower(substr(s, 56, 5)) || substr(s, 61)) AS digest FROM c"""
 )
 def contig_records(spark: SparkSession, d: str) -> DataFrame:
     """Contig records with low coverage in lower case and gaps as N; the two spans are the same in every contig."""

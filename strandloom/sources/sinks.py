@@ -84,14 +84,14 @@ def contigs(nodes: DataFrame, least: int, k: int, gaps: DataFrame | None = None,
 
     gaps and low have node_id, start, stop (in bases, stop exclusive)."""
     rows = nodes.filter(F.col("length") >= least).withColumn("seq", F.upper("seq"))
-    for spans, change in ((low, F.lower), (gaps, lambda t: F.translate(t, "ACGTacgt", "NNNNNNNN"))):
+    for spans, change in ((low, F.lower), (gaps, lambda t: F.regexp_replace(t, ".", "N"))):
         if spans is None:
             continue
         s = spans.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
         rows = rows.join(s, "node_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
         clipped = F.transform("spans", lambda x: F.struct(F.greatest(x["start"], F.lit(k)).cast("int").alias("start"), F.least(x["stop"], F.length("seq")).cast("int").alias("stop")))
         rows = rows.withColumn("spans", clipped).withColumn("seq", F.aggregate("spans", F.col("seq"), _painter(change))).drop("spans")
-    name = F.format_string("NODE_%d_length_%d_cov_%s", F.col("node_id"), F.col("length"), six_places(F.col("cov") / F.col("length")))
+    name = F.format_string("NODE_%d_length_%d_cov_%s", F.col("node_id"), F.col("length"), six_places(F.col("cov") / F.when(F.col("length") > 0, F.col("length"))))
     return rows.select("node_id", name.alias("name"), "seq")
 
 
@@ -104,7 +104,7 @@ def stats_table(nodes: DataFrame, arcs: DataFrame, libraries: list[int], tracked
     c = arc_counts(arcs).select(F.col("node_id").alias("n"), F.col("arc_count").alias("c"))
     outs = nodes.join(c, F.col("node_id") == F.col("n"), "left").withColumn("out", F.coalesce("c", F.lit(0))).drop("n", "c")
     both = outs.join(c, -F.col("node_id") == F.col("n"), "left").withColumn("in", F.coalesce("c", F.lit(0))).drop("n", "c")
-    d = lambda x: F.when(F.col("length") == 0, "Inf").otherwise(six_places(F.col(x) / F.col("length")))
+    d = lambda x: F.when(F.col("length") == 0, "Inf").otherwise(six_places(F.col(x) / F.when(F.col("length") > 0, F.col("length"))))
     nb = lambda x: F.col(x).cast("string") if tracked else F.lit("N/A")
     cols = [F.col("node_id").alias("ID"), F.col("length").alias("lgth"), "out", "in", d("long_cov").alias("long_cov")]
     for i in libraries:
