@@ -70,18 +70,18 @@ def inputs(spark: SparkSession, got: argparse.Namespace) -> DataFrame:
             else:
                 rows = seqreads.scan(spark, files, got.layout)
             ids = seqreads.read_ids(rows, category, first)
-            first += ids.count()
+            n = ids.count()
+            # mates are neighbours; the last of an odd number has none and is a single read
+            at = F.col("read_id") - first
+            mate = F.when((at % 2 == 0) & (at < n - 1), F.col("read_id") + 1).when(at % 2 == 1, F.col("read_id") - 1)
+            ids = ids.withColumn("mate_id", mate if category % 2 == 1 else F.lit(None).cast("bigint")).withColumn("second_in_pair", (at % 2 == 1) if category % 2 == 1 else F.lit(False))
+            alone = F.col("is_paired") & F.col("mate_id").isNull()
+            ids = ids.withColumn("category", F.when(alone, F.col("category") - 1).otherwise(F.col("category")).cast("tinyint")).withColumn("is_paired", F.col("mate_id").isNotNull())
+            first += n
             out = ids if out is None else out.unionByName(ids)
     if out is None:
         raise ValueError("no input is given")
-    other = F.col("read_id") - (F.col("read_id") - F.min("read_id").over(_library())) % 2 * 2 + 1
-    return out.withColumn("mate_id", F.when(F.col("is_paired"), other)).withColumn("second_in_pair", F.col("is_paired") & (F.col("mate_id") < F.col("read_id")))
-
-
-def _library():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("category")
+    return out
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> str:

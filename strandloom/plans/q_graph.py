@@ -11,6 +11,7 @@ from ..runtime import new_path, table
 from ..sources import seqreads, sinks
 from .common import SQL_ARCS, SQL_BOTH, SQL_NODES, SQL_PLACES, SQL_READS, SQL_THREADS, arcs, contig_nodes, kmer_threads, long_nodes, nodes, places, reads
 from .assemble import low_spans
+from .q_kmers import _ROAD
 from .registry import query
 
 _ONE = f"""{SQL_NODES}, n1 AS (SELECT node_id, max(length) AS length, max(cov) AS cov FROM nd GROUP BY 1)"""
@@ -388,7 +389,10 @@ def scaffold_lengths(spark: SparkSession, d: str) -> DataFrame:
     return out.join(g, "node_id", "left").select(F.col("node_id").alias("scaffold"), "length", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("gap_bases", F.lit(0)).alias("gap_bases"))
 
 
-@query()
+@query(
+    f"""WITH {_MARKS}, st AS (SELECT node AS u, lead(node) OVER (PARTITION BY seq_id ORDER BY ord) AS v FROM mk), bt AS (SELECT u, v FROM st WHERE v IS NOT NULL AND v <> u UNION ALL SELECT -v, -u FROM st WHERE v IS NOT NULL AND v <> u),
+vt AS (SELECT u, v, count(*) AS votes FROM bt GROUP BY 1, 2), ct AS (SELECT *, count(*) OVER (PARTITION BY u) AS o, count(*) OVER (PARTITION BY v) AS i FROM vt) SELECT u, v, votes, 0 AS between FROM ct WHERE o = 1 AND i = 1 AND u <> -v"""
+)
 def unique_links(spark: SparkSession, d: str) -> DataFrame:
     """Links between nodes, all taken as unique, that long reads vote for on both sides, and the nodes between."""
     every = long_nodes(spark, d).select("node_id")
@@ -533,15 +537,25 @@ def pregraph_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return seqreads.pregraph_file(spark, path).select("node_id", "length", F.md5("seq").alias("digest"))
 
 
-@query()
+@query(
+    f"WITH {_ROAD} SELECT read_id, CAST(ord AS BIGINT) AS ord, any_value(target) AS target, CAST(min(written) AS BIGINT) AS position, arg_min(coord, pos) AS start, arg_max(coord, pos) + any_value(CASE WHEN target > 0 THEN 1 ELSE -1 END) AS finish FROM ho WHERE NOT novel GROUP BY read_id, ord"
+)
 def roadmaps_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Roadmaps written in their text form and read back: rows that differ (none)."""
+    """Roadmaps written in their text form and read back."""
     rows = reads(spark, d)
-    made = hashing.roadmaps(hashing.kmer_rows(rows, 21, packed=True)).select("read_id", F.col("ord").cast("bigint").alias("ord"), "target", "position", "start", F.col("finish").cast("bigint").alias("finish"))
+    made = hashing.roadmaps(hashing.kmer_rows(rows, 21, packed=True))
     path = new_path(spark, "roadmaps")
     sinks.write_lines(sinks.roadmaps(made, rows.select("read_id").distinct()), path, ["read_id", "ord"])
-    back = seqreads.roadmaps_file(spark, path).withColumn("ord", F.col("ord").cast("bigint"))
-    return made.exceptAll(back).unionByName(back.exceptAll(made))
+    return seqreads.roadmaps_file(spark, path).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query(
+    f"""WITH {_STARTS} SELECT read_id, node, CAST(CASE WHEN n > 1 THEN -1 WHEN node > 0 THEN o ELSE length(s) - 31 - o END AS BIGINT) AS position, CAST(p AS BIGINT) AS "offset" FROM ks JOIN cg ON cg.node_id = abs(node)"""
+)
+def connected_graph_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Read starts on a graph that was built elsewhere: nodes and arcs as given."""
+    every = reads(spark, d).select("read_id", "category", "seq")
+    return seqreads.connected_graph(long_nodes(spark, d), arcs(spark, d), every, 31)[2].select("read_id", "node", "position", "offset")
 
 
 #: A sequence in lines of 60, without a last line break.

@@ -270,11 +270,35 @@ def reference_hits(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("n", n).groupBy("ref").agg(F.count(F.lit(1)).alias("hits"), F.count(F.when(F.col("n") == 1, 1)).alias("single_hits"))
 
 
-@query()
+@query(
+    f"""WITH {_REF}, u AS (SELECT *, count(*) OVER (PARTITION BY read_id, pos) AS n FROM hi), mp AS (SELECT read_id, ref, arg_min(CASE WHEN ref > 0 THEN coord - pos ELSE coord + pos END, (pos, coord)) AS at0 FROM hi GROUP BY 1, 2),
+sv AS (SELECT DISTINCT read_id, pos, ref, coord FROM u JOIN mp USING (read_id, ref) WHERE n > 1 AND coord = at0 + CASE WHEN ref > 0 THEN pos ELSE -pos END), s1 AS (SELECT *, count(*) OVER (PARTITION BY read_id, pos) AS m FROM sv)
+SELECT read_id, CAST(pos AS BIGINT) AS pos, ref, CAST(coord AS BIGINT) AS coord FROM u WHERE n = 1 UNION ALL SELECT read_id, pos, ref, coord FROM s1 WHERE m = 1"""
+)
+def resolved_reference_hits(spark: SparkSession, d: str) -> DataFrame:
+    """One hit a k-mer: the only one, or the only one at the place to which the read's first hit on that reference maps it."""
+    found = _reference_hits(spark, d)
+    at = F.when(F.col("ref") > 0, F.col("coord") - F.col("pos")).otherwise(F.col("coord") + F.col("pos"))
+    maps = found.groupBy("read_id", "ref").agg(F.min_by(at, F.struct("pos", "coord")).alias("at"))
+    return hashing.resolved_hits(found, maps).withColumn("pos", F.col("pos").cast("bigint")).select("read_id", "pos", "ref", "coord")
+
+
+def _reference_hits(spark: SparkSession, d: str) -> DataFrame:
+    return hashing.reference_hits(hashing.kmer_rows(reads(spark, d).filter("category < 4"), 31), hashing.reference_index(_references(spark, d), 31))
+
+
+@query(
+    f"""WITH RECURSIVE {_REF}, u AS (SELECT *, count(*) OVER (PARTITION BY read_id, pos) AS n FROM hi), g AS (SELECT read_id, pos, ref, coord, row_number() OVER (PARTITION BY read_id ORDER BY pos) AS i FROM u WHERE n = 1),
+sm AS (SELECT read_id, i, ref, coord, true AS keep, true AS has, pos AS lp, ref AS lr, coord AS lc, CAST(-1 AS BIGINT) AS blocked FROM g WHERE i = 1
+UNION ALL SELECT read_id, i, ref, coord, keep, CASE WHEN stopped THEN has ELSE keep END, CASE WHEN keep THEN pos ELSE lp END, CASE WHEN keep THEN ref ELSE lr END, CASE WHEN keep THEN coord ELSE lc END, CASE WHEN broken AND NOT stopped THEN lp + 31 ELSE blocked END FROM (
+  SELECT *, NOT stopped AND NOT (broken AND pos < lp + 31) AS keep FROM (
+    SELECT g.read_id, g.i, g.pos, g.ref, g.coord, sm.has, sm.lp, sm.lr, sm.lc, sm.blocked, g.pos < sm.blocked AS stopped,
+      sm.has AND (g.ref <> sm.lr OR g.coord - sm.lc <> (CASE WHEN sm.lr > 0 THEN 1 ELSE -1 END) * (g.pos - sm.lp) OR g.pos <> sm.lp + 1) AS broken FROM sm JOIN g ON g.read_id = sm.read_id AND g.i = sm.i + 1) a) b)
+SELECT ref, count(*) AS hits, min(coord) AS first_coord, max(coord) AS last_coord FROM sm WHERE keep GROUP BY 1"""
+)
 def anchored_reference_hits(spark: SparkSession, d: str) -> DataFrame:
     """Unambiguous hits kept by the anchored scan of each read."""
-    found = hashing.resolved_hits(hashing.reference_hits(hashing.kmer_rows(reads(spark, d).filter("category < 4"), 31), hashing.reference_index(_references(spark, d), 31)))
-    kept = hashing.anchored_hits(found, 31)
+    kept = hashing.anchored_hits(hashing.resolved_hits(_reference_hits(spark, d)), 31)
     return kept.groupBy("ref").agg(F.count(F.lit(1)).alias("hits"), F.min("coord").alias("first_coord"), F.max("coord").alias("last_coord"))
 
 

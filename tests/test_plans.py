@@ -1,6 +1,6 @@
 """Parameter search and metagenome plans on small simulated data."""
 
-from strandloom.operators import longreads, meta, traverse
+from strandloom.operators import longreads, meta, tools, traverse
 from strandloom.plans import optimise
 from strandloom.settings import AssemblySettings
 
@@ -73,3 +73,35 @@ def test_mixture_finds_two_levels():
     got = meta.poisson_mixture(bins, 2)
     assert [round(m) for m, _ in got] == [50, 20] and abs(got[0][1] - 0.4) < 0.02
     assert meta.poisson_mixture([], 2) == []
+
+
+def test_lengths_and_breaks_along_markers(spark):
+    # 1 always goes on to 2 and that to 3; 5 goes on to 6 or to 7
+    walks = {1: [1, 2, 3], 2: [-3, -2, -1], 3: [5, 6], 4: [5, 7]}
+    marks = spark.createDataFrame([(s, o, n) for s, w in walks.items() for o, n in enumerate(w)], "seq_id bigint, ord int, node bigint")
+    nodes = spark.createDataFrame([(i, 10 * i) for i in (1, 2, 3, 5, 6, 7)], "node_id bigint, length bigint")
+    got = {r.node_id: r.virtual_length for r in longreads.virtual_length(marks, nodes).collect()}
+    assert got == {1: 60, 2: 60, 3: 60, 5: 50, 6: 110, 7: 120}
+    assert {r.node_id: r.breaks for r in longreads.break_points(marks).collect()} == {1: 0, 2: 0, 3: 0, 5: 1, 6: 0, 7: 0}
+    strains = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b")], "seq_id bigint, strain string")
+    kinds = {r.node_id: r["class"] for r in longreads.strain_classes(marks, strains, "a").collect()}
+    assert kinds == {1: "mixed", 2: "mixed", 3: "mixed", 5: "mixed", 6: "only_genome", 7: "only_strain"}
+
+
+def test_slices_and_piled_reads(spark):
+    tiles = spark.createDataFrame([(1, 7, 3, False), (1, 8, 5, True), (2, 9, 4, False), (1, 10, 40, False)], "node_id bigint, read_id bigint, off bigint, turned boolean")
+    reads = spark.createDataFrame([(7, "ACGT"), (8, "AACC"), (9, "GG"), (10, "T")], "read_id bigint, seq string")
+    one = tools.contig_slice(tiles, reads, 1)
+    assert sorted((r.read_id, r.line) for r in tools.pileup(one, 3, 10).collect()) == [(7, "ACGT"), (8, "..GGTT")]
+    rows = spark.createDataFrame([(1, "ACGTN", "II#I#"), (2, "AC", None), (3, "", "")], "read_id bigint, seq string, qual string")
+    assert {r.read_id: r.seq for r in tools.trimmed(rows).collect()} == {1: "ACGT", 2: "AC", 3: ""}
+
+
+def test_scores_are_arithmetic_over_the_metrics(spark):
+    import pytest
+
+    row = spark.createDataFrame([(3, 100, 40)], "ncon bigint, tbp bigint, n50 bigint")
+    assert tools.score(row, "(n50 + tbp/2) * 1e1 - ncon").first().score == 897.0
+    for bad in ("n50; drop", "java_method('a')", "sum(n50)", "n50 = 3", "other", "'n50'"):
+        with pytest.raises(ValueError):
+            tools.score(row, bad)
