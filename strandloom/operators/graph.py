@@ -20,8 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..functions.arrow import mix64
 from ..functions.kernels import lcs_score
-from ..runtime import discard, materialize
+from ..runtime import discard, materialize, materialize_split, shuffle_partitions
 from . import stats
 from ..functions.packed import packed_kmers
 from .hashing import kmer_rows
@@ -31,10 +32,10 @@ from .ordered import numbered
 def _double(rows: DataFrame, spark) -> tuple[DataFrame, DataFrame]:
     """Pointer doubling on (u, ptr, dist, low, done) until the rest can only be cycles: (settled, in cycles).
 
-    A round writes the rows that were open, and no settled one again. A round that settles nothing leaves cycles only;
-    rounds then go on until each window has covered its whole cycle, so that `low` is the cycle's smallest node."""
-    state, _ = materialize(rows, "ptr")
-    settled, open_ = state.filter("done"), state.filter("not done")
+    A round writes the rows that were open, settled ones apart, and no settled one again; what was open before is discarded.
+    A round that settles nothing leaves cycles only; rounds then go on until each window has covered its whole cycle, so
+    that `low` is the cycle's smallest node."""
+    (settled, _), (open_, path) = materialize_split(rows, "done", "ptr")
     left, reach = open_.count(), 1
     while left:
         reach *= 2
@@ -42,8 +43,9 @@ def _double(rows: DataFrame, spark) -> tuple[DataFrame, DataFrame]:
         moved = open_.join(to, F.col("ptr") == F.col("t")).select(
             "u", F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"), F.least("low", "t_low").alias("low"), F.col("t_done").alias("done")
         )
-        after, _ = materialize(moved, "ptr")
-        settled, open_ = settled.unionByName(after.filter("done")), after.filter("not done")
+        (more, _), (after, new) = materialize_split(moved, "done", "ptr")
+        discard(spark, path)
+        settled, open_, path = settled.unionByName(more), after, new
         now = open_.count()
         if now == left and reach >= left:
             break
@@ -51,19 +53,23 @@ def _double(rows: DataFrame, spark) -> tuple[DataFrame, DataFrame]:
     return settled, open_
 
 
+def _starts(links: DataFrame) -> DataFrame:
+    """Rows for `_double` of links(u, v, w): every vertex points at the one before it, w steps back."""
+    vertices = links.select("u").unionByName(links.select(F.col("v").alias("u"))).distinct()
+    back = links.select(F.col("v").alias("u"), F.col("u").alias("p"), "w")
+    return vertices.join(back, "u", "left").select(
+        "u", F.coalesce("p", "u").alias("ptr"), F.coalesce("w", F.lit(0)).cast("bigint").alias("dist"), F.least(F.abs("u"), F.abs(F.coalesce("p", "u"))).alias("low"), F.col("p").isNull().alias("done"),
+    )
+
+
 def chains(links: DataFrame) -> DataFrame:
     """u, head, rank for every vertex of links(u, v), where each u and each v occurs once.
 
     List ranking by pointer doubling, about log2(longest chain) rounds. A pure cycle is cut
     at its smallest node and ranked from there."""
     spark = links.sparkSession
-    vertices = links.select("u").unionByName(links.select(F.col("v").alias("u"))).distinct()
     back = links.select(F.col("v").alias("u"), F.col("u").alias("p"))
-    start = vertices.join(back, "u", "left").select(
-        "u", F.coalesce("p", "u").alias("ptr"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
-        F.least(F.abs("u"), F.abs(F.coalesce("p", "u"))).alias("low"), F.col("p").isNull().alias("done"),
-    )
-    settled, cyclic = _double(start, spark)
+    settled, cyclic = _double(_starts(links.withColumn("w", F.lit(1))), spark)
     out = settled.select("u", F.col("ptr").alias("head"), F.col("dist").alias("rank"))
     if cyclic.limit(1).count():
         # every window has long covered its cycle: `low` is the cycle's smallest node. The cut lies in
@@ -77,6 +83,117 @@ def chains(links: DataFrame) -> DataFrame:
     return out
 
 
+#: Letters of the words that tell which k-mers go to one place.
+PLACE = 10
+#: Links that a task holds before it ranks those of whole places.
+HELD = 1 << 20
+
+
+def kmer_places(k: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The place of k-mer nodes (signed packed codes plus one): the least hash among their shorter words, strands alike.
+
+    Neighbours share all but one letter and so mostly the place."""
+    m = min(k, PLACE)
+    word = np.arange(4**m, dtype=np.int64)
+    turned, left = np.zeros_like(word), word.copy()
+    for _ in range(m):
+        turned, left = (turned << 2) | (3 - (left & 3)), left >> 2
+    rank = mix64(np.minimum(word, turned).astype(np.uint64) + np.uint64(1)) >> np.uint64(1)
+
+    def place(ids: np.ndarray) -> np.ndarray:
+        code = np.abs(ids) - 1
+        out = np.full(len(ids), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(k - m + 1):
+            out = np.minimum(out, rank[(code >> (2 * i)) & (4**m - 1)])
+        return out.astype(np.int64)
+
+    return place
+
+
+def _placed(place: Callable[[np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            p = place(u)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array(p == place(v))], names=["u", "v", "place", "near"])
+
+    return run
+
+
+_RANKED = "x bigint, first bigint, within bigint, next bigint"
+
+
+def _ranked_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v, place) sorted by place, each inside one place: every vertex with the first one of its stretch there and its
+    rank in it. Vertices of a cycle inside a place stay alone, with their next one."""
+
+    def ranked(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        ids = np.unique(np.concatenate([u, v]))
+        a, b = np.searchsorted(ids, u), np.searchsorted(ids, v)
+        here = np.arange(len(ids))
+        before, after = np.full(len(ids), -1), np.full(len(ids), -1)
+        before[b], after[a] = a, b
+        to, dist = np.where(before < 0, here, before), (before >= 0).astype(np.int64)
+        for _ in range(len(ids).bit_length() + 1):
+            step = to[to]
+            if (step == to).all():
+                break
+            dist, to = dist + dist[to], step
+        round_ = before[to] >= 0
+        first, within = np.where(round_, here, to), np.where(round_, 0, dist)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(ids[first]), pa.array(within), pa.array(ids[after], mask=~round_)], names=["x", "first", "within", "next"]
+        )
+
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        rows = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        held.append(rows)
+        size += len(rows[0])
+        if size > HELD:
+            u, v, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            # the last place may go on
+            cut = int(np.searchsorted(place, place[-1], "left"))
+            if cut:
+                yield ranked(u[:cut], v[:cut])
+            held, size = [(u[cut:], v[cut:], place[cut:])], len(u) - cut
+    if size:
+        yield ranked(*(np.concatenate(x) for x in list(zip(*held, strict=True))[:2]))
+
+
+def placed_chains(links: DataFrame, place: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """As `chains`, for vertices of which neighbours mostly have one place.
+
+    The links inside a place are ranked there, in one pass; only the stretches that come out, a fraction of the vertices,
+    are ranked by pointer doubling."""
+    spark = links.sparkSession
+    parts = shuffle_partitions(spark)
+    (near, a), (far, b) = materialize_split(links.select("u", "v").mapInArrow(_placed(place), "u bigint, v bigint, place bigint, near boolean"), "near", "placed")
+    local, c = materialize(near.select("u", "v", "place").repartition(parts, "place").sortWithinPartitions("place").mapInArrow(_ranked_places, _RANKED), "places")
+    cross = far.select("u", "v").unionByName(local.filter("next is not null").select(F.col("x").alias("u"), F.col("next").alias("v")))
+    of = local.select("x", "first", "within")
+    between = cross.join(of, F.col("u") == F.col("x"), "left").select(F.coalesce("first", "u").alias("u"), "v", (F.coalesce("within", F.lit(0)) + 1).alias("w"))
+    between, d = materialize(between, "between")
+    settled, cyclic = _double(_starts(between), spark)
+    # a vertex with far links only stands in no place
+    ends = cross.select("u").unionByName(cross.select(F.col("v").alias("u"))).distinct()
+    alone = ends.join(of.select(F.col("x").alias("u")), "u", "left_anti").select(F.col("u").alias("x"), F.col("u").alias("first"), F.lit(0).cast("bigint").alias("within"))
+    every = of.unionByName(alone)
+    ahead = settled.select(F.col("u").alias("first"), F.col("ptr").alias("head"), "dist")
+    round_ = cyclic.select(F.col("u").alias("first"))
+    some = bool(round_.limit(1).count())
+    if some:
+        inside = every.join(round_, "first", "left_semi").select(F.col("x").alias("u"))
+        again, _ = materialize(chains(links.join(inside, "u", "left_semi").select("u", "v")), "cycles")
+        every = every.join(round_, "first", "left_anti")
+    out = every.join(ahead, "first", "left").select(F.col("x").alias("u"), F.coalesce("head", "first").alias("head"), (F.coalesce("dist", F.lit(0)) + F.col("within")).alias("rank"))
+    ranks, _ = materialize(out.unionByName(again) if some else out, "ranks")
+    for path in (a, b, c, d):
+        discard(spark, path)
+    return ranks
+
+
 def simple_links(arcs: DataFrame) -> DataFrame:
     """u, v on both strands: arcs that are the only one at both facing ends; no self loops or hairpins."""
     both = stats.both_strands(arcs)
@@ -86,12 +203,13 @@ def simple_links(arcs: DataFrame) -> DataFrame:
     return one.join(degrees_out.filter("o = 1"), "src").join(degrees_in.filter("i = 1"), "dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
 
 
-def concatenate(nodes: DataFrame, arcs: DataFrame, k: int, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def concatenate(nodes: DataFrame, arcs: DataFrame, k: int, scratch: list[str] | None = None, place: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge all unambiguous chains: (nodes, arcs, members as in `joining`: old signed id, new id, start, total).
 
     New ids are dense, in order of the smallest old id in the chain. One strand of each chain
     is kept; of a chain that is its own twin, the half from the smaller head. Paths of the tables written are
-    added to `scratch`; who passes it may discard them once nothing reads this result any more."""
+    added to `scratch`; who passes it may discard them once nothing reads this result any more. `place` is for nodes of
+    which neighbours mostly have one place, see `placed_chains`."""
     spark, kept_paths = nodes.sparkSession, []
 
     def written(df: DataFrame, label: str) -> DataFrame:
@@ -100,7 +218,7 @@ def concatenate(nodes: DataFrame, arcs: DataFrame, k: int, scratch: list[str] |
         return out
 
     simple = written(simple_links(arcs), "simple")
-    ranks = written(chains(simple), "ranks")
+    ranks = written(chains(simple) if place is None else placed_chains(simple, place), "ranks")
     tails = ranks.groupBy("head").agg(F.max_by("u", "rank").alias("tail"), F.min(F.abs("u")).alias("low"))
     kept = tails.filter("head < -tail or head = -tail").select("head", "low")
     members = ranks.join(kept, "head")
@@ -109,23 +227,23 @@ def concatenate(nodes: DataFrame, arcs: DataFrame, k: int, scratch: list[str] |
     members = members.withColumn("visit", F.row_number().over(first)).filter("visit = 1").drop("visit")
     single = nodes.select(F.col("node_id").alias("u")).join(members.select(F.abs("u").alias("u")).distinct(), "u", "left_anti")
     alone = single.select("u", F.col("u").alias("head"), F.lit(0).cast("bigint").alias("rank"), F.col("u").alias("low"))
-    all_members = members.select("u", "head", "rank", "low").unionByName(alone)
+    every = written(members.select("u", "rank", "low").unionByName(alone.select("u", "rank", "low")), "members")
     # one chain can come from either strand, so its smallest member names it
-    heads = numbered(all_members.select("low").distinct(), ["low"], "new_id")
-    placed = all_members.join(heads, "low").join(nodes.select(F.col("node_id").alias("__n"), "length", "cov", "seq"), F.abs("u") == F.col("__n"))
-    seq = F.when(F.col("u") > 0, F.col("seq")).otherwise(dna.revcomp(F.col("seq")))
-    piece = F.when(F.col("rank") == 0, seq).otherwise(F.expr(f"substring(s, {k})"))
-    pieces = placed.withColumn("s", seq).withColumn("piece", piece)
-    merged = pieces.groupBy(F.col("new_id").alias("node_id")).agg(
+    heads = numbered(every.select("low").distinct(), ["low"], "new_id")
+    length = nodes.select(F.col("node_id").alias("__n"), "length")
+    mapping = every.join(heads, "low").join(length, F.abs("u") == F.col("__n")).select(F.col("u").alias("old"), F.col("new_id").alias("new"), "rank", "length")
+    mapping = written(mapping, "map")
+    placed = mapping.join(nodes.select(F.col("node_id").alias("__n"), "cov", "seq"), F.abs("old") == F.col("__n"))
+    seq = F.when(F.col("old") > 0, F.col("seq")).otherwise(dna.revcomp(F.col("seq")))
+    piece = F.when(F.col("rank") == 0, F.col("s")).otherwise(F.expr(f"substring(s, {k})"))
+    merged = placed.withColumn("s", seq).withColumn("piece", piece).groupBy(F.col("new").alias("node_id")).agg(
         F.sum("length").alias("length"), F.sum("cov").alias("cov"),
         F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"])).alias("seq"),
     )
     merged = written(merged, "nodes")
-    mapping = written(placed.select(F.col("u").alias("old"), F.col("new_id").alias("new"), "rank", "length"), "map")
     both = mapping.select("old", "new").unionByName(mapping.select((-F.col("old")).alias("old"), (-F.col("new")).alias("new")))
-    inside = simple.join(ranks.select(F.col("u"), F.col("head").alias("h1"), F.col("rank").alias("r1")), "u").join(
-        ranks.select(F.col("u").alias("v"), F.col("head").alias("h2"), F.col("rank").alias("r2")), "v"
-    ).filter("h1 = h2 and r2 = r1 + 1").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    # a link inside a chain, unless it is the one at which a cycle was cut: that leads to a chain's first vertex
+    inside = simple.join(ranks.filter("rank = 0").select(F.col("u").alias("v")), "v", "left_anti").select(F.col("u").alias("src"), F.col("v").alias("dst"))
     outer = arcs.join(inside, ["src", "dst"], "left_anti")
     renamed = outer.join(both.select(F.col("old").alias("src"), F.col("new").alias("a")), "src").join(
         both.select(F.col("old").alias("dst"), F.col("new").alias("b")), "dst"
@@ -138,7 +256,7 @@ def concatenate(nodes: DataFrame, arcs: DataFrame, k: int, scratch: list[str] |
     if scratch is not None:
         scratch += kept_paths
     else:
-        for path in kept_paths[:2]:
+        for path in kept_paths[:3]:
             discard(spark, path)
     return merged, new_arcs, at
 
@@ -160,7 +278,7 @@ def unitigs(reads: DataFrame, k: int, strand_specific: bool = False) -> tuple[Da
     """Nodes and arcs of the graph with all unambiguous chains merged."""
     spark = reads.sparkSession
     (nodes, a), (arcs, b) = (materialize(x, "kmers") for x in kmer_graph(reads, k, strand_specific))
-    merged, new_arcs, _ = concatenate(nodes, arcs, k)
+    merged, new_arcs, _ = concatenate(nodes, arcs, k, place=kmer_places(k))
     discard(spark, a)
     discard(spark, b)
     return merged, new_arcs

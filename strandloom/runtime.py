@@ -15,6 +15,8 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -106,3 +108,21 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a table written by `materialize` that nothing reads any more."""
     fs, where = _filesystem(spark, path)
     fs.delete(where, True)
+
+
+def materialize_split(df: DataFrame, flag: str, label: str) -> tuple[tuple[DataFrame, str], tuple[DataFrame, str]]:
+    """Write `df` in two tables by a BOOLEAN column that is never null, in one pass: ((true rows, path), (false rows, path)).
+
+    Either can be discarded on its own; a table without rows has no folder, and discarding it does nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.partitionBy(flag).parquet(path)
+    own = StructType([f for f in df.schema.fields if f.name != flag])
+
+    def part(value: bool) -> tuple[DataFrame, str]:
+        where = f"{path}/{flag}={str(value).lower()}"
+        fs, at = _filesystem(spark, where)
+        rows = spark.read.schema(own).parquet(where) if fs.exists(at) else spark.createDataFrame([], own)
+        return rows.withColumn(flag, F.lit(value)).select(*df.columns), where
+
+    return part(True), part(False)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,30 @@ def test_tours_are_walks_that_meet(spark, seed):
             ms = {m for m in ms if abs(m) != abs(e)}
             if len({abs(m) for m in ms}) == 2 and len(ms) == 2 and (s, e) not in both and not any(len(p) > 1 for _, p in walked(lengths, known, s, 60)[e]):
                 assert (s, e, frozenset(map(abs, ms))) in told
+
+
+@pytest.mark.parametrize("held", [3, 1 << 20])
+def test_chains_by_places_equal_plain_ones(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
+    r = random.Random(5)
+    ids = r.sample(range(1, 4000), 600)
+    links, at = [], 0
+    for size in [*[1, 2, 3, 40, 100] * 3, 7]:
+        part = [r.choice([-1, 1]) * x for x in ids[at : at + size]]
+        at += size
+        links += list(zip(part, part[1:])) + [(-b, -a) for a, b in zip(part, part[1:])]
+        if size in (3, 40):  # pure cycles, some inside one place, some over several
+            links += [(part[-1], part[0]), (-part[0], -part[-1])]
+    df = spark.createDataFrame(links, "u bigint, v bigint").repartition(3)
+    key = lambda x: sorted((y.u, y.head, y["rank"]) for y in x.collect())
+    want = key(graph.chains(df))
+    for place in (lambda x: np.abs(x) // 500, lambda x: np.zeros(len(x), np.int64), lambda x: np.abs(x)):
+        assert key(graph.placed_chains(df, place)) == want
+    assert graph.placed_chains(df.limit(0), lambda x: x).count() == 0
+
+
+def test_neighbouring_kmers_mostly_share_a_place():
+    k, s = 21, bases(3000, 77)
+    code = np.array([int("".join("0123"["ACGT".index(c)] for c in min(w, turned(w))), 4) + 1 for w in (s[i : i + k] for i in range(len(s) - k + 1))])
+    p = graph.kmer_places(k)(code)
+    assert (p[1:] == p[:-1]).mean() > 0.75 and (graph.kmer_places(k)(-code) == p).all()
