@@ -44,7 +44,7 @@ GAP, LENGTH = 0.5, 0.02
 _SEEDS = "rec bigint, seed bigint, place int"
 
 
-def _minimizers(k: int, window: int):
+def _minimizers(k: int, window: int, wanted=None):
     def block(raw, off, rec):
         n = len(off) - 1
         lens = np.diff(off)
@@ -59,7 +59,8 @@ def _minimizers(k: int, window: int):
         code[bad] = 0
         breaks = np.concatenate([[0], np.cumsum(bad)])
         ok = breaks[k:] == breaks[:-k]
-        h = mix64(_rolling(code, k, np.uint64) + np.uint64(1))
+        word = _rolling(code, k, np.uint64)
+        h = mix64(word + np.uint64(1))
         h[~ok] = np.uint64(2**64 - 1)
         least = _sliding_min(h, window)
         # a word is a minimizer if it is the least of some window that covers it
@@ -67,7 +68,12 @@ def _minimizers(k: int, window: int):
         chosen = ok & (np.lib.stride_tricks.sliding_window_view(spread, window)[: len(h)] == h[:, None]).any(1)
         at = np.flatnonzero(chosen)
         owner = np.searchsorted(begin, at, "right") - 1
-        return rec[owner], (h[at] >> np.uint64(1)).astype(np.int64), (at - begin[owner]).astype(np.int32)
+        # the word, not its hash: it is shorter, so it shuffles smaller
+        seed = word[at].astype(np.int64)
+        if wanted is not None:
+            held = wanted.value.holds(seed)
+            seed, at, owner = seed[held], at[held], owner[held]
+        return rec[owner], seed, (at - begin[owner]).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,6 +90,42 @@ def _minimizers(k: int, window: int):
     return run
 
 
+#: Bits of the filter that keeps seeds without a query from being shuffled: a fixed 32 MB, whatever the data. The more seeds
+#: the queries have, the less it holds back; it never holds back one that they have.
+FILTER_BITS = 1 << 28
+
+
+class SeedFilter:
+    """A bitmap of hashed seeds, out of its words that are not empty."""
+
+    def __init__(self, at: np.ndarray, bits: np.ndarray):
+        self.words = np.zeros(FILTER_BITS // 32, np.uint32)
+        self.words[at] = bits.astype(np.uint32)
+
+    def holds(self, seed: np.ndarray) -> np.ndarray:
+        h = seed_places(seed)
+        return (self.words[(h >> np.uint64(5)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def seed_places(seed: np.ndarray) -> np.ndarray:
+    """Where in the filter a seed has its bit."""
+    return mix64(seed.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(FILTER_BITS - 1)
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = np.unique(seed_places(batch.column(0).to_numpy(zero_copy_only=False)))
+        at, head = np.unique((h >> np.uint64(5)).astype(np.int64), return_index=True)
+        bits = np.bitwise_or.reduceat(np.int64(1) << (h & np.uint64(31)).astype(np.int64), head) if len(h) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits)], names=["at", "bits"])
+
+
+def seed_filter(seeds: DataFrame) -> SeedFilter:
+    """The filter of seeds(seed): its words are merged by the engine, and at most FILTER_BITS / 32 of them come to the driver."""
+    words = seeds.select("seed").mapInArrow(_filter_words, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return SeedFilter(*(words.column(i).to_numpy() for i in (0, 1)))
+
+
 class Fenwick:
     """Prefix maxima of (score, -index) over ranks 1..n."""
 
@@ -296,24 +338,31 @@ def passages(
 
     `is_query` is a condition on the record id column, e.g. "read_id % 50 = 0". A pair with fewer than `least_seeds`
     shared seeds gives no passage; the README has the recall that follows from that."""
+    spark = records.sparkSession
+    asks = F.coalesce(F.expr(is_query if isinstance(is_query, str) else "false"), F.lit(False))
     rows = records.filter(F.col(rec).isNotNull() & F.col(text).isNotNull() & (F.length(text) >= k + window)).select(
-        F.col(rec).cast("bigint").alias("rec"), F.upper(text).alias("text"), F.expr(is_query if isinstance(is_query, str) else "false").alias("asks")
-    ).distinct()
-    # written once: texts are scanned for seeds, and read again by the pairs that have enough of them
-    classes, _ = materialize(
-        rows.groupBy("text").agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("members"), F.collect_list(F.when(F.col("asks"), F.col("rec"))).alias("asking")), "classes"
+        F.col(rec).cast("bigint").alias("rec"), F.upper(text).alias("text"), asks.alias("asks")
     )
-    targets = classes.select("rec", "text").mapInArrow(_minimizers(k, window), _SEEDS).select(F.col("rec").alias("target"), "seed", F.col("place").alias("t"))
-    asked = classes.filter(F.size("asking") > 0).select(F.col("rec").alias("asked"), "text", "asking")
-    queries = asked.select("asked", "text").mapInArrow(_minimizers(k, window), _SEEDS).select(F.col("rec").alias("asked"), "seed", F.col("place").alias("q"))
+    # a text is told by 128 bits of hash: classes are counted without moving texts, and no class is gathered
+    key = ["h1", "h2"]
+    rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text", F.lit(2)))
+    ids, _ = materialize(rows.select(*key, "rec", "asks").distinct(), "ids")
+    held = ids.groupBy(*key).agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("members"), F.max("asks").alias("asked"))
+    reps = rows.select(*key, "rec", "text").join(held, [*key, "rec"]).groupBy(*key, "rec").agg(F.first("text").alias("text"), F.first("members").alias("members"), F.first("asked").alias("asked"))
+    # written once: texts are scanned for seeds, and read again by the pairs that have enough of them
+    classes, _ = materialize(reps, "classes")
+    asked = classes.filter("asked")
+    queries, _ = materialize(asked.select("rec", "text").mapInArrow(_minimizers(k, window), _SEEDS).select(F.col("rec").alias("asked"), "seed", F.col("place").alias("q")), "seeds")
+    wanted = spark.sparkContext.broadcast(seed_filter(queries))
+    targets = classes.select("rec", "text").mapInArrow(_minimizers(k, window, wanted), _SEEDS).select(F.col("rec").alias("target"), "seed", F.col("place").alias("t"))
     place = F.shiftleft(F.col("q").cast("bigint"), 32).bitwiseOR(F.col("t").cast("bigint"))
     both = targets.join(queries, "seed").groupBy("asked", "target").agg(F.collect_list(place).alias("matches")).filter(F.size("matches") >= least_seeds)
-    full = both.join(asked.select("asked", F.col("text").alias("qtext"), "asking"), "asked").join(
+    full = both.join(asked.select(F.col("rec").alias("asked"), F.col("text").alias("qtext")), "asked").join(
         classes.select(F.col("rec").alias("target"), F.col("text").alias("ttext"), "members"), "target"
     )
     # a query meets its own text class only if the class has another record
     own = full.filter((F.col("asked") != F.col("target")) | (F.col("members") > 1))
     found = own.select("asked", "target", "members", "matches", "qtext", "ttext").mapInArrow(_align(k, least_span, least_identity), _MATCHED)
     # equal queries were searched once
-    names = asked.select(F.col("asked").alias("query"), F.explode("asking").alias("own"))
+    names = ids.filter("asks").join(asked.select(*key, F.col("rec").alias("query")), key).select("query", F.col("rec").alias("own"))
     return found.join(names, "query").select(F.col("own").alias("query"), *(c.split()[0] for c in _MATCHED.split(", ")[1:]))

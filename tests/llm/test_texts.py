@@ -181,6 +181,14 @@ def test_chains_reach_the_best_score_of_the_recurrence(matches, k):
     assert all(chains.link(x, y, q, t, n, k - 1) is not None for p in paths for x, y in zip(p, p[1:]))
 
 
+def test_the_seed_filter_holds_back_no_seed_it_has(spark):
+    r = np.random.default_rng(9)
+    seeds = r.integers(0, 4**15, 5000)
+    f = chains.seed_filter(spark.createDataFrame([(int(x),) for x in seeds], "seed bigint").repartition(3))
+    assert f.holds(seeds).all() and f.holds(r.integers(0, 4**15, 20000)).mean() < 0.01
+    assert not chains.seed_filter(spark.createDataFrame([], "seed bigint")).holds(seeds).any()
+
+
 def test_best_stretches():
     assert chains.best_stretches([4.0, -5.0, 3.0, -3.0, 1.0, 2.0, -2.0, 2.0, -2.0, 1.0, 5.0]) == [(0, 1), (2, 3), (4, 11)]
     assert chains.best_stretches([-1.0]) == [] and chains.best_stretches([2.0, -1.0, 2.0]) == [(0, 3)]
