@@ -346,7 +346,7 @@ def passages(
     # a text is told by 128 bits of hash: classes are counted without moving texts, and no class is gathered
     key = ["h1", "h2"]
     rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text", F.lit(2)))
-    ids, _ = materialize(rows.select(*key, "rec", "asks").distinct(), "ids")
+    ids = rows.select(*key, "rec", "asks").distinct()
     held = ids.groupBy(*key).agg(F.min("rec").alias("rec"), F.count(F.lit(1)).alias("members"), F.max("asks").alias("asked"))
     reps = rows.select(*key, "rec", "text").join(held, [*key, "rec"]).groupBy(*key, "rec").agg(F.first("text").alias("text"), F.first("members").alias("members"), F.first("asked").alias("asked"))
     # written once: texts are scanned for seeds, and read again by the pairs that have enough of them
