@@ -47,7 +47,7 @@ def words(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return fwd[:n], rev[:n]
 
 
-def _rows(k: int, stranded: bool, known: bool):
+def _rows(k: int, stranded: bool, known: bool, extra: tuple[str, ...]):
     def block(raw, off, read, turned):
         code = _CODE[raw]
         if len(code) < k:
@@ -62,7 +62,7 @@ def _rows(k: int, stranded: bool, known: bool):
             ok &= gone[k : k + len(fwd)] == gone[: len(fwd)]
         owner, pos, fwd, rev = owner[ok], pos[ok], fwd[ok], rev[ok]
         forward = ~turned[owner] if stranded else fwd <= rev
-        return read[owner], pos.astype(np.int32), np.where(forward, fwd, rev), forward
+        return owner, read[owner], pos.astype(np.int32), np.where(forward, fwd, rev), forward
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,19 +73,22 @@ def _rows(k: int, stranded: bool, known: bool):
             while lo < len(read):
                 hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, "right")) - 1)
                 got = block(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], read[lo:hi], turned[lo:hi] if stranded else None)
-                lo = hi
                 if got is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["read_id", "pos", "kmer", "fwd"])
+                    owner = pa.array(got[0] + lo)
+                    beside = [batch.column(c).take(owner) for c in extra]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in got[1:]), *beside], names=["read_id", "pos", "kmer", "fwd", *extra])
+                lo = hi
 
     return run
 
 
-def packed_kmers(reads: DataFrame, k: int, strand_specific: bool = False, known: bool = False) -> DataFrame:
+def packed_kmers(reads: DataFrame, k: int, strand_specific: bool = False, known: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """read_id, pos, kmer (packed, canonical or by strand), fwd for all k-mers of reads(read_id, seq[, second_in_pair]); k <= 31.
 
-    With `known`, k-mers with a letter other than A, C, G, T are left out."""
+    With `known`, k-mers with a letter other than A, C, G, T are left out. Columns `extra` of the reads go along."""
     if not 1 <= k <= 31:
         raise ValueError("packed k-mers have at most 31 letters")
-    columns = ["read_id", "seq", *(["second_in_pair"] if strand_specific else [])]
+    columns = ["read_id", "seq", *(["second_in_pair"] if strand_specific else []), *extra]
     rows = reads.filter("read_id is not null and seq is not null").select(*columns)
-    return rows.selectExpr("cast(read_id as bigint) as read_id", *columns[1:]).mapInArrow(_rows(k, strand_specific, known), SCHEMA)
+    schema = ", ".join([SCHEMA, *(f"{c} {reads.schema[c].dataType.simpleString()}" for c in extra)])
+    return rows.selectExpr("cast(read_id as bigint) as read_id", *columns[1:]).mapInArrow(_rows(k, strand_specific, known, extra), schema)

@@ -298,12 +298,18 @@ def thread(reads: DataFrame, nodes: DataFrame, k: int, strand_specific: bool = F
     """read_id, category, pos, node (signed), off for the k-mers of each read that lie on the graph.
 
     K-mers before the first hit are passed over; the first miss after a hit ends the read."""
-    kmers = kmer_rows(reads, k, strand_specific, packed=True).join(node_kmers(nodes, k, strand_specific), "kmer", "left")
-    node = F.when(F.col("fwd"), F.col("node")).otherwise(-F.col("node"))
-    w = W.partitionBy("read_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    hit = kmers.withColumn("node", node).withColumn("seen", F.max(F.col("node").isNotNull()).over(w))
-    kept = hit.withColumn("missed", F.sum((F.col("seen") & F.col("node").isNull()).cast("int")).over(w)).filter("seen and missed = 0")
-    return kept.join(reads.select("read_id", "category"), "read_id").select("read_id", "category", "pos", "node", "off")
+    of = W.partitionBy("read_id")
+    # k-mers of each copy of a read that is given more than once; null for the others
+    copies = F.when(F.count(F.lit(1)).over(of) > 1, F.collect_list(F.length("seq") - (k - 1)).over(of))
+    kmers = packed_kmers(reads.filter("read_id is not null and seq is not null").withColumn("copies", copies), k, strand_specific, extra=("category", "copies"))
+    # the optimizer reckons k-mers as rows of the size of a read, about a hundred times too few bytes: neither side is broadcast
+    hits = kmers.join(node_kmers(nodes, k, strand_specific).hint("merge"), "kmer").withColumn("node", F.when(F.col("fwd"), F.col("node")).otherwise(-F.col("node")))
+    # only hits are brought together by read: a miss is a gap between their positions, or a copy that is not among them
+    w = W.partitionBy("read_id").orderBy("pos")
+    due = F.when(F.col("copies").isNull(), 1).otherwise(F.size(F.filter("copies", lambda n: n > F.col("pos"))))
+    whole = hits.withColumn("all", F.count(F.lit(1)).over(w.rangeBetween(W.currentRow, W.currentRow)) == due)
+    run = whole.withColumn("unbroken", F.min("all").over(w) & (F.dense_rank().over(w) - 1 == F.col("pos") - F.min("pos").over(w)))
+    return run.filter("unbroken").select("read_id", "category", "pos", "node", "off")
 
 
 def coverage(threads: DataFrame) -> DataFrame:

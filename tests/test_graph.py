@@ -267,3 +267,18 @@ def test_neighbouring_kmers_mostly_share_a_place():
     code = np.array([int("".join("0123"["ACGT".index(c)] for c in min(w, turned(w))), 4) + 1 for w in (s[i : i + k] for i in range(len(s) - k + 1))])
     p = graph.kmer_places(k)(code)
     assert (p[1:] == p[:-1]).mean() > 0.75 and (graph.kmer_places(k)(-code) == p).all()
+
+
+def test_threading_takes_each_copy_of_a_read_once_and_joins_no_reads(spark):
+    """A read given twice with other letters is threaded as the SQL twin says, up to the first miss of either copy; reads are scanned once."""
+    s = bases(80, 41)
+    nodes = spark.createDataFrame([(1, 60, 1, s)], "node_id bigint, length bigint, cov bigint, seq string")
+    broken = s[:50] + ("A" if s[50] != "A" else "C") + s[51:]
+    reads = spark.createDataFrame([(7, 0, s), (7, 2, broken), (8, 0, s), (8, 4, s[:40]), (9, 0, "T" * 3 + s)], READS)
+    t = graph.thread(reads, nodes, 21)
+    got = sorted((x.read_id, x.category, x.pos, x.node, x.off) for x in t.collect())
+    # copies of one read share their positions: 7 ends where one copy misses; 8's shorter copy ends without a miss
+    assert got == sorted([(7, c, p, 1, p) for c in (0, 2) for p in range(30)] + [(8, 0, p, 1, p) for p in range(60)] + [(8, 4, p, 1, p) for p in range(20)] + [(9, 0, p + 3, 1, p) for p in range(60)])
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    assert "Broadcast" not in t._jdf.queryExecution().sparkPlan().toString()
