@@ -2,7 +2,8 @@ import random
 
 from strandloom.functions import dna
 from tests.test_graph import bases
-from strandloom.operators import hashing
+from strandloom.operators import hashing, pregraph
+from strandloom.runtime import materialize
 from pyspark.sql import functions as F
 
 
@@ -105,3 +106,20 @@ def test_hot_kmers_are_spread(spark):
     kmers = hashing.kmer_rows(reads, 15, packed=True)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(hashing.hits(kmers, hot=20)) == key(hashing.hits(kmers))
+
+
+def test_joins_of_kmers_and_pre_nodes_are_never_broadcast(spark):
+    """Their sizes are taken for far too small, so a broadcast would bring a large table to the driver; first occurrences are counted once."""
+    r = random.Random(8)
+    genome = "".join(r.choice("ACGT") for _ in range(300))
+    df = spark.createDataFrame([(i + 1, genome[i * 20 : i * 20 + 80]) for i in range(12)], "read_id bigint, seq string")
+    kmers = hashing.kmer_rows(df, 11, packed=True)
+    first, _ = materialize(hashing.first_occurrences(kmers, counted=True), "first")
+    roads, _ = materialize(hashing.roadmaps(kmers, first), "roads")
+    assert sorted(roads.collect()) == sorted(hashing.roadmaps(kmers).collect())
+    novel = first.groupBy(F.col("owner").alias("seq_id")).agg(F.count(F.lit(1)).alias("own"))
+    nodes, _ = materialize(pregraph.prenodes(novel, roads), "prenodes")
+    walk = pregraph.walks(roads, nodes)
+    assert walk.agg(F.sum("length")).first()[0] == 12 * 70
+    for df in (hashing.hits(kmers, first=first), pregraph.translated(roads, nodes), walk):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
