@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import graph, hashing, pregraph, tools
+from ..operators import compact, graph, hashing, pregraph, tools
 from ..runtime import discard, materialize, new_path, table
 from ..settings import k_values
 from ..sources import seqreads, sinks
@@ -326,8 +326,7 @@ def walk_steps(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def unitigs(spark: SparkSession, d: str) -> DataFrame:
     """Unitigs of all reads at k = 21: length, coverage, sequence."""
-    nodes, _ = graph.unitigs(reads(spark, d), K)
-    return nodes.select("node_id", "length", "cov", F.md5("seq").alias("digest"))
+    return compact.unitig_nodes(reads(spark, d), K).select("node_id", "length", "cov", F.md5("seq").alias("digest"))
 
 
 @query(

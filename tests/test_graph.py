@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions.kernels import lcs_length
-from strandloom.operators import graph, joining, pairs, stats
+from strandloom.operators import compact, graph, joining, pairs, stats
 from strandloom.plans.assemble import assemble
 from strandloom.settings import AssemblySettings
 
@@ -282,3 +282,15 @@ def test_threading_takes_each_copy_of_a_read_once_and_joins_no_reads(spark):
     plan = t._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
     assert "Broadcast" not in t._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_compact_unitigs_equal_those_over_arcs(spark):
+    """Branches, hairpins, repeats of one letter, cycles inside and across places, reads from both strands; no table of arcs is needed."""
+    m, c, d = bases(300, 51), bases(60, 52), bases(400, 53)
+    seqs = [m, turned(m)[40:200], m[:150] + turned(m[:150]), m[100:160] + bases(40, 54), c + c[:40], turned(d + d[:30]), bases(12, 55) * 5, "A" * 40, "AC" * 20, "ACG"]
+    df = frame(spark, seqs)
+    for k in (21, 7):
+        rows = lambda x: sorted(map(tuple, x.select("node_id", "length", "cov", "seq").collect()))  # noqa: E731, B023
+        got = rows(compact.unitig_nodes(df, k))
+        assert got == rows(graph.unitigs(df, k)[0])
+        assert sum(x[1] for x in got) == graph.kmer_graph(df, k)[0].count()
